@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .bpe import decode_documents, encode_documents
 from .common import table
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
@@ -21,7 +22,21 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op6_mixing": op6_mixing, "op8_exact_dedup": op8_exact_dedup}
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where the public tokenizer files are; the same on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    path = tokenizer or tokenizer_path()
+    coded = decode_documents(encode_documents(table(spark, sf_dir, "documents"), path), path)
+    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+QUERIES: dict[str, Query] = {"op6_mixing": op6_mixing, "op8_exact_dedup": op8_exact_dedup, "op9_bpe": op9_bpe}
 
 ORACLE_SQL: dict[str, str] = {
     "op8_exact_dedup": """
