@@ -4,16 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .bpe import decode_documents, encode_documents
 from .common import table
 from .exact_dedup import exact_dedup
+from .langid import predict_language, train_language
 from .mixing import mix_sources
+from .quality import fit_quality, score_quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def fold(n: int) -> Column:
+    """The CRC-32 of doc_id as text, modulo n."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train_language(docs, may_learn=fold(4) != 2)
+    held = F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out")
+    return predict_language(docs, model).select("doc_id", held, "lang_pred", "score", "rejected")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("draws")
 
@@ -36,7 +50,14 @@ def op9_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> D
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Query] = {"op6_mixing": op6_mixing, "op8_exact_dedup": op8_exact_dedup, "op9_bpe": op9_bpe}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    trees = fit_quality(docs, table(spark, sf_dir, "labels"), may_learn=fold(3) != 1)
+    held = F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out")
+    return score_quality(docs, trees).select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES: dict[str, Query] = {"op4_language": op4_language, "op10_quality": op10_quality, "op6_mixing": op6_mixing, "op8_exact_dedup": op8_exact_dedup, "op9_bpe": op9_bpe}
 
 ORACLE_SQL: dict[str, str] = {
     "op8_exact_dedup": """
