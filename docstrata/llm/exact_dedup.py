@@ -138,8 +138,9 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     # the size of a table made in Python isn't known to Spark: written out, and joined by hint
     repeated = cut(repeated_fingerprints(narrow.select("fp")).select("fp"))
     routed = base.select("fp", "text").join(repeated.hint("shuffle_hash"), "fp", "left_semi")
-    verified = routed.groupBy("fp", "text").agg(F.count("*").alias("n")).where("n > 1").select("fp", F.sha2("text", 256).alias("sha"), "n")
-    keeper = narrow.join(repeated.hint("shuffle_hash"), "fp", "left_semi").groupBy("fp", "sha").agg(F.max(F.struct("doc_id", "rid")).alias("keep"))
+    # grouping on other keys than the join's makes Spark pre-aggregate: a large group leaves few rows
+    verified = routed.groupBy("text").agg(F.count("*").alias("n")).where("n > 1").select(F.xxhash64("text").alias("fp"), F.sha2("text", 256).alias("sha"), "n")
+    keeper = narrow.groupBy("fp", "sha").agg(F.max(F.struct("doc_id", "rid")).alias("keep"))
     groups = cut(verified.join(keeper.hint("merge"), ["fp", "sha"]).select("fp", "sha", "n", F.col("keep.doc_id").alias("keep_id"), F.col("keep.rid").alias("keep_rid")))
     out = narrow.join(groups.hint("merge"), ["fp", "sha"], "left")
     alone = F.col("n").isNull()
