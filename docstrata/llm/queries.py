@@ -10,6 +10,7 @@ from .bpe import decode_documents, encode_documents
 from .common import table
 from .exact_dedup import exact_dedup
 from .langid import predict_language, train_language
+from .licenses import TEMPLATES, oracle as license_oracle, scan_licenses
 from .mixing import mix_sources
 from .quality import fit_quality, score_quality
 
@@ -21,6 +22,10 @@ def fold(n: int) -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("blocks")
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train_language(docs, may_learn=fold(4) != 2)
@@ -57,9 +62,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, trees).select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Query] = {"op4_language": op4_language, "op10_quality": op10_quality, "op6_mixing": op6_mixing, "op8_exact_dedup": op8_exact_dedup, "op9_bpe": op9_bpe}
+QUERIES: dict[str, Query] = {"op1_licenses": op1_licenses, "op4_language": op4_language, "op10_quality": op10_quality, "op6_mixing": op6_mixing, "op8_exact_dedup": op8_exact_dedup, "op9_bpe": op9_bpe}
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_licenses": license_oracle(TEMPLATES),
     "op8_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
