@@ -12,6 +12,7 @@ from __future__ import annotations
 import codecs
 import heapq
 import json
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -25,8 +26,11 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: White space as the Unicode property has it; \s of this regex library means more.
 UNICODE_SPACE = r"\p{White_Space}"
 CHUNK_CHARS = 1 << 16
-CACHE_PIECES = 300_000
+#: Entries of one generation of a cache; there are two of each.
+CACHE_PIECES = 60_000
 CACHE_CHARS = 48
+#: Rows encoded or decoded before they are passed on.
+BATCH_ROWS = 1024
 #: Bytes that a window holds besides the lookahead.
 WINDOW_BYTES = 4096
 NONE = 1 << 30
@@ -39,6 +43,24 @@ def _byte_names() -> list[str]:
     return [chr(b) if b in prints else chr(next(spare)) for b in range(256)]
 
 
+class Cache(dict):
+    """Values made on demand, in two generations: what the last two haven't asked for is forgotten."""
+
+    def __init__(self, make):
+        self.make, self.old = make, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= CACHE_CHARS:
+            if len(self) >= CACHE_PIECES:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 class Bpe:
     """A byte-level BPE vocabulary read from a tokenizers JSON file."""
 
@@ -62,8 +84,9 @@ class Bpe:
         self.split = regex.compile(PATTERN.replace(r"[^\s", rf"[^{UNICODE_SPACE}").replace(r"\s", UNICODE_SPACE).replace(r"\S", r"\P{White_Space}"))
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.lookahead = sufficient_lookahead(self.pairs, self.made, [len(b) for b in self.bytes_of])
-        self.after_space: dict[str, bytes] = {}
-        self.at_start: dict[str, bytes] = {}
+        self.known = Cache(lambda piece: array("i", self.piece(piece.encode())).tobytes())
+        self.after_space = Cache(lambda word: self._split(" " + word))
+        self.at_start = Cache(self._split)
 
     # encoding
 
@@ -86,24 +109,12 @@ class Bpe:
     def _chunk(self, chunk: str) -> Iterator[bytes]:
         """A chunk whose ends no piece crosses. A blank after a non-blank always starts a piece."""
         words = chunk.split(" ") if not _BLANKS.search(chunk) else _BLANK_AFTER.split(chunk)
-        first, known = words[0], self.after_space
-        if first:
-            yield self._cached(self.at_start, first, first)
-        try:
-            yield b"".join(map(known.__getitem__, words[1:]))
-        except KeyError:
-            for word in words[1:]:
-                yield known.get(word) or self._cached(known, word, " " + word)
-
-    def _cached(self, known: dict[str, bytes], key: str, text: str) -> bytes:
-        ids = known.get(key)
-        if ids is None:
-            ids = np.array([i for piece in self.split.findall(text) for i in self.piece(piece.encode())], np.int32).tobytes()
-            if len(key) <= CACHE_CHARS:
-                if len(known) >= CACHE_PIECES:
-                    known.clear()
-                known[key] = ids
-        return ids
+        if words[0]:
+            yield self.at_start[words[0]]
+        yield b"".join(map(self.after_space.__getitem__, words[1:]))
+
+    def _split(self, text: str) -> bytes:
+        return b"".join(map(self.known.__getitem__, self.split.findall(text)))
 
     def piece(self, data: bytes) -> Iterable[int]:
         """Ids of one piece, by windows if it is longer than what a window can hold."""
@@ -212,6 +223,12 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(at, BATCH_ROWS)
+
+
 def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, ids array<int> of docs (doc_id, text). tokenizer: a path that every executor can open.
 
@@ -220,7 +237,7 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer)
-        for batch in batches:
+        for batch in _small(batches):
             blocks, ends = [], [0]
             for text in batch.column(1):
                 own = b"".join(bpe.encode(text.as_py()))
@@ -237,7 +254,7 @@ def decode_documents(encoded: DataFrame, tokenizer: str) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer)
-        for batch in batches:
+        for batch in _small(batches):
             lists = batch.column(1)
             values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
             texts = [bpe.decode(values[a:b]) for a, b in zip(ends[:-1], ends[1:])]
