@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .langid import predict_language, train_language
 from .licenses import TEMPLATES, oracle as license_oracle, scan_licenses
 from .mixing import mix_sources
+from .pii import replace_pii
 from .quality import fit_quality, score_quality
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +34,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(docs, model).select("doc_id", held, "lang_pred", "score", "rejected")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_pii(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("draws")
 
@@ -62,7 +67,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, trees).select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Query] = {"op1_licenses": op1_licenses, "op4_language": op4_language, "op10_quality": op10_quality, "op6_mixing": op6_mixing, "op8_exact_dedup": op8_exact_dedup, "op9_bpe": op9_bpe}
+QUERIES: dict[str, Query] = {"op1_licenses": op1_licenses, "op4_language": op4_language, "op10_quality": op10_quality, "op5_pii": op5_pii, "op6_mixing": op6_mixing, "op8_exact_dedup": op8_exact_dedup, "op9_bpe": op9_bpe}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_licenses": license_oracle(TEMPLATES),
