@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .bpe import decode_documents, encode_documents
 from .common import table
 from .exact_dedup import exact_dedup
+from .jaccard import jaccard_components
 from .langid import predict_language, train_language
 from .licenses import TEMPLATES, oracle as license_oracle, scan_licenses
 from .mixing import mix_sources
@@ -18,6 +19,10 @@ from .quality import fit_quality, score_quality
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), n=3, threshold=0.9).withColumn("n_shingles", F.col("n_shingles").cast("long"))
+
+
 def fold(n: int) -> Column:
     """The CRC-32 of doc_id as text, modulo n."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
@@ -67,7 +72,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, trees).select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Query] = {"op1_licenses": op1_licenses, "op4_language": op4_language, "op10_quality": op10_quality, "op5_pii": op5_pii, "op6_mixing": op6_mixing, "op8_exact_dedup": op8_exact_dedup, "op9_bpe": op9_bpe}
+QUERIES: dict[str, Query] = {"op1_licenses": op1_licenses, "op3_jaccard": op3_jaccard, "op4_language": op4_language, "op10_quality": op10_quality, "op5_pii": op5_pii, "op6_mixing": op6_mixing, "op8_exact_dedup": op8_exact_dedup, "op9_bpe": op9_bpe}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_licenses": license_oracle(TEMPLATES),
