@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .ann import nearest
 from .bpe import decode_documents, encode_documents
 from .common import table
 from .exact_dedup import exact_dedup
@@ -47,6 +48,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("draws")
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -72,7 +77,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, trees).select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Query] = {"op1_licenses": op1_licenses, "op3_jaccard": op3_jaccard, "op4_language": op4_language, "op10_quality": op10_quality, "op5_pii": op5_pii, "op6_mixing": op6_mixing, "op8_exact_dedup": op8_exact_dedup, "op9_bpe": op9_bpe}
+QUERIES: dict[str, Query] = {"op1_licenses": op1_licenses, "op3_jaccard": op3_jaccard, "op4_language": op4_language, "op10_quality": op10_quality, "op5_pii": op5_pii, "op6_mixing": op6_mixing, "op7_nearest": op7_nearest, "op8_exact_dedup": op8_exact_dedup, "op9_bpe": op9_bpe}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_licenses": license_oracle(TEMPLATES),
