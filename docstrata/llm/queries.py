@@ -16,10 +16,15 @@ from .licenses import TEMPLATES, oracle as license_oracle, scan_licenses
 from .mixing import mix_sources
 from .pii import replace_pii
 from .quality import fit_quality, score_quality
+from .suffixes import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n=3, threshold=0.9).withColumn("n_shingles", F.col("n_shingles").cast("long"))
 
@@ -77,7 +82,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, trees).select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Query] = {"op1_licenses": op1_licenses, "op3_jaccard": op3_jaccard, "op4_language": op4_language, "op10_quality": op10_quality, "op5_pii": op5_pii, "op6_mixing": op6_mixing, "op7_nearest": op7_nearest, "op8_exact_dedup": op8_exact_dedup, "op9_bpe": op9_bpe}
+QUERIES: dict[str, Query] = {"op1_licenses": op1_licenses, "op2_suffix_dedup": op2_suffix_dedup, "op3_jaccard": op3_jaccard, "op4_language": op4_language, "op10_quality": op10_quality, "op5_pii": op5_pii, "op6_mixing": op6_mixing, "op7_nearest": op7_nearest, "op8_exact_dedup": op8_exact_dedup, "op9_bpe": op9_bpe}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_licenses": license_oracle(TEMPLATES),
