@@ -44,3 +44,12 @@ def partitions(spark: SparkSession) -> int:
 def uniform(*cols: Column) -> Column:
     """A double in (0, 1) that depends on cols only."""
     return (F.pmod(F.xxhash64(*cols), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+
+
+#: Tables of ids up to this many rows are broadcast; larger ones are joined by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def sized(small: DataFrame, kind: str = "shuffle_hash") -> DataFrame:
+    """A written table, with the hint to broadcast it if its counted rows allow that."""
+    return F.broadcast(small) if small.count() <= BROADCAST_IDS else small.hint(kind)
