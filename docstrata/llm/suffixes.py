@@ -154,39 +154,41 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 def common_prefixes(data: np.ndarray, order: np.ndarray, starts: np.ndarray, sizes: np.ndarray, cap: int) -> np.ndarray:
     """For each place in order, how many bytes (cap at most) its suffix shares with the one before.
-    Kasai: going one byte to the right loses one byte at most. All texts walk at once."""
+    order holds the first sizes[t] suffixes of each text t, which starts at starts[t].
+    Kasai: one byte to the right, a suffix shares one byte less at least, if the suffix that it was
+    compared with has a right neighbour in order too. All texts walk at once."""
     n = len(data)
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    before = np.full(n, -1, np.int64)
+    place, before = np.full(n + 1, -1, np.int64), np.full(n + 1, -1, np.int64)
+    place[order] = np.arange(len(order))
     before[order[1:]] = order[:-1]
     padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(_U)
     key = np.zeros(n + 1, _U)
     for i in range(8):
         key[:n] = key[:n] << _U(8) | padded[i : i + n]
-    out, shared = np.zeros(n, np.int64), np.zeros(len(starts), np.int64)
+    out, shared, last = np.zeros(len(order), np.int64), np.zeros(len(starts), np.int64), np.full(len(starts), -1, np.int64)
+    stride = np.arange(0, 64, 8)
     for step in range(int(sizes.max(initial=0))):
         live = np.flatnonzero(sizes > step)
         i = starts[live] + step
-        j, have = before[i], np.maximum(shared[live] - 1, 0)
+        j, have = before[i], np.where((last[live] >= 0) & (place[last[live] + 1] >= 0), np.maximum(shared[live] - 1, 0), 0)
+        last[live] = j
         go = np.flatnonzero(j >= 0)
         have[j < 0] = 0
         while len(go):
             a, b = i[go] + have[go], j[go] + have[go]
             room = np.minimum(np.minimum(n - a, n - b), cap - have[go])
-            differ = key[np.minimum(a, n)] ^ key[np.minimum(b, n)]
-            same = np.where(differ == 0, 8, 0)
-            some = differ != 0
-            if some.any():
-                d, lead = differ[some].copy(), np.zeros(int(some.sum()), np.int64)
-                for bits in (32, 16, 8):
-                    high = d >> _U(64 - bits) == 0
-                    lead += high * (bits // 8)
-                    d = np.where(high, d << _U(bits), d)
-                same[some] = lead
+            differ = key[np.minimum(a[:, None] + stride, n)] ^ key[np.minimum(b[:, None] + stride, n)]
+            first = (differ != 0).argmax(1)
+            d = differ[np.arange(len(go)), first]
+            lead = np.zeros(len(go), np.int64)
+            for bits in (32, 16, 8):
+                high = d >> _U(64 - bits) == 0
+                lead += high * (bits // 8)
+                d = np.where(high, d << _U(bits), d)
+            same = np.where(d == 0, 64, 8 * first + lead)
             gain = np.minimum(same, np.maximum(room, 0))
             have[go] += gain
-            go = go[(gain == 8) & (have[go] < cap)]
+            go = go[(gain == 64) & (have[go] < cap)]
         shared[live] = have
         out[place[i]] = have
     return out
@@ -199,12 +201,11 @@ def repeats_in(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray,
     sizes = np.array([len(t) for t in texts], np.int64)
     starts = np.cumsum(np.r_[0, sizes[:-1]]) if len(sizes) else np.zeros(0, np.int64)
     order, _ = suffix_array(data, len(data))  # in full: the walk relies on it
-    shared = common_prefixes(data, order, starts, sizes, length)
-    kind = np.cumsum(shared < length)
+    whole = np.repeat(sizes - length + 1, sizes) > np.arange(len(data)) - np.repeat(starts, sizes)
+    order = order[whole[order]]
+    shared = common_prefixes(data, order, starts, np.maximum(sizes - length + 1, 0), length)
     text = np.searchsorted(starts, order, "right") - 1
-    start = order - starts[text]
-    whole = start + length <= sizes[text]
-    return text[whole], start[whole], kind[whole], data
+    return text, order - starts[text], np.cumsum(shared < length), data
 
 
 _SPAN = "doc_id long, th long, lo long, hi long"
