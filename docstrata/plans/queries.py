@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -20,7 +21,7 @@ def query(sql: str | None = None, name: str | None = None):
 
     def register(fn):
         key = name or fn.__name__
-        QUERIES[key] = lambda spark, sf_dir: fn(Derived(spark, sf_dir))
+        QUERIES[key] = lambda spark, sf_dir: fn(derived(spark, sf_dir))
         if sql:
             ORACLE_SQL[key] = oracle(sql)
         return fn
@@ -28,28 +29,63 @@ def query(sql: str | None = None, name: str | None = None):
     return register
 
 
+def kept(method):
+    """Persists what a method derives, once for each corpus: dates, mentions, edges and labels feed many
+    queries, and a plan that starts at a persisted table stays small."""
+
+    @wraps(method)
+    def get(self) -> DataFrame:
+        if method.__name__ not in self.held:
+            self.held[method.__name__] = method(self).persist()
+        return self.held[method.__name__]
+
+    return get
+
+
+def derived(spark: SparkSession, sf_dir: str) -> Derived:
+    """One Derived for each session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _CORPORA:
+        _CORPORA.clear()  # of a folder that is no longer asked for
+        _CORPORA[key] = Derived(spark, sf_dir)
+    return _CORPORA[key]
+
+
+_CORPORA: dict[tuple[str, str], Derived] = {}
+
+
 class Derived(Corpus):
     """What operators derive from the corpus."""
 
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__(spark, sf_dir)
+        self.held: dict[str, DataFrame] = {}
+
+    @kept
     def dates(self) -> DataFrame:
         return extract.resolved_dates(self.artifacts, self.content, self.relation("metadata"))
 
+    @kept
     def chosen(self) -> DataFrame:
         return extract.chosen_dates(self.dates())
 
+    @kept
     def mentions(self) -> DataFrame:
         return extract.entity_mentions(self.content)
 
     def keys(self) -> DataFrame:
         return graph.match_keys(self.artifacts.withColumn("labels", F.col("headings")))
 
+    @kept
     def refs(self) -> DataFrame:
         return graph.reference_scan(self.content, self.keys())
 
+    @kept
     def edges(self) -> DataFrame:
         chosen = self.chosen()
         return graph.assemble_edges(graph.orient(self.refs(), chosen), graph.entity_chain(self.mentions(), chosen))
 
+    @kept
     def members(self) -> DataFrame:
         chosen, vectors = self.chosen(), self.relation("vectors")
         return direction.current_members(vectors, direction.cluster_profile(vectors, chosen), chosen)
@@ -57,9 +93,11 @@ class Derived(Corpus):
     def confirmed(self) -> DataFrame:
         return self.relation("feedback").groupBy("artifact_id").agg(F.first("project_id").alias("project_id"), F.max_by("label", "given_at").alias("label"))
 
+    @kept
     def labels(self) -> DataFrame:
         return direction.direction_labels(self.relation("vectors"), self.chosen(), self.edges(), self.confirmed())
 
+    @kept
     def coverage(self) -> DataFrame:
         every = self.relation("projects").select("project_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("phase_id")).join(F.broadcast(self.relation("phases")), "phase_id")
         return phases.phase_coverage(every, self.relation("assignments"))
@@ -68,19 +106,23 @@ class Derived(Corpus):
         totals = self.artifacts.groupBy("project_id").agg(F.count("*").alias("artifacts_total"))
         return gaps.structural_gaps(self.coverage(), totals)
 
+    @kept
     def promises(self) -> DataFrame:
         return gaps.promise_candidates(self.content)
 
+    @kept
     def promised(self) -> DataFrame:
         return gaps.promised_gaps(self.promises(), self.content, self.artifacts, self.chosen())
 
     def versions(self) -> DataFrame:
         return state.current_version(state.version_chain(self.relation("versions")))
 
+    @kept
     def names(self) -> DataFrame:
         v = self.versions().select("artifact_id", "suggested_name")
         return self.artifacts.join(v, "artifact_id", "left").select("artifact_id", T.clean_name(F.col("suggested_name"), F.col("original_filename")).alias("name"))
 
+    @kept
     def events(self) -> DataFrame:
         return report.timeline(self.dates(), self.artifacts)
 
@@ -88,6 +130,7 @@ class Derived(Corpus):
         named = self.relation("phases").withColumn("ordinal", F.col("phase_id"))
         return phases.choose_category(self.relation("assignments"), named)
 
+    @kept
     def view(self) -> DataFrame:
         return view.view_projection(self.artifacts, self.chosen(), self.categories(), view.top_entities(self.mentions()))
 
