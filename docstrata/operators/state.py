@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
@@ -75,8 +76,6 @@ def current_version(versions: DataFrame, key: str = "artifact_id") -> DataFrame:
 
 def isolate_errors(df: DataFrame, fn, column: str, message_chars: int = 2000) -> DataFrame:
     """df with ok, value and error: fn(text) -> text runs on column; a row that raises doesn't stop others."""
-    import pandas as pd
-
     @F.pandas_udf("ok boolean, value string, error string")
     def run(texts: pd.Series) -> pd.DataFrame:
         rows = []
