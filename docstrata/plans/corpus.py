@@ -6,6 +6,7 @@ grow with documents and embeddings.
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -61,6 +62,16 @@ old_gaps AS (
 """
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder and read again; a folder is set here only where the session has none."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    path = f"{sc.getCheckpointDir()}/derived-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Corpus:
     """The relations as DataFrames, each made when it is first asked for."""
 

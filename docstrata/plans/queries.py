@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import dates as D, text as T, vectors as V
 from ..operators import direction, embed, extract, gaps, graph, ingest, judge, phases, report, serve, state, view
-from .corpus import Corpus
+from .corpus import Corpus, written
 from .oracles import dot, oracle, squeeze
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,13 +30,13 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def kept(method):
-    """Persists what a method derives, once for each corpus: dates, mentions, edges and labels feed many
-    queries, and a plan that starts at a persisted table stays small."""
+    """Writes what a method derives to the shared folder, once for each corpus: dates, mentions, edges and
+    labels feed many queries, and a plan that starts at a written table stays small."""
 
     @wraps(method)
     def get(self) -> DataFrame:
         if method.__name__ not in self.held:
-            self.held[method.__name__] = method(self).persist()
+            self.held[method.__name__] = written(method(self))
         return self.held[method.__name__]
 
     return get
