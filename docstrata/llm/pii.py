@@ -4,7 +4,8 @@ Every detected value is replaced by one that a keyed hash derives from it: the s
 surrogate everywhere, with the same script, letter case and format (a card number stays a valid card
 number, an address a valid address, a name a name of the same gender and script). A collision check over
 the distinct values of the corpus gives values whose surrogate is taken, or is a value that occurs, a new
-one, until all are distinct. Everything is DataFrame expressions.
+one, until all are distinct. Surrogates of later attempts are longer, so that there are enough for any
+number of values of one shape. Everything is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ from .common import cut
 #: Collided values up to this number travel as a constant map; more of them are joined by shuffle.
 INLINE_RETRIES = 1000
 
+#: A surrogate gets one more syllable, letter or digit for every so many attempts.
+ATTEMPTS_PER_STEP = 2
+
 TITLES_F = "Mrs|Ms|Miss|Madam|Madame|Mme|Frau|Señora|Señorita|Sra|госпожа|Госпожа"
 TITLES_M = "Mr|Sir|Monsieur|Herr|Señor|Sr|господин|Господин"
 _NAME = r"[ ]\p{Lu}\p{Ll}+(?:[ ]\p{Lu}\p{Ll}+)?"
@@ -87,35 +91,48 @@ def _pick(values: list[str], seed: str, at: int) -> str:
     return f"element_at(array({listed}), cast({_number(seed, at, len(values))} as int) + 1)"
 
 
+def _longer(values: list[str]) -> str:
+    """SQL: a member of values for each hex digit of v.more."""
+    listed = ", ".join(f"'{v}'" for v in values)
+    return f"array_join(transform(filter(split(v.more, ''), c -> c <> ''), c -> element_at(array({listed}), cast(conv(c, 16, 10) as int) % {len(values)} + 1)), '')"
+
+
 def surrogate_sql(kind: str, canon: str, key: str, attempt: str) -> str:
     """SQL of the canonical surrogate of a value: kind, canon, key and attempt are SQL expressions."""
     seed_of = f"concat(sha2(concat_ws('|', {key}, {kind}, {canon}, {attempt}), 256), sha2(concat_ws('|', {attempt}, {key}, {kind}, {canon}), 256))"
+    steps = f"least(floor(({attempt}) / {ATTEMPTS_PER_STEP}), 64)"
+    more_of = f"if(({attempt}) < {ATTEMPTS_PER_STEP}, '', substr(sha2(concat_ws('|', 'more', {attempt}, {key}, {kind}, {canon}), 256), 1, cast({steps} as int)))"
+    digits, letters = "translate(v.more, 'abcdef', '036925')", "translate(v.more, '0123456789abcdef', 'acdefghklmnoprst')"
     shaped = _reshape("v.canon", "v.seed")
     # a digit string whose last digit makes the Luhn sum a multiple of ten
-    body = f"concat(substr(v.canon, 1, 1), substr({shaped}, 2, length(v.canon) - 2))"
+    body = f"concat(substr(v.canon, 1, 1), substr({shaped}, 2, length(v.canon) - 2), {digits})"
     luhn = "aggregate(transform(split(reverse(b), ''), (c, i) -> if(i % 2 = 0, cast(c as int) * 2 - if(cast(c as int) > 4, 9, 0), cast(c as int))), 0, (t, x) -> t + x)"
     card = f"transform(array({body}), b -> concat(b, cast(pmod(10 - {luhn} % 10, 10) as string)))[0]"
+    # IPv4 has no longer addresses: later attempts are IPv6 addresses of the range for documentation
+    ip6 = "concat_ws(':', '2001:db8', " + ", ".join(f"substr(v.seed, {at}, 4)" for at in range(1, 25, 4)) + ")"
     ip = f"concat_ws('.', {_number('v.seed', 1, 126)} + 1, {_number('v.seed', 9, 256)}, {_number('v.seed', 17, 256)}, {_number('v.seed', 25, 254)} + 1)"
+    ip = f"if(v.more = '', {ip}, {ip6})"
     # country code and length stay; the first digit after the code is not 0
-    phone = f"concat(substr(v.canon, 1, length(v.canon) - 10), cast({_number('v.seed', 41, 8)} + 2 as string), right({shaped}, least(length(v.canon), 10) - 1))"
+    phone = f"concat(substr(v.canon, 1, length(v.canon) - 10), cast({_number('v.seed', 41, 8)} + 2 as string), right({shaped}, least(length(v.canon), 10) - 1), {digits})"
     names = []
     for script in ("cyrillic", "latin"):
-        family = f"initcap(concat({_pick(SYLLABLES[script], 'v.seed', 11)}, {_pick(SYLLABLES[script], 'v.seed', 21)}, {_pick(SYLLABLES[script], 'v.seed', 31)}))"
+        family = f"initcap(concat({_pick(SYLLABLES[script], 'v.seed', 11)}, {_pick(SYLLABLES[script], 'v.seed', 21)}, {_pick(SYLLABLES[script], 'v.seed', 31)}, {_longer(SYLLABLES[script])}))"
         given = f"if(v.kind = 'name_f', {_pick(GIVEN['f', script], 'v.seed', 1)}, {_pick(GIVEN['m', script], 'v.seed', 1)})"
         names.append(f"if(v.canon like '% %', concat({given}, ' ', {family}), {family})")
     name = rf"if(v.canon rlike '\\p{{IsCyrillic}}', {names[0]}, {names[1]})"
-    email = f"concat({_reshape('x.local', 'v.seed')}, '@', {_reshape('x.host', 'reverse(v.seed)')}, x.top)"
+    email = f"concat({_reshape('x.local', 'v.seed')}, {letters}, '@', {_reshape('x.host', 'reverse(v.seed)')}, x.top)"
     email = rf"transform(array(named_struct('local', regexp_extract(v.canon, '^(.*)@', 1), 'host', regexp_extract(v.canon, '@(.*)\\.[a-z]+$', 1), 'top', regexp_extract(v.canon, '(\\.[a-z]+)$', 1))), x -> {email})[0]"
-    access = f"concat(substr(v.canon, 1, 4), {_reshape('substr(v.canon, 5)', 'v.seed')})"
-    return f"""transform(array(named_struct('kind', {kind}, 'canon', {canon}, 'seed', {seed_of})), v -> case v.kind
+    access = f"concat(substr(v.canon, 1, 4), {_reshape('substr(v.canon, 5)', 'v.seed')}, upper({letters}))"
+    return f"""transform(array(named_struct('kind', {kind}, 'canon', {canon}, 'seed', {seed_of}, 'more', {more_of})), v -> case v.kind
       when 'email' then {email} when 'card' then {card} when 'ip' then {ip} when 'phone' then {phone}
-      when 'access_key' then {access} when 'name_f' then {name} when 'name_m' then {name} else {shaped} end)[0]"""
+      when 'access_key' then {access} when 'name_f' then {name} when 'name_m' then {name}
+      when 'ssn' then concat({shaped}, {digits}) else concat({shaped}, if(v.canon rlike '^[0-9]+$', {digits}, v.more)) end)[0]"""
 
 
 def spell_sql(kind: str, value: str, canon: str, sub: str) -> str:
     """SQL: the canonical surrogate sub in the format of the value it replaces."""
     digits = f"""aggregate(split({value}, ''), named_struct('out', '', 'i', 1), (acc, c) ->
-      if(c rlike '^[0-9]$', named_struct('out', concat(acc.out, substr({sub}, acc.i, 1)), 'i', acc.i + 1), named_struct('out', concat(acc.out, c), 'i', acc.i)), acc -> acc.out)"""
+      if(c rlike '^[0-9]$', named_struct('out', concat(acc.out, substr({sub}, acc.i, 1)), 'i', acc.i + 1), named_struct('out', concat(acc.out, c), 'i', acc.i)), acc -> concat(acc.out, substr({sub}, acc.i)))"""
     return f"""case when {kind} in ('phone', 'card', 'ssn') then {digits}
       when {kind} in ('secret', 'name_f', 'name_m') then concat(substr({value}, 1, length({value}) - length({canon})), {sub})
       when {kind} = 'email' and {value} = upper({value}) then upper({sub}) else {sub} end"""
