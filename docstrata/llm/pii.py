@@ -24,17 +24,25 @@ ATTEMPTS_PER_STEP = 2
 
 TITLES_F = "Mrs|Ms|Miss|Madam|Madame|Mme|Frau|Señora|Señorita|Sra|госпожа|Госпожа"
 TITLES_M = "Mr|Sir|Monsieur|Herr|Señor|Sr|господин|Господин"
-_NAME = r"[ ]\p{Lu}\p{Ll}+(?:[ ]\p{Lu}\p{Ll}+)?"
+#: Words in lower case that are part of a family name.
+PARTICLES = "von|vom|van|zu|zum|zur|de|del|della|di|da|das|dos|du|der|den|ter|ten|la|le|bin|ibn|al"
+#: A word of a name: McDonald, O'Brien, Müller-Lüdenscheidt; a final 's isn't part of it.
+_WORD = r"(?=[\p{L}\p{M}'’‐‑-]*\p{Ll})\p{Lu}[\p{L}\p{M}]*+(?:['’](?!s(?![\p{L}\p{M}]))[\p{L}\p{M}]++|[‐‑-][\p{L}\p{M}]++)*+"
+_PART = rf"(?:(?:(?:{PARTICLES})[ ]|\p{{Lu}}\.[ ]?)*+){_WORD}"
+_NAME = rf"[ ]{_PART}(?:[ ]{_PART})*+"
+
+#: A secret runs to a blank, quote, bracket or separator; a dot and the like end it unless more follows.
+_SECRET = r"A-Za-z0-9+/_=~@#$%^*-"
 
 #: kind, pattern. Earlier kinds win where two start at one place.
 KINDS: list[tuple[str, str]] = [
     ("email", r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}(?![\w-])"),
-    ("secret", r"(?<!\w)(?i:password|passwd|pwd|secret|token|api_key|apikey|access_key)\s?[=:]\s?[\"']?[A-Za-z0-9+/_-]{8,256}"),
+    ("secret", r"(?<!\w)(?i:password|passwd|pwd|secret|token|api_key|apikey|access_key)\s?[=:]\s?[\"']?" + f"(?=[+/_~@#$%^*-]*[A-Za-z0-9])(?=[^=](?:[{_SECRET}]|[.:!?](?=[{_SECRET}])){{7}})[{_SECRET}]++(?:[.:!?]++[{_SECRET}]++)*+"),
     ("access_key", r"(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)"),
-    ("card", r"(?<![\w.])[3-6]\d{3}([ -]?)\d{4}\1\d{4}\1\d{4}(?![\w])"),
+    ("card", r"(?<![\w.])[3-6]\d{3}([ -]?)\d{4}\1\d{4}\1\d{4}(?![\w])|(?<![\w.])3\d{3}(?:[ ]\d{6}[ ]|-\d{6}-|\d{6})\d{5}(?!\w)"),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     ("ip", r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)"),
-    ("phone", r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}(?!\w)|(?<!\w)\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\w)"),
+    ("phone", r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}(?!\w)|(?<!\w)\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.+-])(?:1[ .-])?\d{3}(?:-\d{3}-|\.\d{3}\.|[ ]\d{3}[ ])\d{4}(?![\w-])"),
     ("name_f", rf"(?<!\w)(?:{TITLES_F})\.?{_NAME}"),
     ("name_m", rf"(?<!\w)(?:{TITLES_M}|Dr|Prof)\.?{_NAME}"),
 ]
@@ -74,12 +82,12 @@ def canonical(kind: Column, value: Column) -> Column:
 def _reshape(value: str, seed: str) -> str:
     """SQL: value with each ASCII letter or digit replaced by one of the same class taken from the hex
     digits of seed; hex strings stay hex."""
-    return f"""array_join(transform(split({value}, ''), (c, i) -> case
+    return f"""transform(array({value} rlike '^[0-9a-f]+$'), hex -> array_join(transform(split({value}, ''), (c, i) -> case
       when c rlike '^[0-9]$' then translate(substr({seed}, i % 128 + 1, 1), 'abcdef', '036925')
-      when {value} rlike '^[0-9a-f]+$' then translate(substr({seed}, i % 128 + 1, 1), '0123456789', 'abcdefabcd')
+      when hex then translate(substr({seed}, i % 128 + 1, 1), '0123456789', 'abcdefabcd')
       when c rlike '^[a-z]$' then translate(substr({seed}, i % 128 + 1, 1), '0123456789abcdef', 'acdefghklmnoprst')
       when c rlike '^[A-Z]$' then translate(substr({seed}, i % 128 + 1, 1), '0123456789abcdef', 'ACDEFGHKLMNOPRST')
-      else c end), '')"""
+      else c end), ''))[0]"""
 
 
 def _number(seed: str, at: int, below: int) -> str:
@@ -105,7 +113,8 @@ def surrogate_sql(kind: str, canon: str, key: str, attempt: str) -> str:
     digits, letters = "translate(v.more, 'abcdef', '036925')", "translate(v.more, '0123456789abcdef', 'acdefghklmnoprst')"
     shaped = _reshape("v.canon", "v.seed")
     # a digit string whose last digit makes the Luhn sum a multiple of ten
-    body = f"concat(substr(v.canon, 1, 1), substr({shaped}, 2, length(v.canon) - 2), {digits})"
+    head = "if(length(v.canon) = 15, 2, 1)"
+    body = f"concat(substr(v.canon, 1, {head}), substr({shaped}, {head} + 1, length(v.canon) - 1 - {head}), {digits})"
     luhn = "aggregate(transform(split(reverse(b), ''), (c, i) -> if(i % 2 = 0, cast(c as int) * 2 - if(cast(c as int) > 4, 9, 0), cast(c as int))), 0, (t, x) -> t + x)"
     card = f"transform(array({body}), b -> concat(b, cast(pmod(10 - {luhn} % 10, 10) as string)))[0]"
     # IPv4 has no longer addresses: later attempts are IPv6 addresses of the range for documentation
@@ -166,7 +175,7 @@ def replace_pii(docs: DataFrame, key: str = "surrogate-key", columns: list[str]
     rows that repeat get equal results; an empty table gives an empty result."""
     carried = [F.col(f"`{c}`") for c in columns or []]
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carried)
-    found = F.when(F.col("text").rlike(r"[@+=:(]|\d[\d. -]{5}|AKIA|ASIA|(?:" + f"{TITLES_F}|{TITLES_M}|Dr|Prof" + r")\.? \p{Lu}"), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
+    found = F.when(F.col("text").rlike(r"[@+=:(]|\d[\d. -]{5}|AKIA|ASIA|(?:" + f"{TITLES_F}|{TITLES_M}|Dr|Prof" + rf")\.? (?:\p{{Lu}}|(?:{PARTICLES}) )"), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
     base = base.withColumn("found", F.coalesce(found, F.array().cast("array<string>")))
     kind = kind_of(F.col("value"))
     values = base.where(F.size("found") > 0).select(F.explode("found").alias("value")).distinct().withColumn("kind", kind)

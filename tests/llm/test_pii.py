@@ -104,3 +104,35 @@ def test_longer_surrogates_keep_their_kind(spark):
     assert re.fullmatch(r"[0-9a-f]{21}", key) and re.fullmatch(r"\d{11}", number) and re.fullmatch(r"AKIA[A-Z0-9]{19}", access)
     spelled = spark.sql(f"SELECT {pii.spell_sql("'ssn'", "'123-45-6789'", "'123456789'", "'987654321055'")} AS s").first().s
     assert spelled == "987-65-4321055"
+
+
+JWT = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.SflKxwRJSMeKKF2QT4fwpM"
+WHOLE = [
+    # text before, value, text after, kind
+    ("token=", JWT, ". Next", "secret"), ("api_key: ", "Ab3" * 20_000, " end", "secret"), ("password='", "abc.DEF!ghi9==", "' x", "secret"), ("pwd=", "12345678", ", y", "secret"),
+    ("secret=", "0123456789abcdef" * 2_000, "", "secret"), ("Mr. ", "McDonald", " left", "name_m"), ("Frau ", "Müller-Lüdenscheidt", ", hier", "name_f"), ("Mr. ", "O'Brien", "'s car", "name_m"),
+    ("Mrs. ", "Anne-Marie D’Arcy", "’s car", "name_f"), ("Dr. ", "John F. Kennedy", " spoke", "name_m"), ("Herr ", "Ludwig van Beethoven", " spielt", "name_m"), ("Frau ", "von der Leyen", " sagt", "name_f"),
+    ("Mr. ", "John Paul Jones", " and", "name_m"), ("господин ", "Римский-Корсаков", " и", "name_m"), ("call ", "415-555-2671", ".", "phone"), ("call ", "415.555.2671", ", now", "phone"),
+    ("call ", "415 555 2671", " now", "phone"), ("call ", "1-415-555-2671", "", "phone"), ("card ", "378282246310005", ".", "card"), ("card ", "3782 822463 10005", " ok", "card"), ("card ", "3782-822463-10005", "", "card"),
+]
+
+
+def test_whole_values_are_replaced(make_docs):
+    """Nothing of a value stays: the text around it is as it was and the surrogate holds no part of it."""
+    got = run(make_docs([(i, a + v + b) for i, (a, v, b, _) in enumerate(WHOLE)]))
+    for i, (a, v, b, kind) in enumerate(WHOLE):
+        text = got[i].text
+        assert got[i].kinds == kind and got[i].n_entities == 1, (v[:40], got[i].kinds)
+        assert text.startswith(a) and text.endswith(b), (v[:40], text[:80])
+        new = text[len(a) : len(text) - len(b)]
+        assert new != v and not any(part in new for part in re.findall(r"\w{4,}", v)), (v[:40], new[:80])
+        if kind in ("card", "phone"):
+            assert re.sub(r"\d", "9", new) == re.sub(r"\d", "9", v) and (kind != "card" or luhn(new))
+        if kind == "secret":
+            assert len(new) == len(v) and re.sub(r"\w", "", new) == re.sub(r"\w", "", v)
+
+
+def test_no_values(make_docs):
+    clean = ["token: short. Next", "password=--------", "Mr. X", "Sr. 4", "1234-555-2671", "415-5555-2671", "12 345 6789", "38782822463100051", "Dr. and Mrs. of the house"]
+    got = run(make_docs(list(enumerate(clean))))
+    assert [got[i].text for i in range(len(clean))] == clean
