@@ -182,14 +182,16 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, sample_rows: int
     for which is_query holds, among all rows of other ids, by inner product in double precision; ties
     go to the smaller vec_id. Rows with a null id, and vectors that are null, zero, of another
     dimension than most, or hold null or non-finite components take no part. Rows that repeat an id
-    count once. An empty table gives an empty result; other columns are ignored."""
+    count once, by the greatest of their vectors. An empty table gives an empty result; other columns are
+    ignored."""
     spark = vectors.sparkSession
     good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & sound(F.col("embedding")))
-    width = good.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
+    width = good.groupBy(F.size("embedding").alias("d")).agg(F.countDistinct("vec_id").alias("ids")).orderBy(F.desc("ids"), F.desc("d")).first()
     schema = "query_id long, rank int, vec_id long, score double"
     if width is None:
         return spark.createDataFrame([], schema)
-    good = good.where(F.size("embedding") == width["d"])
+    # one row per id before anything is fitted or the best rows of a list are taken
+    good = cut(good.where(F.size("embedding") == width["d"]).groupBy("vec_id").agg(F.max("embedding").alias("embedding")))
     index = fit_index(good, sample_rows)
     stored, asked = cut(_routed(good, index, False)), cut(_routed(good.where(is_query), index, True))
 

@@ -56,3 +56,16 @@ def test_recall(spark):
         assert sorted(own["rank"]) == list(range(1, 21))
         hit, total = hit + len(best & set(own.vec_id)), total + 20
     assert hit / total >= 0.9
+
+
+def test_every_row_repeats(spark):
+    rng = np.random.default_rng(1)
+    once = [(i, [float(x) for x in rng.normal(size=3)]) for i in range(60)]
+    rows = once * 2 + [(77, [9.0, 9.0, 9.0])] * 40
+    df = spark.createDataFrame([(i, v, 1, "x", 2) for i, v in rows], SCHEMA)
+    got = nearest(df, F.col("vec_id") % 5 == 0, 7).collect()
+    want = brute(rows, 5, 7)
+    assert {(r.query_id, r["rank"], r.vec_id) for r in got} == want and len(got) == len(want)
+    other = df.union(spark.createDataFrame([(3, [50.0, 50.0, 50.0], 1, "x", 2)], SCHEMA))  # the greatest vector of id 3 counts
+    best = {r.vec_id for r in nearest(other, F.col("vec_id") == 77, 1).collect()}
+    assert best == {3}
