@@ -31,15 +31,28 @@ _SEEN[128:] = np.arange(128, 256)
 
 
 def grams(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """bucket of every n-gram, bounds and docs, by chunk and n. N-grams of blanks only share a bucket."""
+    """bucket of every n-gram, bounds and docs, by chunk and n. N-grams of blanks only share a bucket. An
+    n-gram lies in one text: the last n - 1 bytes of a text begin none, and the pieces of a long text
+    count as one."""
+    end, last = np.zeros(0, np.uint32), -1  # the last bytes of the piece before, and its text
     for data, bounds, docs in chunks(texts):
         seen = _SEEN[data].astype(np.uint32)
+        goes_on = len(docs) > 0 and docs[0] == last
+        before = end if goes_on else end[:0]
         for n in GRAMS:
-            key = np.zeros(len(seen), np.uint32)
+            part = np.concatenate([before[max(0, len(before) - n + 1) :], seen])
+            limits = bounds + (len(part) - len(seen))
+            limits[0] = 0
+            key = np.zeros(max(0, len(part) - n + 1), np.uint32)
             for k in range(n):
-                key[: len(seen) - k] = key[: len(seen) - k] << np.uint32(8) | seen[k:]
+                key = key << np.uint32(8) | part[k : k + len(key)]
             bucket = (key * np.uint32(0x9E3779B1) + np.uint32(n * 0x85EBCA6B & 0xFFFFFFFF)) >> np.uint32(32 - 14)
-            yield bucket.astype(np.int64), bounds, docs
+            counts = np.maximum(np.diff(limits) - n + 1, 0)
+            starts = np.concatenate([[0], np.cumsum(counts)])
+            own = np.arange(starts[-1]) + np.repeat(limits[:-1] - starts[:-1], counts)
+            yield bucket[own].astype(np.int64), starts, docs
+        if len(docs):
+            end, last = np.concatenate([before, seen[bounds[-2] :]])[-(max(GRAMS) - 1) :], int(docs[-1])
 
 
 @dataclass
