@@ -1,16 +1,19 @@
 """Removal of repeated byte strings with suffix arrays.
 
 A string of `length` bytes is repeated if it starts at two places, in one document or two. Both copies
-hold the same anchor: the k-gram whose hash is least among those of the string (winnowing). So:
-
-1. Every document's anchors, each with a hash of its context (all strings of that length around it).
-2. Contexts that occur twice are repeated as a whole. What is left are anchors that occur in different
-   contexts: only these contexts' bytes are fetched, one of each kind.
+hold the same anchor at the same offset: the k-gram whose hash is least among those of the string
+(winnowing). So every start belongs to one anchor, and only starts of equal anchors are compared:
+
+1. Every document's anchors, each with a hash of its context: all strings that have it as their anchor.
+2. Contexts that occur twice are repeated as a whole. What is left are equal anchors in different
+   contexts. Two of these can share a string only if they share one of STEP bytes less that begins at
+   a multiple of STEP before the anchor; contexts that share no such string with another are done.
+   Of the others, bytes are fetched, once for each kind.
 3. Contexts are dealt into shards by anchor. Each shard builds the suffix array of its contexts
    (Larsson-Sadakane: prefix doubling that touches unsorted groups only) and common prefixes (Kasai's
    walk, in lockstep over the contexts), which gives all repeats within the shard.
 4. An anchor with very many contexts is spread over shards. Each of these cuts its sorted strings by
-   range, and one task per range searches each shard's strings in the others' by bisection.
+   range; one task per anchor and range merges the shards' strings by binary search.
 """
 
 from __future__ import annotations
@@ -22,11 +25,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, partitions
+from .common import cut, discard, partitions
 from .textbatch import CHUNK, mix, text_bytes
 
 #: Contexts in a shard; an anchor with more of them is spread.
 CELL = 1500
+#: Bytes between the places before an anchor from which shared strings are looked for.
+STEP = 50
 #: Key sets up to this size are broadcast; larger ones are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 _U = np.uint64
@@ -70,29 +75,29 @@ def window_minima(keys: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], front[w - 1 : n])
 
 
-def pieces(texts: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """data, docs, offsets, sizes, places: slices of about CHUNK bytes. Document docs[i] is data from
-    places[i]; of a long one it is the part from offsets[i], with enough around it that every window of
-    length bytes is whole in one slice and every context of an anchor in it is whole too."""
+def pieces(texts: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """data, docs, offsets, places, until: slices of about CHUNK bytes. Document docs[i] is data from
+    places[i]; of a long one it is the part from offsets[i]. The slice owns the anchors that begin at offset
+    until - CHUNK or later and before until; every string that has one of them as its anchor is whole in it."""
     data, bounds = text_bytes(texts)
     i, n = 0, len(texts)
     while i < n:
         j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + CHUNK, "right")) - 1)
         if bounds[j] - bounds[i] <= CHUNK:
-            sizes = np.diff(bounds[i : j + 1])
-            yield data[bounds[i] : bounds[j]], np.arange(i, j), np.zeros(j - i, np.int64), sizes, bounds[i:j] - bounds[i]
+            yield data[bounds[i] : bounds[j]], np.arange(i, j), np.zeros(j - i, np.int64), bounds[i:j] - bounds[i], CHUNK
         else:
             size = int(bounds[i + 1] - bounds[i])
             for a in range(0, size, CHUNK):
-                lo, hi = max(0, a - length), min(size, a + CHUNK + 3 * length)
-                yield data[bounds[i] + lo : bounds[i] + hi], np.array([i]), np.array([lo]), np.array([size]), np.array([0])
+                lo, hi = max(0, a - 2 * length), min(size, a + CHUNK + 2 * length)
+                yield data[bounds[i] + lo : bounds[i] + hi], np.array([i]), np.array([lo]), np.array([0]), a + CHUNK
         i = j
 
 
 def anchors(texts: pa.Array, length: int, k: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """doc, position, fp, c1, c2 of every anchor; c1 and c2 hash its context."""
-    w, left = length - k + 1, length - k
-    for data, docs, offsets, sizes, places in pieces(texts, length):
+    """doc, start, size, fp, c1, c2, ends, grid of every anchor: its context is size bytes from start, c1 and c2
+    hash it. grid[ends[i] : ends[i + 1]] hash the strings through which context i can share one with another."""
+    w, step = length - k + 1, min(STEP, length - k + 1)
+    for data, docs, offsets, places, until in pieces(texts, length):
         if len(data) < length:
             continue
         h, g = _Hash(data, _BASES[0]), _Hash(data, _BASES[1])
@@ -100,21 +105,28 @@ def anchors(texts: pa.Array, length: int, k: int) -> Iterator[tuple[np.ndarray,
         fps = mix(h.of(at, at + k))
         # the last of equal minima: what a window selects depends on its bytes only
         keys = (fps >> _U(24) << _U(24)) | (_U((1 << 24) - 1) - at.astype(_U))
-        least = _U((1 << 24) - 1) - (window_minima(keys, w) & _U((1 << 24) - 1))
-        # windows that lie in one document
+        least = (_U((1 << 24) - 1) - (window_minima(keys, w) & _U((1 << 24) - 1))).astype(np.int64)
+        # windows that lie in one document; those of one anchor follow each other
         ends = np.append(places[1:], len(data))
         own = np.repeat(np.arange(len(docs)), ends - places)[: len(least)]
-        ok = np.arange(len(least)) + length <= ends[own]
-        found = np.unique(least[ok]).astype(np.int64)
-        of = np.searchsorted(places, found, "right") - 1
-        lo = np.maximum(found - left, places[of])
-        hi = np.minimum(found + length, ends[of])
-        if len(docs) == 1 and sizes[0] > CHUNK:  # a slice of a long text: contexts cut by the slice belong to its neighbour
-            first, last = offsets[0] == 0, offsets[0] + len(data) == sizes[0]
-            whole = (first | (found >= left)) & (last | (found + length <= len(data)))
-            found, of, lo, hi = found[whole], of[whole], lo[whole], hi[whole]
-        shape = (found - lo).astype(_U) * _U(1 << 20) + (hi - found).astype(_U)
-        yield docs[of], found - places[of] + offsets[of], fps[found].view(np.int64), mix(h.of(lo, hi) + shape).view(np.int64), mix(g.of(lo, hi) ^ shape).view(np.int64)
+        windows = np.flatnonzero(np.arange(len(least)) + length <= ends[own])
+        chosen = least[windows]
+        new = np.flatnonzero(np.r_[True, chosen[1:] != chosen[:-1]]) if len(chosen) else np.zeros(0, np.int64)
+        found, first, last = chosen[new], windows[new], windows[np.r_[new[1:], len(chosen)] - 1]
+        of = own[first]
+        place = found - places[of] + offsets[of]
+        mine = (place < until) & (place >= until - CHUNK) | (len(docs) > 1)
+        found, first, last, of = found[mine], first[mine], last[mine], of[mine]
+        size = last + length - first
+        shape = (found - first).astype(_U) * _U(1 << 20) + size.astype(_U)
+        # of a shared string that begins d bytes before the anchor, the part from d // step * step on
+        far, near = (found - first) // step, (found - last) // step
+        count = far - near + 1
+        row = np.repeat(np.arange(len(found)), count)
+        number = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + near[row]
+        from_ = found[row] - number * step
+        grid = mix(h.of(from_, np.minimum(from_ + length - step + 1, ends[of][row])) + number.astype(_U)) >> _U(32)
+        yield docs[of], first - places[of] + offsets[of], size, fps[found].view(np.int64), mix(h.of(first, first + size) + shape).view(np.int64), mix(g.of(first, first + size) ^ shape).view(np.int64), np.r_[0, np.cumsum(count)], grid.astype(np.uint32).view(np.int32)
 
 
 def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +138,7 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     key = np.zeros(n, _U)
     for i in range(8):
         key = key << _U(8) | padded[i : i + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     sorted_key = key[order]
     new = np.r_[True, sorted_key[1:] != sorted_key[:-1]] if n else np.zeros(0, bool)
     start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
@@ -142,7 +154,7 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         after = who + h
         second = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
         pair = rank[who].astype(_U) << _U(32) | second.astype(_U)
-        by = np.argsort(pair, kind="stable")
+        by = np.argsort(pair)
         order[slots] = who[by]
         pair = pair[by]
         new[slots] = np.r_[True, pair[1:] != pair[:-1]]
@@ -209,6 +221,7 @@ def repeats_in(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray,
 
 
 _SPAN = "doc_id long, th long, lo long, hi long"
+_PLACE = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("doc_id", "<i8"), ("th", "<i8"), ("at", "<i8"), ("known", "<i8")])
 
 
 def _runs(doc: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -221,68 +234,54 @@ def _runs(doc: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray,
 
 
 def _shard_repeats(length: int, ranges: int):
-    schema = f"{_SPAN}, range int, packed binary"
+    schema = f"{_SPAN}, anchor long, range int, packed binary"
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         texts = frame["context"].tolist()
         text, start, kind, data = repeats_in(texts, length)
-        ids, th = frame["doc_id"].to_numpy(), frame["th"].to_numpy()
-        ids = np.where(pd.isna(ids), np.iinfo(np.int64).min, ids).astype(np.int64)
-        where = frame["at"].to_numpy() + 0
-        position = where[text] + start
-        # one place may be in several contexts: a class repeats if it holds two different places
-        order = np.lexsort((position, th[text], ids[text], kind))
-        text, start, kind, position = text[order], start[order], kind[order], position[order]
-        same = np.zeros(len(kind), bool)
-        same[1:] = (kind[1:] == kind[:-1]) & (position[1:] == position[:-1]) & (th[text][1:] == th[text][:-1]) & (ids[text][1:] == ids[text][:-1])
-        kinds, dense = np.unique(kind, return_inverse=True)
-        twice = np.bincount(dense, ~same, len(kinds)) > 1
-        hit = twice[dense] & ~same
-        doc, back = np.unique(np.column_stack([ids[text[hit]], th[text[hit]]]), axis=0, return_inverse=True)
-        back = back.ravel()
-        order = np.lexsort((position[hit], back))
-        d, lo, hi = _runs(back[order], position[hit][order], length)
-        out = pd.DataFrame({"doc_id": doc[d, 0], "th": doc[d, 1], "lo": lo, "hi": hi}) if len(d) else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("doc_id", "th", "lo", "hi")})
-        out["range"], out["packed"] = None, None
-        spread = frame["spread"].to_numpy()
-        one = np.flatnonzero(~same & spread[text])
-        if len(one):  # a row for each range of the sorted strings, for the search across shards
-            base = np.cumsum(np.r_[0, [len(t) for t in texts]])[:-1]
-            g = base[text[one]] + start[one]
-            h = [mix(_Hash(data, b).of(g, g + length)) for b in _BASES]
-            order = np.lexsort((h[1], h[0]))
-            one, h = one[order], [x[order] for x in h]
-            table = np.column_stack([h[0].view(np.int64), h[1].view(np.int64), ids[text[one]], th[text[one]], position[one], twice[dense[one]].astype(np.int64)])
-            edges = np.searchsorted(h[0], (np.arange(1, ranges, dtype=_U) * _U((1 << 64) // ranges)))
-            rows = [(r, part.tobytes()) for r, part in enumerate(np.split(table, edges)) if len(part)]
-            more = pd.DataFrame({"range": [r for r, _ in rows], "packed": [p for _, p in rows]})
-            for c in ("doc_id", "th", "lo", "hi"):
-                more[c] = None
+        twice = np.bincount(kind, minlength=1)[kind] > 1  # every start is of one context: a class of two repeats
+        at = frame["at"].to_numpy(np.int64)
+        hit = np.lexsort((start[twice], text[twice]))
+        d, lo, hi = _runs(text[twice][hit], start[twice][hit], length)
+        ids, th = frame["doc_id"].to_numpy(np.int64), frame["th"].to_numpy(np.int64)
+        out = pd.DataFrame({"doc_id": ids[d], "th": th[d], "lo": lo + at[d], "hi": hi + at[d], "anchor": None, "range": None, "packed": None})
+        if len(texts) and frame["spread"].iloc[0]:  # a row for each range of the sorted strings, for the search across shards
+            g = np.cumsum(np.r_[0, [len(t) for t in texts]])[:-1][text] + start
+            places = np.empty(len(g), _PLACE)
+            places["h1"], places["h2"] = (mix(_Hash(data, b).of(g, g + length)) for b in _BASES)
+            places["doc_id"], places["th"], places["at"], places["known"] = ids[text], th[text], at[text] + start, twice
+            places = places[np.lexsort((places["h2"], places["h1"]))]
+            edges = np.searchsorted(places["h1"], (np.arange(1, ranges, dtype=_U) * _U((1 << 64) // ranges)))
+            rows = [(r, part.tobytes()) for r, part in enumerate(np.split(places, edges)) if len(part)]
+            more = pd.DataFrame({"doc_id": None, "th": None, "lo": None, "hi": None, "anchor": key[0], "range": [r for r, _ in rows], "packed": [p for _, p in rows]})
             out = pd.concat([out.astype(object), more.astype(object)])
-        return out[["doc_id", "th", "lo", "hi", "range", "packed"]]
+        return out
 
     return run, schema
 
 
+def merge_sorted(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Two sorted tables of places as one, by bisection of one's keys in the other."""
+    out = np.empty(len(a) + len(b), a.dtype)
+    into = np.searchsorted(a["h1"], b["h1"], "right") + np.arange(len(b))
+    rest = np.ones(len(out), bool)
+    rest[into] = False
+    out[into], out[rest] = b, a
+    return out
+
+
 def _across(length: int):
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
-        tables = [np.frombuffer(p, np.int64).reshape(-1, 6) for p in frame["packed"]]
-        found = []
-        for i, own in enumerate(tables):
-            open_ = own[own[:, 5] == 0]
-            hit = np.zeros(len(open_), bool)
-            for j, other in enumerate(tables):
-                if i == j or not len(open_):
-                    continue
-                keys = other[:, 0].view(_U)
-                lo, hi = np.searchsorted(keys, open_[:, 0].view(_U), "left"), np.searchsorted(keys, open_[:, 0].view(_U), "right")
-                for step in range(int((hi - lo).max(initial=0))):
-                    at = np.minimum(lo + step, len(other) - 1)
-                    equal = (lo + step < hi) & (other[at, 1] == open_[:, 1])
-                    hit |= equal & ((other[at, 2] != open_[:, 2]) | (other[at, 3] != open_[:, 3]) | (other[at, 4] != open_[:, 4]))
-            found.append(open_[hit])
-        all_ = np.concatenate(found) if found else np.zeros((0, 6), np.int64)
-        return pd.DataFrame({"doc_id": all_[:, 2], "th": all_[:, 3], "lo": all_[:, 4], "hi": all_[:, 4] + length})
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        tables = [np.frombuffer(p, _PLACE) for p in frame["packed"]]
+        while len(tables) > 1:
+            tables = [merge_sorted(*tables[i : i + 2]) if i + 1 < len(tables) else tables[i] for i in range(0, len(tables), 2)]
+        all_ = tables[0]
+        new = np.r_[True, all_["h1"][1:] != all_["h1"][:-1]]
+        all_ = all_[np.lexsort((all_["h2"], np.cumsum(new)))] if not new.all() else all_  # the second hash orders equal first ones
+        new = np.r_[True, (all_["h1"][1:] != all_["h1"][:-1]) | (all_["h2"][1:] != all_["h2"][:-1])]
+        kind = np.cumsum(new) - 1
+        hit = all_[(np.bincount(kind)[kind] > 1) & (all_["known"] == 0)]
+        return pd.DataFrame({"doc_id": hit["doc_id"], "th": hit["th"], "lo": hit["at"], "hi": hit["at"] + length})
 
     return run
 
@@ -291,51 +290,57 @@ def repeated_spans(docs: DataFrame, length: int = 400, k: int = 100) -> DataFram
     """doc_id, th, lo, hi: byte ranges of docs (doc_id, text, th = a hash of the text) that repeated
     strings of length bytes cover; ranges may overlap. A null doc_id comes back as the least bigint."""
     spark = docs.sparkSession
-    schema = "doc_id long, th long, pos long, size long, fp long, c1 long, c2 long"
+    schema = "doc_id long, th long, pos long, size int, fp long, c1 long, c2 long, grid array<int>"
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for from_ in range(0, whole.num_rows, 1024):
                 batch = whole.slice(from_, 1024)
                 ids, th = batch.column(0), batch.column(2)
-                sizes = np.diff(text_bytes(batch.column(1))[1])
-                for doc, pos, fp, c1, c2 in anchors(batch.column(1), length, k):
+                for doc, start, size, fp, c1, c2, ends, grid in anchors(batch.column(1), length, k):
                     own = pa.array(doc)
-                    yield pa.record_batch([ids.take(own), th.take(own), pa.array(pos), pa.array(sizes[doc]), pa.array(fp), pa.array(c1), pa.array(c2)], ["doc_id", "th", "pos", "size", "fp", "c1", "c2"])
+                    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(grid))
+                    yield pa.record_batch([ids.take(own), th.take(own), pa.array(start), pa.array(size.astype(np.int32)), pa.array(fp), pa.array(c1), pa.array(c2), lists], ["doc_id", "th", "pos", "size", "fp", "c1", "c2", "grid"])
 
     least = F.lit(-(1 << 63))
     named = docs.select(F.coalesce("doc_id", least).alias("doc_id"), "text", "th")
     found = cut(named.where(F.octet_length("text") >= length).mapInArrow(find, schema))
 
     # contexts that occur more than once are repeated as a whole
-    kinds = cut(found.groupBy("fp", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "pos", "size")).alias("one")))
+    kinds = cut(found.groupBy("fp", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "pos", "size", "grid")).alias("one")))
     twice = found.join(kinds.where("n > 1").select("fp", "c1", "c2").hint("merge"), ["fp", "c1", "c2"])
-    lo, hi = F.greatest(F.lit(0), F.col("pos") - (length - k)), F.least("size", F.col("pos") + length)
-    spans = twice.select("doc_id", "th", lo.cast("long").alias("lo"), hi.cast("long").alias("hi"))
+    spans = cut(twice.select("doc_id", "th", F.col("pos").alias("lo"), (F.col("pos") + F.col("size")).alias("hi")))
+    discard(found)
 
-    # anchors in different contexts: one context of each kind is compared with the others
+    # anchors in different contexts that may share a string: one context of each kind is compared with the others
     several = kinds.groupBy("fp").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    todo = kinds.join(several.hint("merge"), "fp")
+    some = cut(kinds.join(several.hint("merge"), "fp").select("fp", "c1", "c2", "one"))
+    discard(kinds)
+    probes = some.select("fp", "c1", "c2", F.explode("one.grid").alias("part"))
+    shared = probes.groupBy("fp", "part").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    alike = probes.join(shared.hint("merge"), ["fp", "part"]).select("fp", "c1", "c2").distinct()
+    todo = cut(some.join(alike.hint("merge"), ["fp", "c1", "c2"]).select("fp", "c1", "c2", "one.doc_id", "one.th", "one.pos", "one.size"))
     n = todo.count()
+    discard(some)
     if n == 0:
         return spans
+    todo = todo.join(todo.groupBy("fp").agg(F.count("*").alias("kinds")).hint("merge"), "fp")
     buckets = max(1, -(-n // CELL))
-    todo = todo.select("one.doc_id", "one.th", "one.pos", F.pmod(F.xxhash64("fp"), F.lit(buckets)).alias("bucket"), (F.col("kinds") > CELL).alias("spread"), F.when(F.col("kinds") > CELL, F.pmod(F.xxhash64("c1", "c2"), F.ceil(F.col("kinds") / CELL)) + 1).otherwise(0).cast("long").alias("salt"), "fp")
+    spread = F.col("kinds") > CELL
     # a spread anchor has buckets of its own: those of its hash
-    todo = todo.withColumn("bucket", F.when(F.col("spread"), F.xxhash64("fp")).otherwise(F.col("bucket"))).drop("fp")
-    wanted = cut(todo.groupBy("doc_id", "th").agg(F.collect_list(F.struct("pos", "bucket", "salt", "spread")).alias("wanted")))
+    bucket = F.when(spread, F.xxhash64("fp")).otherwise(F.pmod(F.xxhash64("fp"), F.lit(buckets)))
+    salt = F.when(spread, F.pmod(F.xxhash64("c1", "c2"), F.ceil(F.col("kinds") / CELL)) + 1).otherwise(0).cast("long")
+    todo = todo.select("doc_id", "th", "pos", "size", bucket.alias("bucket"), spread.alias("spread"), salt.alias("salt"))
+    wanted = cut(todo.groupBy("doc_id", "th").agg(F.collect_list(F.struct("pos", "size", "bucket", "salt", "spread")).alias("wanted")))
     ids = wanted.select("doc_id", "th").withColumnsRenamed({"doc_id": "i", "th": "t"})
-    near = (F.col("doc_id") == F.col("i")) & (F.col("th") == F.col("t"))
-    holders = named.join(F.broadcast(ids), near, "left_semi") if ids.count() <= BROADCAST_IDS else named
+    same = (F.col("doc_id") == F.col("i")) & (F.col("th") == F.col("t"))
+    holders = named.join(F.broadcast(ids), same, "left_semi") if ids.count() <= BROADCAST_IDS else named
     holders = holders.dropDuplicates(["doc_id", "th"]).join(wanted.hint("shuffle_hash"), ["doc_id", "th"])
-    binary = F.to_binary("text", F.lit("utf-8"))
-    from_ = F.greatest(F.lit(0).cast("long"), F.col("w.pos") - (length - k))
-    contexts = holders.select("doc_id", "th", binary.alias("b"), F.explode("wanted").alias("w"))
-    contexts = contexts.select("doc_id", "th", "w.bucket", "w.salt", "w.spread", from_.alias("at"), F.expr(f"substring(b, cast({'greatest(0L, w.pos - ' + str(length - k) + ')'} as int) + 1, cast(w.pos + {length} - greatest(0L, w.pos - {length - k}) as int))").alias("context"))
-    ranges = partitions(spark)
-    run, schema = _shard_repeats(length, ranges)
+    contexts = holders.select("doc_id", "th", F.to_binary("text", F.lit("utf-8")).alias("b"), F.explode("wanted").alias("w"))
+    contexts = contexts.select("doc_id", "th", "w.bucket", "w.salt", "w.spread", F.col("w.pos").alias("at"), F.expr("substring(b, cast(w.pos as int) + 1, w.size)").alias("context"))
+    run, schema = _shard_repeats(length, partitions(spark))
     sorted_ = cut(contexts.groupBy("bucket", "salt").applyInPandas(run, schema))
-    across = sorted_.where("range is not null").groupBy("range").applyInPandas(_across(length), _SPAN)
+    across = sorted_.where("range is not null").groupBy("anchor", "range").applyInPandas(_across(length), _SPAN)
     return spans.unionByName(sorted_.where("range is null").select("doc_id", "th", "lo", "hi")).unionByName(across)
 
 
