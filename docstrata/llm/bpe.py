@@ -2,22 +2,23 @@
 
 Whether a merge crosses a place in the text depends on a bounded number of bytes after that place
 only. The bound follows from the merge list (see sufficient_lookahead), so tokens that end that far
-before the end of what was read are final: they are emitted and forgotten. Ordinary pieces are shorter
-than the bound and go through a bounded cache; longer ones go through a window of fixed size.
+before the end of what was read, or with their piece, are final: they are emitted and forgotten.
+The transducers of many pieces step together: each reads one window of its piece, the windows are merged
+in numpy, one merge of each a round, and what is stable is emitted. A window is of fixed size, and
+texts are read block by block, so memory doesn't grow with the length of a text or piece.
 Decoding feeds token bytes to an incremental UTF-8 state machine.
 """
 
 from __future__ import annotations
 
 import codecs
-import heapq
 import json
-from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
@@ -25,10 +26,9 @@ from pyspark.sql import DataFrame, functions as F
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space as the Unicode property has it; \s of this regex library means more.
 UNICODE_SPACE = r"\p{White_Space}"
+#: Characters of a text that are read at once, and those whose pieces step together.
 CHUNK_CHARS = 1 << 16
-#: Entries of one generation of a cache; there are two of each.
-CACHE_PIECES = 60_000
-CACHE_CHARS = 48
+STEP_CHARS = 1 << 21
 #: Rows encoded or decoded before they are passed on.
 BATCH_ROWS = 1024
 #: Bytes that a window holds besides the lookahead.
@@ -43,24 +43,6 @@ def _byte_names() -> list[str]:
     return [chr(b) if b in prints else chr(next(spare)) for b in range(256)]
 
 
-class Cache(dict):
-    """Values made on demand, in two generations: what the last two haven't asked for is forgotten."""
-
-    def __init__(self, make):
-        self.make, self.old = make, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(key) <= CACHE_CHARS:
-            if len(self) >= CACHE_PIECES:
-                self.old = dict(self)
-                self.clear()
-            self[key] = value
-        return value
-
-
 class Bpe:
     """A byte-level BPE vocabulary read from a tokenizers JSON file."""
 
@@ -77,25 +59,36 @@ class Bpe:
             self.bytes_of[i] = bytes(of[c] for c in token)
         for token, i in self.special.items():
             self.bytes_of[i] = token.encode()
-        self.byte_ids = [vocab[c] for c in names]
+        self.byte_ids = np.array([vocab[c] for c in names], np.int64)
         self.pairs = [(vocab[a], vocab[b]) for a, b in merges]
-        self.made = [vocab[a + b] for a, b in merges]
-        self.rank = {a << 20 | b: r for r, (a, b) in enumerate(self.pairs)}
+        self.made = np.array([vocab[a + b] for a, b in merges], np.int64)
+        self.lengths = np.array([len(b) for b in self.bytes_of], np.int64)
+        keys = np.array([a << 20 | b for a, b in self.pairs], np.int64)
+        self.order = np.argsort(keys, kind="stable")
+        self.keys = keys[self.order]
+        # of a rule whose token begins or ends a pair of lower rank, one merge may forestall the next
+        of_token = np.full(size, NONE, np.int64)
+        for r, (a, b) in enumerate(self.pairs):
+            of_token[a], of_token[b] = min(of_token[a], r), min(of_token[b], r)
+        self.one_by_one = of_token[self.made] <= np.arange(len(self.made))
         self.split = regex.compile(PATTERN.replace(r"[^\s", rf"[^{UNICODE_SPACE}").replace(r"\s", UNICODE_SPACE).replace(r"\S", r"\P{White_Space}"))
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.lookahead = sufficient_lookahead(self.pairs, self.made, [len(b) for b in self.bytes_of])
-        self.known = Cache(lambda piece: array("i", self.piece(piece.encode())).tobytes())
-        self.after_space = Cache(lambda word: self._split(" " + word))
-        self.at_start = Cache(self._split)
+        self.lookahead = sufficient_lookahead(self.pairs, self.made.tolist(), self.lengths.tolist())
 
     # encoding
 
     def encode(self, text: str) -> Iterator[bytes]:
         """Blocks of int32 ids, each emitted as soon as it is final."""
+        for block in self.blocks(text):
+            ids, _ = self.encode_blocks([block])
+            yield ids.tobytes()
+
+    def blocks(self, text: str) -> Iterator[str]:
+        """Parts of text whose ends no piece crosses: special tokens, and about CHUNK_CHARS of the rest."""
         parts = self.specials.split(text) if self.specials and any(s in text for s in self.special) else [text]
         for part in parts:
             if part in self.special:
-                yield np.int32(self.special[part]).tobytes()
+                yield part
             elif part:
                 at, reach = 0, CHUNK_CHARS
                 while at < len(part):
@@ -103,75 +96,149 @@ class Bpe:
                     if end <= at:
                         reach *= 2  # no white space so far
                         continue
-                    yield from self._chunk(part[at:end])
+                    yield part[at:end]
                     at, reach = end, CHUNK_CHARS
 
-    def _chunk(self, chunk: str) -> Iterator[bytes]:
-        """A chunk whose ends no piece crosses. A blank after a non-blank always starts a piece."""
-        words = chunk.split(" ") if not _BLANKS.search(chunk) else _BLANK_AFTER.split(chunk)
-        if words[0]:
-            yield self.at_start[words[0]]
-        yield b"".join(map(self.after_space.__getitem__, words[1:]))
-
-    def _split(self, text: str) -> bytes:
-        return b"".join(map(self.known.__getitem__, self.split.findall(text)))
-
-    def piece(self, data: bytes) -> Iterable[int]:
-        """Ids of one piece, by windows if it is longer than what a window can hold."""
+    def encode_blocks(self, blocks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of the blocks one after another, and how many each has. Equal words, and pieces, go through once.
+
+        A blank after a non-blank always starts a piece, so blocks are split there and the pattern sees
+        distinct words only. A block with a blank after other white space is one word, as a special token is."""
+        lists = pc.split_pattern(pa.array(blocks, pa.string()), " ")
+        offsets = lists.offsets.to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        words, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        blank = np.fromiter((not w or w[-1].isspace() for w in words), bool, len(words))
+        first = np.zeros(len(which), bool)
+        first[offsets[:-1]] = True
+        before_blank = ~np.r_[first[1:], True] & blank[which]
+        block_of = np.repeat(np.arange(len(blocks)), np.diff(offsets))
+        alone = np.zeros(len(blocks), bool)
+        alone[block_of[before_blank]] = True
+        alone |= np.fromiter((b in self.special for b in blocks), bool, len(blocks))
+
+        # units: distinct words with a blank before, then what starts a block, then whole blocks
+        plain = np.flatnonzero(~blank)
+        joined = self.split.findall("".join([" " + words[w] for w in plain.tolist()]))
+        ends = np.cumsum(np.fromiter((len(words[w]) + 1 for w in plain.tolist()), np.int64, len(plain)))
+        counts = np.diff(np.r_[0, np.searchsorted(np.cumsum(np.fromiter(map(len, joined), np.int64, len(joined))), ends, "right")])
+        unit, n_words = np.zeros(len(words), np.int64), len(plain)
+        unit[plain] = np.arange(n_words)
+        pieces, more = [joined], []
+        for w in np.flatnonzero(blank).tolist():
+            unit[w] = n_words + len(more)
+            more.append(self.split.findall(" " + words[w]))
+        starts = n_words + len(more)
+        for b, text in enumerate(blocks):
+            more.append(([text] if text in self.special else self.split.findall(text)) if alone[b] else self.split.findall(words[which[offsets[b]]]))
+        counts = np.r_[counts, np.fromiter(map(len, more), np.int64, len(more))]
+        pieces += more
+        units = unit[which]
+        units[offsets[:-1]] = starts + np.arange(len(blocks))
+        keep = first | ~alone[block_of]
+        units, block_of = units[keep], block_of[keep]
+
+        coded = pa.array([p for own in pieces for p in own], pa.string()).dictionary_encode()
+        distinct, number = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        ids, ends = self.transduce([b"" if p in self.special else p.encode() for p in distinct])
+        for at in [i for i, p in enumerate(distinct) if p in self.special]:
+            ids = np.insert(ids, ends[at], self.special[distinct[at]])
+            ends[at + 1 :] += 1
+        of_units, unit_ends = _gather(ids, ends, number, np.r_[0, np.cumsum(counts)])
+        out, block_ends = _gather(of_units, unit_ends, units, np.r_[0, np.cumsum(np.bincount(block_of, minlength=len(blocks)))])
+        return out.astype(np.int32), np.diff(block_ends)
+
+    def transduce(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of the pieces one after another, and where each one's end. In a step, every piece that isn't
+        done reads a window; of a window that ends before its piece, only stable tokens are emitted."""
         room = self.lookahead + WINDOW_BYTES
-        if len(data) <= room:
-            return self.merge(data)
-        out: list[int] = []
-        at = 0
-        while at + room < len(data):
-            left = WINDOW_BYTES
-            for token in self.merge(data[at : at + room]):
-                left -= len(self.bytes_of[token])
-                if left < 0:
+        emitted: list[tuple[np.ndarray, np.ndarray]] = []
+        open_, at = np.arange(len(pieces)), np.zeros(len(pieces), np.int64)
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        while len(open_):
+            read = np.minimum(size[open_] - at[open_], room)
+            if len(open_) == len(pieces) and size.max(initial=0) <= room:
+                data = b"".join(pieces)
+            else:
+                data = b"".join(pieces[p][a : a + n] for p, a, n in zip(open_.tolist(), at[open_].tolist(), read.tolist()))
+            ids, counts = self.merge_windows(np.frombuffer(data, np.uint8), read)
+            whole = at[open_] + read == size[open_]
+            of = np.repeat(np.arange(len(open_)), counts)
+            ends = np.cumsum(self.lengths[ids])
+            ends -= np.repeat(np.cumsum(read) - read, counts)  # where each token ends in its window
+            stable = whole[of] | (ends <= WINDOW_BYTES)
+            emitted.append((open_[of[stable]], ids[stable]))
+            np.maximum.at(read := np.where(whole, read, 0), of[stable], ends[stable])
+            at[open_] += read
+            open_ = open_[~whole]
+        owner = np.concatenate([e[0] for e in emitted]) if emitted else np.zeros(0, np.int64)
+        ids = np.concatenate([e[1] for e in emitted]) if emitted else owner
+        if len(emitted) > 1:
+            order = np.argsort(owner, kind="stable")
+            owner, ids = owner[order], ids[order]
+        return ids, np.r_[0, np.cumsum(np.bincount(owner, minlength=len(pieces)))]
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of the rule that merges each pair, NONE if there is none."""
+        key = left << 20 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1) if len(self.keys) else np.zeros(len(key), np.int64)
+        return np.where(self.keys[at] == key, self.order[at], NONE) if len(self.keys) else np.full(len(key), NONE)
+
+    def merge_windows(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids of the windows of data one after another, and how many each has. In a round, each window
+        applies its rule of the lowest rank: wherever it fits, or at the leftmost place only, if what
+        it makes there could come before the next place."""
+        tokens, window = self.byte_ids[data], np.repeat(np.arange(len(sizes)), sizes)
+        last = np.ones(len(tokens), bool)
+        last[:-1] = window[1:] != window[:-1]
+        rank = np.full(len(tokens), NONE, np.int64)
+        inner = np.flatnonzero(~last)
+        rank[inner] = self.ranks(tokens[inner], tokens[inner + 1])
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(tokens):
+            starts = np.flatnonzero(np.r_[True, last[:-1]])
+            best = np.minimum.reduceat(rank, starts)
+            length = np.diff(np.r_[starts, len(tokens)])
+            over = best == NONE
+            if over.any():
+                leave = np.repeat(over, length)
+                done.append((window[leave], tokens[leave]))
+                stay = ~leave
+                tokens, window, last, rank = tokens[stay], window[stay], last[stay], rank[stay]
+                best, length = best[~over], length[~over]
+                if not len(tokens):
                     break
-                out.append(token)
-                at += len(self.bytes_of[token])
-        return out + self.merge(data[at:])
+            hit = np.flatnonzero(rank == np.repeat(best, length))
+            follows = np.r_[False, hit[1:] == hit[:-1] + 1]
+            if follows.any():  # of overlapping places, every other one from the left
+                first = np.maximum.accumulate(np.where(follows, 0, np.arange(len(hit))))
+                hit = hit[(np.arange(len(hit)) - first) % 2 == 0]
+            careful = self.one_by_one[rank[hit]]
+            if careful.any():
+                hit = hit[~careful | np.r_[True, window[hit[1:]] != window[hit[:-1]]]]
+            tokens[hit] = self.made[rank[hit]]
+            last[hit] = last[hit + 1]
+            keep = np.ones(len(tokens), bool)
+            keep[hit + 1] = False
+            at = hit - np.arange(len(hit))  # where the merged tokens are once the others are gone
+            tokens, window, last, rank = tokens[keep], window[keep], last[keep], rank[keep]
+            anew = np.concatenate([at, at[at > 0] - 1])
+            rank[anew] = NONE
+            anew = anew[~last[anew]]
+            rank[anew] = self.ranks(tokens[anew], tokens[anew + 1])
+        if not done:
+            return np.zeros(0, np.int64), np.zeros(len(sizes), np.int64)
+        window, tokens = (np.concatenate(x) for x in zip(*done))
+        order = np.argsort(window, kind="stable")
+        return tokens[order], np.bincount(window, minlength=len(sizes))
+
+    def piece(self, data: bytes) -> Iterable[int]:
+        """Ids of one piece, window by window."""
+        return self.transduce([data])[0].tolist()
 
     def merge(self, data: bytes) -> list[int]:
-        """Applies the merges, the lowest rank first and of equal ones the leftmost."""
-        ids = [self.byte_ids[b] for b in data]
-        if len(ids) > 64:
-            return self._merge_long(ids)
-        rank = self.rank.get
-        ranks = [rank(a << 20 | b, NONE) for a, b in zip(ids, ids[1:])]
-        while ranks:
-            best = min(ranks)
-            if best == NONE:
-                break
-            i = ranks.index(best)
-            ids[i : i + 2] = (self.made[best],)
-            del ranks[i]
-            if i < len(ranks):
-                ranks[i] = rank(ids[i] << 20 | ids[i + 1], NONE)
-            if i:
-                ranks[i - 1] = rank(ids[i - 1] << 20 | ids[i], NONE)
-        return ids
-
-    def _merge_long(self, ids: list[int]) -> list[int]:
-        n, rank = len(ids), self.rank.get
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (r := rank(a << 20 | b, NONE)) != NONE]
-        heapq.heapify(heap)
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] != a or j >= n or ids[j] != b:
-                continue
-            ids[i], ids[j] = self.made[r], -1
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-                if (q := rank(ids[i] << 20 | ids[k], NONE)) != NONE:
-                    heapq.heappush(heap, (q, i, ids[i], ids[k]))
-            if (p := before[i]) >= 0 and (q := rank(ids[p] << 20 | ids[i], NONE)) != NONE:
-                heapq.heappush(heap, (q, p, ids[p], ids[i]))
-        return [i for i in ids if i >= 0]
+        """Ids of one piece, read at once."""
+        return self.merge_windows(np.frombuffer(data, np.uint8), np.array([len(data)]))[0].tolist()
 
     # decoding
 
@@ -186,8 +253,13 @@ class Bpe:
         return "".join(out)
 
 
-_BLANKS = regex.compile(r"\p{White_Space} ")
-_BLANK_AFTER = regex.compile(r"(?<=\P{White_Space}) ")
+def _gather(values: np.ndarray, ends: np.ndarray, which: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs which of values (run i ends at ends[i + 1]) one after another, and where each group of runs ends."""
+    size = np.diff(ends)[which]
+    total = np.r_[0, np.cumsum(size)]
+    return values[np.repeat(ends[which] - total[:-1], size) + np.arange(total[-1])], total[groups]
+
+
 _CUT = regex.compile(r"(?r)(?<=\P{White_Space}) ")
 
 
@@ -238,13 +310,25 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer)
         for batch in _small(batches):
-            blocks, ends = [], [0]
-            for text in batch.column(1):
-                own = b"".join(bpe.encode(text.as_py()))
-                blocks.append(own)
-                ends.append(ends[-1] + len(own) // 4)
-            ids = pa.array(np.frombuffer(b"".join(blocks), np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)], ["doc_id", "ids"])
+            held, chars, rows, parts, sizes = [], 0, [], [], np.zeros(batch.num_rows, np.int64)
+
+            def step() -> None:
+                ids, counts = bpe.encode_blocks(held)
+                parts.append(ids)
+                np.add.at(sizes, rows, counts)
+
+            for row, text in enumerate(batch.column(1)):
+                for block in bpe.blocks(text.as_py()):
+                    held.append(block)
+                    rows.append(row)
+                    chars += len(block)
+                    if chars >= STEP_CHARS:
+                        step()
+                        held, chars, rows = [], 0, []
+            if held:
+                step()
+            ids = pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), ids)], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(encode, "doc_id long, ids array<int>")
 

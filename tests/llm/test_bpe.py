@@ -70,3 +70,14 @@ def test_bytes_that_form_no_text():
     ids = np.array([OURS.byte_ids[b] for b in b"\xe4\xb8A\xff\xe4\xb8"], np.int32)
     assert OURS.decode(ids) == THEIRS.decode(ids.tolist(), skip_special_tokens=False)
     assert OURS.decode(ids, block=1) == OURS.decode(ids)
+
+
+def test_whole_table_and_odd_texts_together(spark, sf, make_docs, monkeypatch):
+    monkeypatch.setattr(module, "STEP_CHARS", 5000)
+    odd = ["a  b", " lead", "trail ", "tab\t x", "a \n b", "\n", "x<|endoftext|> y", "<|endoftext|>", "it's  'S we'll", "é é", "", " ", "a\x1c b\x85 c", "- =" * 900, " x" * 3000, "z" * 9000 + " q"]
+    table = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    rows = table + [(10_000 + i, t) for i, t in enumerate(odd)]
+    got = {r.doc_id: r for r in decode_documents(encode_documents(make_docs(rows).repartition(3), PATH), PATH).collect()}
+    for i, text in rows:
+        want = THEIRS.encode(text or "", add_special_tokens=False).ids
+        assert got[i].ids == want and got[i].text == THEIRS.decode(want, skip_special_tokens=False)
