@@ -82,9 +82,9 @@ def source_targets(sizes: DataFrame, limit: float = 3.0) -> DataFrame:
 def mix_sources(docs: DataFrame, n_shards: int = 16, limit: float = 3.0, seed: int = 7) -> DataFrame:
     """One row per row of docs (doc_id, text, source): doc_id, size, source_size, target, taken, draws.
 
-    size counts words; taken says how many words the mix takes, repeats included, at most limit
-    times size; a source's taken words sum to its rounded target. draws: array of (pass, shard, words,
-    place), place being the order within the shard. A null text has size 0; a null source is a source
+    size counts words. draws: array of (pass, shard, words, place): what each of n_shards (a power of two)
+    that drew the document's block takes of it, place being the order within the shard. taken is the sum
+    of its draws' words, at most limit times size; a source's taken words sum to its rounded target. A null text has size 0; a null source is a source
     of its own, the last. Rows that repeat are taken row by row. An empty table gives an empty result.
     The result depends on the rows alone, not on their order or partitions.
     """
@@ -118,7 +118,8 @@ def mix_sources(docs: DataFrame, n_shards: int = 16, limit: float = 3.0, seed: i
     hard = own.where(F.col("more") & F.col("cut")).withColumn("extra", F.greatest(F.lit(0), F.least("size", F.col("_part") - (F.sum("size").over(inside) - F.col("size")))).cast("long"))
     both = easy.unionByName(hard)
     draws = F.expr(f"filter(transform(coalesce(placed, array()), d -> struct(d.pass as pass, d.shard as shard, if(d.pass < passes, size, extra) as words, xxhash64({seed + 3}, d.shard, d.pass, doc_id) as place)), d -> d.words > 0)")
-    return both.select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("extra")).alias("taken"), draws.alias("draws"))
+    taken = F.aggregate("draws", F.lit(0).cast("long"), lambda words, d: words + d["words"])
+    return both.select("doc_id", "size", "source_size", "target", draws.alias("draws")).select("doc_id", "size", "source_size", "target", taken.alias("taken"), "draws")
 
 
 def _draws(blocks: DataFrame) -> DataFrame:

@@ -130,7 +130,8 @@ def fit_trees(x: np.ndarray, y: np.ndarray, n_trees: int = 60, depth: int = 4, r
 
 def fit_quality(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, max_rows: int = 20_000) -> Trees:
     """Fits on at most max_rows of the labelled rows (doc_id, quality 0 or 1) that may_learn admits, the
-    first ones by a hash of doc_id. Rows with null doc_id or quality and repeated ids don't count."""
+    first ones by a hash of doc_id. Rows with null doc_id or quality don't count; an id that repeats counts
+    once, with its smaller label and, of texts, the one whose statistics come first."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
     known = (known.where(may_learn) if may_learn is not None else known).withColumn("place", F.xxhash64("doc_id"))
     sample = known.orderBy("place", "doc_id", "quality").limit(max_rows)
@@ -144,7 +145,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, may_learn: Column | None = N
     def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = [f for f in frames if len(f)]
         if found:
-            rows = pd.concat(found).sort_values(["place", "doc_id"]).drop_duplicates("doc_id")
+            rows = pd.concat(found).sort_values(["place", "doc_id", "quality", "x"]).drop_duplicates("doc_id")
             x, y = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(len(rows), N_FEATURES), rows["quality"].to_numpy(float)
         else:
             x, y = np.zeros((0, N_FEATURES), np.float32), np.zeros(0)
@@ -156,14 +157,16 @@ def fit_quality(docs: DataFrame, labels: DataFrame, may_learn: Column | None = N
 
 
 def score_quality(docs: DataFrame, trees: Trees, column: str = "score") -> DataFrame:
-    """docs (text and any other columns) with a double column: how likely label 1 is. Texts may be null."""
-    keep = [c for c in docs.columns if c != column]
-    texts = keep.index("text")
+    """docs (text and any other columns) with one more column, a double: how likely label 1 is. Texts may be
+    null. A column of docs that has this name already is replaced."""
+    docs = docs.select(*[docs[f"`{c}`"] for c in docs.columns if c != column])
+    texts = docs.columns.index("text")
+    # columns go by number through Python: names may hold dots
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).withColumn("score", F.lit(0.0))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = trees.score(document_statistics(b.column(texts)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s)], [*keep, column])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s)], b.schema.names)
 
-    shaped = docs.select(*[F.col(f"`{c}`") for c in keep], F.lit(0.0).alias(column))
-    return shaped.mapInArrow(score, shaped.schema)
+    return plain.mapInArrow(score, plain.schema).toDF(*docs.columns, column)

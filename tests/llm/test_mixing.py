@@ -48,6 +48,12 @@ def test_targets_and_words(make_docs):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def test_taken_comes_from_the_tree(make_docs):
+    """What a query without draws reads still depends on the shards' draws."""
+    plan = mix_sources(make_docs([(i, "a b c", f"s{i % 3}") for i in range(30)])).drop("draws")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") >= 4
+
+
 def test_repeated_rows_one_source_and_empty(make_docs):
     got = mix_sources(make_docs([(1, "a b", "s"), (1, "a b", "s"), (None, "c", "s")])).collect()
     assert sum(r.taken for r in got) == 5 and len(got) == 3

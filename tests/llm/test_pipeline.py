@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 pipeline = pytest.importorskip("corpus_pipeline")
 P = pytest.importorskip("public_tokenizers")
@@ -78,5 +79,25 @@ def test_odd_rows(spark, sf, make_docs):
     again = pipeline.exact(spark, make_docs([(3, "t"), (3, "t"), (1, "t")]), sf).collect()
     assert [r.doc_id for r in again] == [3]
     for _, stage in pipeline.STAGES:
-        assert stage(spark, docs, sf).count() >= 0
         assert stage(spark, docs.limit(0), sf).collect() == []
+    near = pipeline.near(spark, docs, sf).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in near) == [(0, "x y"), (0, "x y"), (1, ""), (2, ""), (3, "same text here"), (3, "same text here"), (5, "a b c d e f g")]
+    mixed = [(r.doc_id or 0, r.text) for r in pipeline.mix(spark, docs, sf).collect()]
+    assert all(1 <= mixed.count((i, t)) for i, t in ((1, None), (2, ""))) and set(mixed) <= {(i or 0, t) for i, t in rows}
+    coded = pipeline.tokens(spark, docs, sf).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in coded) == sorted((i or 0, t or "") for i, t in rows)
+    good = table(spark, sf, "documents").limit(1).collect()[0].text
+    kept = pipeline.quality(spark, make_docs([(1, good), (2, good), (2, good), (None, good)]), sf).collect()
+    assert len({(r.doc_id, r.text) for r in kept}) in (0, 3)
+
+
+def test_columns_with_clashing_and_odd_names(spark, sf, make_docs):
+    docs = make_docs([(1, "a b c d e f"), (2, "a b c d e f"), (3, "x y z")])
+    names = ["same_id", "same_sha", "quality_score", "mixed_id", "drawn", "mix_shard", "mix_place", "a.b", "draws"]
+    for i, name in enumerate(names):
+        docs = docs.withColumn(name, F.lit(i))
+    for _, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and all(r[n] == i for r in out.collect() for i, n in enumerate(names))
+    assert {r.doc_id for r in pipeline.exact(spark, docs, sf).collect()} == {2, 3}
+    assert {r.doc_id for r in pipeline.near(spark, docs, sf).collect()} == {1, 3}
