@@ -17,7 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .textbatch import chunks
+from .textbatch import chunks, small_batches
 
 BUCKETS = 1 << 14
 GRAMS = (2, 3, 4)
@@ -162,7 +162,7 @@ def predict_language(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     rejected marks it and predictions below the calibrated threshold. Other columns are ignored."""
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches):
             p = model.probabilities(b.column(1))
             letters = b.column(2).to_numpy(zero_copy_only=False)
             best = p.argmax(1)

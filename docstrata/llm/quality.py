@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .textbatch import chunks, shingles, words
+from .textbatch import chunks, shingles, small_batches, words
 
 #: Byte classes that are counted, each as a share of the text. Every other byte is of class 0.
 CLASSES = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n\r", "\t\v\f", ".", ",", "!", "?", "|", "#", "$", "%", "&", "*", ";:", "'\"", "()[]{}", "<>", "/\\", "-_", "@~^`+="]
@@ -138,7 +138,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, may_learn: Column | None = N
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")  # max_rows at most
 
     def statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches):
             x = document_statistics(b.column(0))
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), b.column(1), b.column(2), b.column(3)], ["x", "quality", "place", "doc_id"])
 
@@ -165,7 +165,7 @@ def score_quality(docs: DataFrame, trees: Trees, column: str = "score") -> DataF
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).withColumn("score", F.lit(0.0))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches):
             s = trees.score(document_statistics(b.column(texts)))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s)], b.schema.names)
 
