@@ -132,6 +132,30 @@ def test_whole_values_are_replaced(make_docs):
             assert len(new) == len(v) and re.sub(r"\w", "", new) == re.sub(r"\w", "", v)
 
 
+def test_families_genders_and_titles(make_docs):
+    rows = ["Mr John Smith and Mr Smith", "Mrs Smith", "Dr John Smith", "Dr Anna Weber, Mrs Anna Weber, Prof. Anna Weber", "Prof Smith", "Mr Jack Smith", "Dr. Garcia", "Frau von der Leyen", "Frau Leyen"]
+    text = {i: r.text for i, r in run(make_docs(list(enumerate(rows)))).items()}
+    john, family = re.fullmatch(r"Mr (\w+ (\w+)) and Mr \2", text[0]).groups()
+    assert text[1] == f"Mrs {family}" and text[2] == f"Dr {john}" and text[4] == f"Prof {family}" and family != "Smith"
+    anna = re.fullmatch(r"Dr ((\w+) \w+), Mrs \1, Prof. \1", text[3])
+    assert anna[2] in pii.GIVEN["f", "latin"] and john.split()[0] in pii.GIVEN["m", "latin"]
+    assert text[5].endswith(family) and text[5] != f"Mr {john}" and text[7].split()[-1] == text[8].split()[-1] and "der" not in text[7]
+
+
+def test_many_given_names_of_one_family(make_docs):
+    names = [f"Mr {a}{b} Smith" for a in "ABCDEFGHIJ" for b in ("ob", "im", "ed", "on", "al")]
+    text = [r.text for r in run(make_docs(list(enumerate(names)))).values()]
+    assert len(set(text)) == len(names) and len({t.split()[-1] for t in text}) == 1
+
+
+def test_long_addresses_and_numbers_that_are_no_cards(make_docs):
+    local = "a1." * 40 + "z"
+    got = run(make_docs([(1, f"to {local}@mail.example.com."), (2, "id 4337166598464398 of 1234-5678"), (3, "4337166598464398 and 4337166598464399")]))
+    assert got[1].kinds == "email" and local not in got[1].text and re.fullmatch(r"to ([a-z]\d\.){40}[a-z]@[a-z.]+\.", got[1].text)
+    assert got[2].text == "id 4337166598464398 of 1234-5678" and (got[2].n_entities, got[2].kinds) == (0, "")
+    assert got[3].text.startswith("4337166598464398 and ") and "4337166598464399" not in got[3].text and got[3].n_entities == 1
+
+
 def test_no_values(make_docs):
     clean = ["token: short. Next", "password=--------", "Mr. X", "Sr. 4", "1234-555-2671", "415-5555-2671", "12 345 6789", "38782822463100051", "Dr. and Mrs. of the house"]
     got = run(make_docs(list(enumerate(clean))))
