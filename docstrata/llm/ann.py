@@ -10,6 +10,7 @@ bounded size, so a crowded list is many tasks.
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,11 +20,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import cut
+from .common import cut, sized
 
-#: Vectors a list holds on average, lists at most, and rows of one side that meet in one task.
+#: Vectors a list holds on average while lists are few; beyond, lists grow with the root of the rows, so that
+#: lists and their centroids grow alike: LISTS_PER_ROOT lists for each of the root's rows.
 LIST_ROWS = 200
-MAX_LISTS = 4096
+LISTS_PER_ROOT = 4
+#: Sampled rows for each list, centroids that are fitted at once, rows of one side that meet in one task.
+ROWS_PER_LIST = 8
+AT_ONCE = 2048
 CELL = 2000
 
 
@@ -89,12 +94,14 @@ class ListIndex:
         return ids[(gap <= self.ratio * gap[0]) | (np.arange(len(ids)) < 4)]
 
 
-def fit_lists(x: np.ndarray, n_lists: int, top: float, rounds: int = 8, degree: int = 24, seed: int = 5) -> ListIndex:
+def _means(y: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
     """Balanced k-means: a cluster's cost rises with its size, so that crowded regions get more lists."""
-    rng = np.random.default_rng(seed)
-    index = ListIndex(np.zeros((0, 0)), np.zeros((0, 0), int), np.zeros(0, int), top)
-    y = index.lift(x)
-    k = max(1, min(n_lists, len(y)))
+    k = max(1, min(k, len(y)))
+    if k > AT_ONCE:  # many: first about the root of as many, then each one's share of the rest among its own rows
+        coarse = _means(y, math.isqrt(k), rounds, rng)
+        own = np.concatenate([((coarse**2).sum(1) - 2 * part @ coarse.T).argmin(1) for part in np.array_split(y, max(1, len(y) // 1024))])
+        cells = [y[own == i] for i in range(len(coarse)) if (own == i).any()]
+        return np.concatenate([_means(cell, max(1, round(k * len(cell) / len(y))), rounds, rng) for cell in cells])
     c = y[rng.choice(len(y), k, replace=False)]
     for _ in range(rounds):
         weight, count = np.zeros(k), np.zeros(k)
@@ -106,8 +113,20 @@ def fit_lists(x: np.ndarray, n_lists: int, top: float, rounds: int = 8, degree:
             count += np.bincount(own, minlength=k)
             weight = 0.3 * count / max(1.0, count.sum() / k)
         c = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], y[rng.choice(len(y), k)])
-    d = (c**2).sum(1)[:, None] - 2 * c @ c.T + (c**2).sum(1)
-    graph = np.argsort(d, 1, kind="stable")[:, : min(degree + 1, k)]
+    return c
+
+
+def fit_lists(x: np.ndarray, n_lists: int, top: float, rounds: int = 8, degree: int = 24, seed: int = 5) -> ListIndex:
+    """Balanced centroids of the sample x, a graph of near centroids, and how many lists a query reads."""
+    rng = np.random.default_rng(seed)
+    index = ListIndex(np.zeros((0, 0)), np.zeros((0, 0), int), np.zeros(0, int), top)
+    c = _means(index.lift(x), n_lists, rounds, rng)
+    k = len(c)
+    near = []
+    for part in np.array_split(c, max(1, k // 1024)):
+        d = (c**2).sum(1) - 2 * part @ c.T
+        near.append(np.argsort(d, 1, kind="stable")[:, : min(degree + 1, k)])
+    graph = np.concatenate(near)
     extra = rng.integers(0, k, (k, 4))  # a few long links keep the graph in one piece
     index.centroids, index.graph, index.entries = c, np.column_stack([graph, extra]), rng.choice(k, min(k, 16), replace=False)
     calibrate(index, x, rng)
@@ -143,13 +162,15 @@ def sound(vector: Column) -> Column:
 
 
 def fit_index(vectors: DataFrame, sample_rows: int = 20_000, list_rows: int = LIST_ROWS) -> ListIndex | None:
-    """Fits on the sample_rows vectors whose ids hash lowest. None without vectors."""
+    """Fits on the vectors whose ids hash lowest: sample_rows of them, or ROWS_PER_LIST for each list if that is
+    more, which grows with the root of all rows. None without vectors."""
     facts = vectors.agg(F.count("*").alias("n"), F.max(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))).alias("top")).first()
     if not facts["n"]:
         return None
+    n_lists = max(1, min(facts["n"] // list_rows, LISTS_PER_ROOT * math.isqrt(facts["n"])))
+    sample_rows = max(sample_rows, ROWS_PER_LIST * n_lists)
     place = F.xxhash64("vec_id")
     bound = vectors.select(place.alias("place")).orderBy("place").limit(sample_rows).agg(F.max("place").alias("m")).first()["m"]
-    n_lists = max(1, min(MAX_LISTS, sample_rows // 8, facts["n"] // list_rows))
     top = facts["top"]
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,10 +216,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, sample_rows: int
     index = fit_index(good, sample_rows)
     stored, asked = cut(_routed(good, index, False)), cut(_routed(good.where(is_query), index, True))
 
-    # how many cells a list's vectors and queries are dealt to; a row for each of at most MAX_LISTS lists
+    # how many cells a list's vectors and queries are dealt to; a row for each list
     sides = stored.groupBy("list").agg(F.count("*").alias("n")).join(asked.groupBy("list").agg(F.count("*").alias("m")).hint("shuffle_hash"), "list")
     cells = sides.select("list", F.ceil(F.col("n") / CELL).cast("int").alias("across"), F.ceil(F.col("m") / CELL).cast("int").alias("down"))
-    cells = F.broadcast(cut(cells))
+    cells = sized(cut(cells), "merge")
     own = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     left = stored.join(cells, "list").withColumn("i", own("across")).withColumn("j", every("down")).select("list", "i", "j", "id", "v")

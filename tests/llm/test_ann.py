@@ -69,3 +69,25 @@ def test_every_row_repeats(spark):
     other = df.union(spark.createDataFrame([(3, [50.0, 50.0, 50.0], 1, "x", 2)], SCHEMA))  # the greatest vector of id 3 counts
     best = {r.vec_id for r in nearest(other, F.col("vec_id") == 77, 1).collect()}
     assert best == {3}
+
+
+def test_many_lists_are_fitted_in_two_steps(monkeypatch):
+    monkeypatch.setattr(ann, "AT_ONCE", 20)
+    x = np.random.default_rng(2).normal(size=(3000, 4))
+    index = ann.fit_lists(x, 120, float((x * x).sum(1).max()))
+    sizes = np.bincount([int(own[0]) for own in index.place(x)], minlength=len(index.centroids))
+    assert 100 <= len(index.centroids) <= 140 and sizes.max() < 8 * sizes.mean() and (sizes > 0).mean() > 0.9
+    assert index.graph.max() < len(index.centroids)
+
+
+def test_more_rows_than_lists_of_one_size(spark, monkeypatch):
+    """Past the bound lists grow with the root of the rows, and all rows are still indexed."""
+    monkeypatch.setattr(ann, "LIST_ROWS", 2)
+    monkeypatch.setattr(ann, "LISTS_PER_ROOT", 1)
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=3)]) for i in range(400)]
+    index = ann.fit_index(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), sample_rows=10, list_rows=2)
+    assert len(index.centroids) == 20
+    got = nearest(spark.createDataFrame([(i, v, 1, "x", 2) for i, v in rows], SCHEMA), F.col("vec_id") % 20 == 0, 5).collect()
+    want = brute(rows, 20, 5)
+    assert len({(r.query_id, r.vec_id) for r in got} & {(q, i) for q, _, i in want}) >= 0.9 * len(want)
