@@ -29,6 +29,8 @@ class Rules:
     max_entity_artifacts: int = 4
     recency_window_days: int = 90
     small_corpus: int = 6
+    cluster_similarity: float = 0.8
+    cluster_min_points: int = 3
     current_threshold: float = 0.6
     superseded_threshold: float = 0.4
     single_signal_confidence: float = 0.6

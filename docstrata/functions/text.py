@@ -88,11 +88,13 @@ def clean_name(suggested: Column, original: Column) -> Column:
     return F.coalesce(F.nullif(suggested, F.lit("")), original)
 
 
-def signal_line(filename: Column, headings: Column, text: Column, n: int = 200) -> Column:
-    """filename | headings: a, b | "snippet", without the parts that are empty."""
+def signal_line(filename: Column, headings: Column, text: Column, n: int = 200, day: Column | None = None, entities: Column | None = None) -> Column:
+    """filename | date: d | headings: a, b | entities: x, y | "snippet", without the parts that are empty."""
     heads = F.when(F.size(headings) > 0, F.concat(F.lit("headings: "), F.array_join(headings, ", ")))
     short = snippet(text, n)
-    return F.concat_ws(" | ", filename, heads, F.when(short != "", F.concat(F.lit('"'), short, F.lit('"'))))
+    dated = F.concat(F.lit("date: "), F.date_format(day, "yyyy-MM-dd")) if day is not None else F.lit(None).cast("string")
+    named = F.when(F.size(entities) > 0, F.concat(F.lit("entities: "), F.array_join(entities, ", "))) if entities is not None else F.lit(None).cast("string")
+    return F.concat_ws(" | ", filename, dated, heads, named, F.when(short != "", F.concat(F.lit('"'), short, F.lit('"'))))
 
 
 def structure_labels(headings: Column, sheets: Column, slides: Column) -> Column:
@@ -132,9 +134,39 @@ def sentence_bounds(text: Column, start: Column, end: Column, radius: int = RULE
     return F.struct(left.alias("start"), right.alias("end"))
 
 
+def balanced_span(text: Column) -> Column:
+    """From the first bracket, curly or square, to the one that closes it; brackets in quoted strings don't
+    count. Null if nothing closes it."""
+    at = F.regexp_instr(text, F.lit(r"[{\[]"))
+    rest = F.substring(text, at, F.length(text))
+    first = F.substring(rest, 1, 1)
+    last = F.when(first == "{", "}").otherwise("]")
+    zero = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(0).alias("seen"), F.lit(0).alias("end"))
+
+    def step(s: Column, c: Column) -> Column:
+        quote = (c == '"') & ~s["escaped"]
+        depth = s["depth"] + F.when(s["quoted"], 0).when(c == first, 1).when(c == last, -1).otherwise(0)
+        closes = ~s["quoted"] & (c == last) & (depth == 0)
+        moved = F.struct(depth.alias("depth"), (s["quoted"] != quote).alias("quoted"), (s["quoted"] & ~s["escaped"] & (c == "\\")).alias("escaped"), (s["seen"] + 1).alias("seen"), F.when(closes, s["seen"] + 1).otherwise(0).alias("end"))
+        return F.when(s["end"] > 0, s).otherwise(moved)
+
+    size = F.aggregate(F.split(rest, ""), zero, step, lambda s: s["end"])
+    return F.when((at > 0) & (size > 0), F.substring(rest, F.lit(1), size))
+
+
 def extract_json(text: Column) -> Column:
-    """JSON text of a reply: all of it, the first fenced block, or from the first bracket to the last."""
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    span = F.regexp_extract(text, r"(?s)([{\[].*[}\]])", 1)
+    """JSON text of a reply: all of it, the first fenced block, or the first balanced span of brackets."""
+    fenced = F.regexp_extract(text, r"(?is)```(?:json)?\s*(.*?)```", 1)
+    bare = lambda c: F.nullif(F.regexp_replace(c, r"^\s+|\s+$", ""), F.lit(""))
     valid = lambda c: F.when(F.try_parse_json(c).isNotNull(), c)
-    return F.coalesce(valid(F.nullif(F.trim(text), F.lit(""))), valid(F.nullif(F.trim(fenced), F.lit(""))), valid(F.nullif(span, F.lit(""))))
+    return F.coalesce(valid(bare(text)), valid(bare(fenced)), valid(balanced_span(text)))
+
+
+def json_safe(value: Column, kind: str) -> Column:
+    """A cell of a Spark type as JSON can hold it: dates and timestamps as ISO 8601, decimals as double."""
+    if kind == "date":
+        return F.date_format(value, "yyyy-MM-dd")
+    if kind.startswith("timestamp"):
+        micros = F.when(F.pmod(F.unix_micros(value.cast("timestamp")), F.lit(1_000_000)) != 0, F.date_format(value, ".SSSSSS")).otherwise("")
+        return F.concat(F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss"), micros)
+    return value.cast("double") if kind.startswith("decimal") else value

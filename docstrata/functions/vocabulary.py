@@ -25,20 +25,20 @@ STOPWORDS = [
     "determine", "determined", "confirm", "confirmed", "yet", "next", "step", "steps", "remain", "remains", "future", "work",
 ]
 
-#: domain, ordinal, phase, description
+#: domain, ordinal, phase
 PHASES = [
-    ("research", 0, "Conceptualization & Planning", "Framing questions, hypotheses, study design."),
-    ("research", 1, "Execution", "Experimentation and data collection."),
-    ("research", 2, "Analysis", "Processing and interpreting results."),
-    ("research", 3, "Reporting & Dissemination", "Write-ups, presentations, publication."),
-    ("engineering", 0, "Initiation", "Problem framing, goals, feasibility."),
-    ("engineering", 1, "Planning & Design", "Architecture, specs, plans."),
-    ("engineering", 2, "Execution", "Build/implementation work."),
-    ("engineering", 3, "Monitoring & Control", "Testing, review, tracking against plan."),
-    ("engineering", 4, "Closure", "Release, handover, retrospective."),
-    ("generic", 0, "Start", "Earliest activity."),
-    ("generic", 1, "Middle", "Ongoing activity."),
-    ("generic", 2, "Recent", "Most recent activity."),
+    ("research", 0, "Conceptualization & Planning"),
+    ("research", 1, "Execution"),
+    ("research", 2, "Analysis"),
+    ("research", 3, "Reporting & Dissemination"),
+    ("engineering", 0, "Initiation"),
+    ("engineering", 1, "Planning & Design"),
+    ("engineering", 2, "Execution"),
+    ("engineering", 3, "Monitoring & Control"),
+    ("engineering", 4, "Closure"),
+    ("generic", 0, "Start"),
+    ("generic", 1, "Middle"),
+    ("generic", 2, "Recent"),
 ]
 
 SECTIONS = [("overview", "Overview"), ("current_direction", "Current Direction"), ("recent_activity", "Recent Activity"), ("open_gaps", "Open Gaps"), ("stale_artifacts", "Flagged Stale Artifacts")]

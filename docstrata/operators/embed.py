@@ -33,8 +33,9 @@ def hash_embedder(dim: int = 64) -> Callable[[pd.Series], list[list[float]]]:
     return embed
 
 
-def embed_texts(df: DataFrame, text: str = "text", provider: Callable[[], Callable[[pd.Series], list[list[float]]]] = hash_embedder) -> DataFrame:
-    """df with a vector column; provider() is called once per task and then fed batches."""
+def embed_texts(df: DataFrame, text: str = "text", provider: Callable[[], Callable[[pd.Series], list[list[float]]]] = hash_embedder, model: str = "hash", model_version: str | None = None) -> DataFrame:
+    """df with vector, model, model_version (the model's name if none is given) and dim; provider() is called
+    once per task and then fed batches."""
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -42,7 +43,8 @@ def embed_texts(df: DataFrame, text: str = "text", provider: Callable[[], Callab
         for batch in batches:
             yield pd.Series(embed(batch))
 
-    return df.withColumn("vector", run(F.col(text)))
+    made = df.withColumn("vector", run(F.col(text)))
+    return made.withColumns({"model": F.lit(model), "model_version": F.lit(model_version or model), "dim": F.size("vector")})
 
 
 def doc_embeddings(content: DataFrame, chunk_vectors: DataFrame, whole_vectors: DataFrame, most: int = RULES.whole_document_words) -> DataFrame:

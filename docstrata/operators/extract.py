@@ -77,7 +77,7 @@ def date_anchor(candidates: DataFrame) -> DataFrame:
 def content_dates(content: DataFrame, anchors: DataFrame) -> DataFrame:
     """Candidates from date phrases in the text; phrases that can't be resolved are left out."""
     rows = content.where(F.col("raw_text") != "").select("artifact_id", "project_id", F.explode(find_spans(F.col("raw_text"), DATE_PHRASE)).alias("s"))
-    rows = rows.join(anchors.select("artifact_id", F.col("ts").alias("anchor")), "artifact_id", "left")
+    rows = rows.join(anchors.select("artifact_id", F.col("ts").alias("anchor")).hint("merge"), "artifact_id", "left")
     rows = rows.withColumn("r", resolve_phrase(F.col("s.value"), F.col("anchor"))).where("r.ts is not null")
     return rows.select("artifact_id", "project_id", F.col("r.ts").alias("ts"), F.lit("content").alias("source"), F.col("r.confidence").alias("confidence"), F.col("s.value").alias("evidence"), (F.col("s.start") + 1000).cast("long").alias("ordinal"))
 

@@ -7,12 +7,13 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..config import RULES
 from ..functions.text import find_spans, sentence_bounds, snippet, squeeze
 from ..functions.vocabulary import PROMISES, STOPWORDS
+from ..joins import sized
 
 _FEW = RULES.gap_few_threshold
 
 
 def structural_gaps(coverage: DataFrame, totals: DataFrame) -> DataFrame:
-    """Gaps of phases with too few artifacts; totals: project_id, artifacts_total."""
+    """Gaps of phases with too few artifacts; totals: project_id, artifacts_total. The wordings are fixed values."""
     rows = coverage.where(F.col("artifacts") < _FEW).join(totals, "project_id")
     n, name = F.col("artifacts").cast("string"), F.col("phase_name")
     none = F.concat(F.lit("No artifacts detected for the '"), name, F.lit("' phase."))
@@ -36,7 +37,7 @@ def promise_candidates(content: DataFrame) -> DataFrame:
     found = F.concat(*[find_spans(F.col("raw_text"), "(?i)" + p) for p in PROMISES])
     texts = content.where("raw_text is not null")
     spans = texts.select("artifact_id", "project_id", F.explode(found).alias("s")).select("artifact_id", "project_id", "s.start", "s.end")
-    merged = merge_spans(spans, ["artifact_id", "project_id"]).join(texts.select("artifact_id", "raw_text"), "artifact_id")
+    merged = merge_spans(spans, ["artifact_id", "project_id"]).join(texts.select("artifact_id", "raw_text").hint("merge"), "artifact_id")
     bounds = merged.withColumn("b", sentence_bounds(F.col("raw_text"), F.col("start"), F.col("end")))
     evidence = F.trim(F.substring(F.col("raw_text"), F.col("b.start") + 1, F.col("b.end") - F.col("b.start")))
     rows = bounds.select("artifact_id", "project_id", F.col("b.start").alias("start"), evidence.alias("evidence"), F.lower(squeeze(evidence)).alias("norm"))
@@ -57,34 +58,68 @@ def significant_tokens(text: Column) -> Column:
     return F.array_distinct(F.array_except(F.regexp_extract_all(F.lower(text), F.lit("[a-z]{4,}"), F.lit(0)), F.array(*map(F.lit, STOPWORDS))))
 
 
+def _grams(word: Column) -> Column:
+    """The distinct runs of four letters of a word."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(word) - 3), lambda i: F.substring(word, i, F.lit(4))))
+
+
 def fulfillment(promises: DataFrame, content: DataFrame, dates: DataFrame) -> DataFrame:
     """promises with best and fulfilled: the largest share of a promise's significant words that one later
-    text holds. Words and texts meet in one join per project; shares are counted before anything wide."""
-    tokens = promises.select("artifact_id", "project_id", "start", significant_tokens(F.col("evidence")).alias("tokens"))
-    src = tokens.join(dates.select("artifact_id", F.col("ts").alias("own")), "artifact_id", "left")
-    texts = content.where("raw_text <> ''").select(F.col("artifact_id").alias("later_id"), F.col("project_id").alias("_p"), F.lower("raw_text").alias("low")).join(dates.select(F.col("artifact_id").alias("later_id"), F.col("ts").alias("later_ts")), "later_id", "left")
-    later = (F.col("project_id") == F.col("_p")) & (F.col("artifact_id") != F.col("later_id")) & (F.col("own").isNull() | (F.col("later_ts") > F.col("own")))
-    share = F.size(F.filter("tokens", lambda t: F.contains(F.col("low"), t))) / F.size("tokens")
-    scored = src.where(F.size("tokens") > 0).join(texts, later).select("artifact_id", "start", share.alias("share")).groupBy("artifact_id", "start").agg(F.max("share").alias("best"))
-    out = promises.join(scored, ["artifact_id", "start"], "left")
+    text holds, also inside longer words.
+
+    Words meet by their runs of four letters, once per project and word. Texts that hold the same words of
+    promises count as one, with the last of their dates, so that promises meet kinds of texts, not texts."""
+    src = promises.select("artifact_id", "project_id", "start", significant_tokens(F.col("evidence")).alias("tokens")).where(F.size("tokens") > 0)
+    src = src.join(dates.select("artifact_id", F.col("ts").alias("own")).hint("merge"), "artifact_id", "left")
+    wanted = src.select("project_id", F.explode("tokens").alias("token")).distinct()
+    runs = F.array_distinct(F.regexp_extract_all(F.lower("raw_text"), F.lit("[a-z]{4,}"), F.lit(0)))
+    words = content.where("raw_text <> ''").select("project_id", F.col("artifact_id").alias("later_id"), F.explode(runs).alias("word"))
+    grams = words.select("project_id", "word").distinct().withColumn("gram", F.explode(_grams(F.col("word"))))
+    met = grams.join(wanted.withColumn("gram", F.substring("token", 1, 4)).hint("merge"), ["project_id", "gram"])
+    holds = met.where(F.contains(F.col("word"), F.col("token"))).select("project_id", "word", "token").distinct()
+    held = words.join(holds.hint("merge"), ["project_id", "word"]).groupBy("project_id", "later_id").agg(F.array_sort(F.collect_set("token")).alias("held"))
+    dated = held.join(dates.select(F.col("artifact_id").alias("later_id"), F.col("ts").alias("later_ts")).hint("merge"), "later_id", "left")
+    kinds = dated.groupBy("project_id", "held").agg(F.max("later_ts").alias("last"), F.min("later_id").alias("first_id"), F.max("later_id").alias("last_id"))
+    sides = src.withColumn("token", F.explode("tokens")).join(kinds.withColumn("token", F.explode("held")).hint("merge"), ["project_id", "token"])
+    # a dated promise is not later than itself; for an undated one any other text counts
+    later = F.when(F.col("own").isNull(), (F.col("first_id") != F.col("artifact_id")) | (F.col("last_id") != F.col("artifact_id"))).otherwise(F.col("last") > F.col("own"))
+    share = F.size(F.array_intersect("tokens", "held")) / F.size("tokens")
+    scored = sides.where(later).groupBy("artifact_id", "start").agg(F.max(share).alias("best"))
+    out = promises.join(scored.hint("merge"), ["artifact_id", "start"], "left")
     return out.withColumn("best", F.coalesce("best", F.lit(0.0))).withColumn("fulfilled", F.col("best") >= RULES.promise_overlap)
 
 
 def later_excerpts(promises: DataFrame, content: DataFrame, artifacts: DataFrame, dates: DataFrame, n: int = 5, chars: int = 300) -> DataFrame:
-    """The n soonest later texts of each promising artifact, shortened."""
-    pairs = later_artifacts(promises, artifacts, dates).where("later_ts is not null")
-    near = pairs.withColumn("rn", F.row_number().over(W.partitionBy("artifact_id").orderBy("later_ts", "later_id"))).where(F.col("rn") <= n)
-    return near.join(content.select(F.col("artifact_id").alias("later_id"), "raw_text"), "later_id").select("artifact_id", "later_id", F.col("rn").cast("long").alias("rank"), snippet(F.col("raw_text"), chars).alias("excerpt"))
+    """The n soonest later texts of each promising artifact, shortened: the dated artifacts of a project are
+    numbered by date, and a source takes the n numbers after those not later than it."""
+    dated = artifacts.select("artifact_id", "project_id").join(dates.select("artifact_id", "ts").hint("merge"), "artifact_id").where("ts is not null")
+    by_date = W.partitionBy("project_id").orderBy("ts")
+    placed = dated.withColumn("number", F.row_number().over(W.partitionBy("project_id").orderBy("ts", "artifact_id"))).withColumn("passed", F.count("*").over(by_date.rangeBetween(W.unboundedPreceding, W.currentRow)))
+    sources = promises.select("artifact_id", "project_id").distinct().join(placed.select("artifact_id", "passed").hint("merge"), "artifact_id", "left")
+    next_ = sources.withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("number", F.coalesce("passed", F.lit(0)) + F.col("rank"))
+    near = next_.join(placed.select("project_id", "number", F.col("artifact_id").alias("later_id")).hint("merge"), ["project_id", "number"])
+    texts = content.select(F.col("artifact_id").alias("later_id"), snippet(F.col("raw_text"), chars).alias("excerpt"))
+    return near.join(texts.hint("merge"), "later_id").select("artifact_id", "later_id", F.col("rank").cast("long").alias("rank"), "excerpt")
+
+
+def has_later(sources: DataFrame, artifacts: DataFrame, dates: DataFrame) -> DataFrame:
+    """artifact_id of the sources (artifact_id, project_id) after which the project has another artifact: one of
+    a later date, any other one if the source has no date."""
+    last = artifacts.select("artifact_id", "project_id").join(dates.select("artifact_id", "ts").hint("merge"), "artifact_id", "left").groupBy("project_id").agg(F.max("ts").alias("last"), F.count("*").alias("n"))
+    own = sources.select("artifact_id", "project_id").distinct().join(dates.select("artifact_id", F.col("ts").alias("own")).hint("merge"), "artifact_id", "left")
+    later = F.when(F.col("own").isNull(), F.col("n") > 1).otherwise(F.col("last") > F.col("own"))
+    return own.join(last.hint("merge"), "project_id").where(later).select("artifact_id")
 
 
 def promised_gaps(promises: DataFrame, content: DataFrame, artifacts: DataFrame, dates: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
     """Gaps of promises that nothing fulfils. verdicts (artifact_id, start, fulfilled, confidence) may
     settle the rest; without one a promise keeps a low confidence."""
-    any_later = later_artifacts(promises, artifacts, dates).select("artifact_id").distinct().withColumn("later", F.lit(True))
-    rows = fulfillment(promises, content, dates).where("not fulfilled").join(any_later, "artifact_id", "left")
+    any_later = has_later(promises, artifacts, dates).withColumn("later", F.lit(True))
+    rows = fulfillment(promises, content, dates).where("not fulfilled").join(any_later.hint("merge"), "artifact_id", "left")
     if verdicts is not None:
-        rows = rows.drop("fulfilled").join(verdicts.select("artifact_id", "start", F.col("fulfilled").alias("done"), F.col("confidence").alias("sure")), ["artifact_id", "start"], "left").where("later is null or done is null or not done")
-        judged = F.least(F.lit(RULES.promise_judged_cap), F.col("sure"))
+        given = verdicts.select("artifact_id", "start", F.col("fulfilled").alias("done"), F.col("confidence").alias("sure"))
+        rows = rows.drop("fulfilled").join(given.hint("merge"), ["artifact_id", "start"], "left").where("later is null or done is null or not done")
+        judged = F.when(F.col("sure").isNotNull(), F.least(F.lit(RULES.promise_judged_cap), F.col("sure")))
     else:
         judged = F.lit(None).cast("double")
     confidence = F.when(F.col("later").isNull(), RULES.promise_no_later_confidence).otherwise(F.coalesce(judged, F.lit(RULES.promise_unjudged_confidence)))
@@ -107,7 +142,8 @@ def reconcile(drafts: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def list_gaps(gaps: DataFrame, phases: DataFrame, status: str | None = None, type_: str | None = None) -> DataFrame:
-    """gaps with the phase's name; each filter given applies."""
+    """gaps with the phase's name and their place in a listing, surest first; each filter given applies."""
     rows = gaps.where(F.col("status") == status) if status else gaps
     rows = rows.where(F.col("type") == type_) if type_ else rows
-    return rows.join(F.broadcast(phases.select("phase_id", "phase_name").distinct()), "phase_id", "left")
+    place = F.row_number().over(W.partitionBy("project_id").orderBy(F.desc("confidence"), "description"))
+    return rows.join(sized(phases.select("phase_id", "phase_name").distinct()), "phase_id", "left").withColumn("place", place)

@@ -21,30 +21,37 @@ def match_keys(artifacts: DataFrame) -> DataFrame:
 def reference_scan(content: DataFrame, keys: DataFrame) -> DataFrame:
     """src, dst, kind, confidence, start, evidence: the best mention of each artifact in each text.
 
-    Texts and keys meet on a key's first word, not by trying all keys on all texts. A match must stand
-    between characters that are no word characters; matches go left to right, the longest at a place."""
-    word = r"(?U)\w+"
-    first = F.regexp_extract("key", word, 0)
+    A key is laid out by its length, its first word's length and what precedes that word. Texts look only at
+    words of such lengths and cut out strings of such lengths there; these meet the keys in an equi-join on
+    the whole key, so no text is shuffled. A match must stand between characters that are no word
+    characters; matches go left to right, the longest at a place."""
+    head = F.regexp_extract("key", r"(?U)\w+", 0)
+    known = keys.withColumn("head", F.length(head)).where("head > 0")
+    layout = known.select("head", (F.instr("key", head) - 1).alias("lead"), F.length("key").alias("size")).distinct()
+    # as many rows as there are lengths of keys, whatever the number of artifacts
+    layouts = [(r["head"], r["lead"], r["size"]) for r in layout.orderBy("head", "lead", "size").collect()]
+    schema = "project_id int, src long, dst long, kind string, confidence double, start int, evidence string"
+    if not layouts:
+        return content.sparkSession.createDataFrame([], schema)
+    word = r"(?U)(?<!\w)(?:" + "|".join(rf"\w{{{n}}}" for n in sorted({x[0] for x in layouts})) + r")(?!\w)"
     texts = content.where("raw_text is not null").select("project_id", F.col("artifact_id").alias("src"), "raw_text", F.lower("raw_text").alias("low"))
-    heads = keys.withColumn("head", first).withColumn("lead", F.instr("key", F.col("head")) - 1).where("head <> ''")
-    known = heads.select("project_id", "head").distinct()
-    tokens = texts.select("project_id", "src", "low", F.explode(find_spans(F.col("low"), word)).alias("t")).select("project_id", "src", "low", F.col("t.value").alias("head"), F.col("t.start").alias("at"))
-    anchored = tokens.join(known.hint("shuffle_hash"), ["project_id", "head"], "left_semi").join(heads.hint("shuffle_hash"), ["project_id", "head"])
-    start = F.col("at") - F.col("lead")
-    size = F.length("key")
-    exact = (start >= 0) & (F.substring(F.col("low"), start + 1, size) == F.col("key"))
-    free = ~F.substring(F.col("low"), start, F.when(start > 0, 1).otherwise(0)).rlike(r"(?U)^\w") & ~F.substring(F.col("low"), start + size + 1, F.lit(1)).rlike(r"(?U)^\w")
-    hits = anchored.where(exact & free).select("project_id", "src", "dst", "kind", start.alias("start"), (start + size).alias("end"))
+    words = texts.select("project_id", "src", "raw_text", "low", F.explode(find_spans(F.col("low"), word)).alias("t"))
+    shapes = F.array(*[F.struct(F.lit(h).alias("head"), F.lit(lead).alias("lead"), F.lit(size).alias("size")) for h, lead, size in layouts])
+    tried = words.withColumn("shape", F.explode(F.filter(shapes, lambda x: x["head"] == F.length("t.value"))))
+    tried = tried.withColumn("start", F.col("t.start") - F.col("shape.lead")).withColumn("end", F.col("start") + F.col("shape.size"))
+    outside = lambda at, n: ~F.substring(F.col("low"), at, n).rlike(r"(?U)^\w")
+    free = (F.col("start") >= 0) & (F.col("end") <= F.length("low")) & outside(F.col("start"), F.when(F.col("start") > 0, 1).otherwise(0)) & outside(F.col("end") + 1, F.lit(1))
+    cut = tried.where(free).select("project_id", "src", "start", "end", F.substring(F.col("low"), F.col("start") + 1, F.col("shape.size")).alias("key"), context_window(F.col("raw_text"), F.col("start"), F.col("end")).alias("evidence"))
+    hits = cut.join(known.select("project_id", "key", "dst", "kind").hint("merge"), ["project_id", "key"])
 
     # left to right without overlaps: a fold over the matches of one text, the longest at each place
-    listed = hits.groupBy("project_id", "src").agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("minus_end"), "dst", "kind"))).alias("m"))
-    empty = F.struct(F.lit(0).alias("to"), F.array().cast("array<struct<start:int,minus_end:int,dst:bigint,kind:string>>").alias("out"))
+    listed = hits.groupBy("project_id", "src").agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("minus_end"), "dst", "kind", "evidence"))).alias("m"))
+    empty = F.struct(F.lit(0).alias("to"), F.array().cast("array<struct<start:int,minus_end:int,dst:bigint,kind:string,evidence:string>>").alias("out"))
     kept = F.aggregate("m", empty, lambda s, x: F.when(x["start"] >= s["to"], F.struct((-x["minus_end"]).alias("to"), F.array_append(s["out"], x).alias("out"))).otherwise(s), lambda s: s["out"])
-    taken = listed.select("project_id", "src", F.explode(kept).alias("m")).select("project_id", "src", "m.dst", "m.kind", "m.start", (-F.col("m.minus_end")).alias("end")).where("src <> dst")
+    taken = listed.select("project_id", "src", F.explode(kept).alias("m")).select("project_id", "src", "m.dst", "m.kind", "m.start", "m.evidence").where("src <> dst")
     scored = taken.withColumn("confidence", F.when(F.col("kind") == "filename", RULES.filename_confidence).otherwise(RULES.title_confidence))
-    best = scored.withColumn("rn", F.row_number().over(W.partitionBy("src", "dst").orderBy(F.desc("confidence"), "start"))).where("rn = 1").drop("rn")
-    with_text = best.join(texts.select("src", "raw_text"), "src")
-    return with_text.select("project_id", "src", "dst", "kind", "confidence", "start", context_window(F.col("raw_text"), F.col("start"), F.col("end")).alias("evidence"))
+    best = scored.withColumn("rn", F.row_number().over(W.partitionBy("src", "dst").orderBy(F.desc("confidence"), "start"))).where("rn = 1")
+    return best.select("project_id", "src", "dst", "kind", "confidence", "start", "evidence")
 
 
 def orient(edges: DataFrame, dates: DataFrame) -> DataFrame:

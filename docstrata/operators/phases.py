@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from ..config import RULES
 from ..functions.text import signal_line
 from ..functions.vocabulary import PHASES
+from ..joins import sized
 
 
 def phase_templates(spark: SparkSession) -> DataFrame:
-    """phase_id, domain, ordinal, phase_name, description."""
-    return spark.createDataFrame([(i, *p) for i, p in enumerate(PHASES)], "phase_id int, domain string, ordinal int, phase_name string, description string")
+    """phase_id, domain, ordinal, phase_name."""
+    return spark.createDataFrame([(i, *p) for i, p in enumerate(PHASES)], "phase_id int, domain string, ordinal int, phase_name string")
 
 
 def candidate_domains(templates: DataFrame) -> DataFrame:
@@ -20,27 +21,27 @@ def candidate_domains(templates: DataFrame) -> DataFrame:
 
 def template_domain(classification: DataFrame, templates: DataFrame, least: float = RULES.template_min_confidence) -> DataFrame:
     """project_id, template_domain: the project's domain if it is sure enough and has phases, else generic."""
-    known = F.broadcast(templates.select(F.col("domain").alias("_d")).distinct())
+    known = sized(templates.select(F.col("domain").alias("_d")).distinct())
     joined = classification.join(known, F.col("domain") == F.col("_d"), "left")
     return joined.select("project_id", F.when((F.col("confidence") >= least) & F.col("_d").isNotNull(), F.col("domain")).otherwise("generic").alias("template_domain"))
 
 
 def project_phases(domains: DataFrame, templates: DataFrame) -> DataFrame:
     """The phases of each project's template."""
-    return domains.join(F.broadcast(templates), domains["template_domain"] == templates["domain"]).select("project_id", "phase_id", "domain", "ordinal", "phase_name")
+    return domains.join(sized(templates), domains["template_domain"] == templates["domain"]).select("project_id", "phase_id", "domain", "ordinal", "phase_name")
 
 
 def phase_coverage(phases: DataFrame, assignments: DataFrame) -> DataFrame:
     """phases (project_id, phase_id, phase_name) with how many artifacts each has, 0 included."""
     counts = assignments.groupBy("project_id", "phase_id").agg(F.countDistinct("artifact_id").alias("n"))
-    return phases.join(counts, ["project_id", "phase_id"], "left").select("project_id", "phase_id", "phase_name", F.coalesce("n", F.lit(0)).cast("long").alias("artifacts"))
+    return phases.join(counts.hint("merge"), ["project_id", "phase_id"], "left").select("project_id", "phase_id", "phase_name", F.coalesce("n", F.lit(0)).cast("long").alias("artifacts"))
 
 
 def choose_category(assignments: DataFrame, phases: DataFrame) -> DataFrame:
     """The phase of each artifact with the most confidence; then human ones, the earliest phase and the
     largest id come first."""
     order = W.partitionBy("artifact_id").orderBy(F.desc("confidence"), (F.col("source") == "human").desc(), "ordinal", F.desc("phase_id"))
-    named = assignments.join(F.broadcast(phases.select("phase_id", "phase_name", "ordinal").distinct()), "phase_id")
+    named = assignments.join(sized(phases.select("phase_id", "phase_name", "ordinal").distinct()), "phase_id")
     return named.withColumn("rn", F.row_number().over(order)).where("rn = 1").select("artifact_id", F.col("phase_name").alias("category"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.vocabulary import SECTIONS
@@ -63,14 +65,45 @@ def stale_section(labels: DataFrame, names: DataFrame) -> DataFrame:
     return lines(rows, F.format_string("- %s — %s (confidence %.2f)", "name", "label", "confidence"), [F.desc("confidence"), F.col("artifact_id")], "content")
 
 
-def regenerate(current: DataFrame, fresh: DataFrame) -> DataFrame:
-    """project_id, section, action, content: sections (project_id, section, fingerprint, content) whose
-    fingerprint is unchanged are carried over word for word, others are rendered anew."""
-    old = current.select("project_id", "section", F.col("fingerprint").alias("was"), F.col("content").alias("carried"))
-    joined = fresh.join(old, ["project_id", "section"], "full_outer")
-    same = F.col("was") == F.col("fingerprint")
-    action = F.when(F.col("fingerprint").isNull(), "dropped").when(F.col("was").isNull(), "new").when(same, "carried").otherwise("rendered")
-    return joined.select("project_id", "section", action.alias("action"), F.when(action.isin("carried", "dropped"), F.col("carried")).otherwise(F.col("content")).alias("content"))
+def direction_section(projects: DataFrame, snapshots: DataFrame, current: DataFrame, names: DataFrame, narratives: DataFrame | None = None) -> DataFrame:
+    """project_id, content: the narrative (project_id, narrative) where there is one, else the snapshot's
+    summary and the names of the current artifacts (project_id, artifact_id, rn) in order. The wordings are
+    fixed values."""
+    listed = lines(current.join(names.select("artifact_id", "name").hint("merge"), "artifact_id"), F.concat(F.lit("- "), F.col("name")), [F.col("rn")], "listed")
+    rows = projects.select("project_id").join(snapshots.select("project_id", "summary").hint("merge"), "project_id", "left").join(listed.hint("merge"), "project_id", "left")
+    head = F.lit("\n\nArtifacts currently part of this direction:\n")
+    plain = F.when(F.col("summary").isNull(), "Direction has not yet been inferred for this project.").otherwise(F.concat("summary", F.coalesce(F.concat(head, F.col("listed")), F.lit(""))))
+    if narratives is None:
+        return rows.select("project_id", plain.alias("content"))
+    given = F.when(F.col("summary").isNotNull(), F.col("narrative"))
+    return rows.join(narratives.select("project_id", "narrative").hint("merge"), "project_id", "left").select("project_id", F.coalesce(given, plain).alias("content"))
+
+
+def activity_section(projects: DataFrame, recent: DataFrame) -> DataFrame:
+    """project_id, content: the lines of recent_activity in order."""
+    listed = recent.groupBy("project_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda s: s["line"]), "\n").alias("content"))
+    return projects.select("project_id").join(listed.hint("merge"), "project_id", "left").select("project_id", F.coalesce("content", F.lit("No timeline activity recorded yet.")).alias("content"))
+
+
+def to_render(current: DataFrame, prints: DataFrame) -> DataFrame:
+    """project_id, section, action of the sections in prints (project_id, section, fingerprint of the inputs)
+    against the current report's: carried where the fingerprint is unchanged, else rendered, or new."""
+    old = current.select("project_id", "section", F.col("fingerprint").alias("was"))
+    action = F.when(F.col("was").isNull(), "new").when(F.col("was") == F.col("fingerprint"), "carried").otherwise("rendered")
+    return prints.join(old.hint("merge"), ["project_id", "section"], "left").select("project_id", "section", action.alias("action"))
+
+
+def regenerate(current: DataFrame, prints: DataFrame, renderers: dict[str, Callable[[DataFrame], DataFrame]], keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """project_id, section, action, content: sections of current (project_id, section, fingerprint, content)
+    whose fingerprint is unchanged are carried over word for word. Only of projects with other ones is a
+    section rendered: renderers take those projects (project_id) and give project_id, content."""
+    todo = keep(to_render(current, prints))
+    carried = todo.where("action = 'carried'").join(current.select("project_id", "section", "content").hint("merge"), ["project_id", "section"])
+    out = carried.select("project_id", "section", "action", "content")
+    for section, render in renderers.items():
+        own = todo.where((F.col("section") == section) & (F.col("action") != "carried")).select("project_id", "section", "action")
+        out = out.unionByName(own.join(render(own.select("project_id")).hint("merge"), "project_id").select("project_id", "section", "action", "content"))
+    return out
 
 
 def compose(projects: DataFrame, sections: DataFrame, version: Column, generated: Column) -> DataFrame:
@@ -81,3 +114,9 @@ def compose(projects: DataFrame, sections: DataFrame, version: Column, generated
     for section, title in SECTIONS:
         parts += [F.lit(f"## {title}"), F.coalesce(F.col(section), F.lit("No data.")), F.lit("")]
     return rows.select("project_id", F.concat(F.rtrim(F.regexp_replace(F.concat_ws("\n", *parts), r"\s+$", "")), F.lit("\n")).alias("markdown"))
+
+
+def current_version(versions: DataFrame, sections: DataFrame) -> DataFrame:
+    """project_id, version, section, content of each project's last version (project_id, version)."""
+    last = versions.groupBy("project_id").agg(F.max("version").alias("version"))
+    return sections.join(last.hint("merge"), "project_id")

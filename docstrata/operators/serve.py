@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
+
+from ..joins import sized
 
 
 def owned(projects: DataFrame, rows: DataFrame, owner: int) -> DataFrame:
@@ -16,6 +18,17 @@ def page(rows: DataFrame, order: list, limit: int = 50, offset: int = 0) -> Data
     return rows.orderBy(*order).offset(max(0, offset)).limit(min(200, max(1, limit)))
 
 
+def page_total(rows: DataFrame) -> DataFrame:
+    """total: how many rows there are before a page is cut."""
+    return rows.agg(F.count("*").alias("total"))
+
+
+def project_list(projects: DataFrame, owner: int) -> DataFrame:
+    """The owner's projects with their place in the list, by name and id."""
+    mine = projects.where(F.col("owner_id") == owner)
+    return mine.withColumn("place", F.row_number().over(W.partitionBy("owner_id").orderBy("name", "project_id")))
+
+
 def browse(artifacts: DataFrame, dates: DataFrame, labels: DataFrame, assignments: DataFrame, phases: DataFrame, phase_id: int | None = None, label: str | None = None) -> DataFrame:
     """artifact_id, project_id, original_filename, ts, label, phases; filters by phase and label."""
     rows = artifacts.select("artifact_id", "project_id", "original_filename", "ingested_at")
@@ -23,7 +36,7 @@ def browse(artifacts: DataFrame, dates: DataFrame, labels: DataFrame, assignment
         rows = rows.join(assignments.where(F.col("phase_id") == phase_id).select("artifact_id"), "artifact_id", "left_semi")
     if label is not None:
         rows = rows.join(labels.where(F.col("label") == label).select("artifact_id"), "artifact_id", "left_semi")
-    named = assignments.join(F.broadcast(phases.select("phase_id", "phase_name").distinct()), "phase_id").groupBy("artifact_id").agg(F.array_join(F.array_sort(F.collect_set("phase_name")), ", ").alias("phases"))
+    named = assignments.join(sized(phases.select("phase_id", "phase_name").distinct()), "phase_id").groupBy("artifact_id").agg(F.array_join(F.array_sort(F.collect_set("phase_name")), ", ").alias("phases"))
     rows = rows.join(dates.select("artifact_id", "ts"), "artifact_id", "left").join(labels.select("artifact_id", "label"), "artifact_id", "left")
     return rows.join(named, "artifact_id", "left").withColumn("phases", F.coalesce("phases", F.lit("")))
 

@@ -17,9 +17,12 @@ def input_hash(*parts: Column) -> Column:
 
 
 def fingerprint(rows: DataFrame, keys: list[str], line: Column, version: str = "v1") -> DataFrame:
-    """SHA-256 of the sorted lines of each key behind a version line."""
-    joined = F.concat_ws("\n", F.lit(version), F.array_join(F.array_sort(F.collect_list(line)), "\n"))
-    return rows.groupBy(*keys).agg(F.sha2(joined, 256).alias("fingerprint"))
+    """A SHA-256 of all lines of each key behind a version line, in any order of rows: lines are dealt to 256
+    blocks by their hash, a block's sorted lines are hashed, and the blocks' hashes in order are hashed."""
+    lined = rows.withColumn("_line", line).where("_line is not null").withColumn("_block", F.substring(F.md5("_line"), 1, 2))
+    blocks = lined.groupBy(*keys, "_block").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("_line")), "\n"), 256).alias("_hash"))
+    joined = F.transform(F.array_sort(F.collect_list(F.struct("_block", "_hash"))), lambda b: b["_hash"])
+    return blocks.groupBy(*keys).agg(F.sha2(F.concat_ws("\n", F.lit(version), F.array_join(joined, "\n")), 256).alias("fingerprint"))
 
 
 def up_to_date(artifacts: DataFrame, ledger: DataFrame, stage: str) -> DataFrame:

@@ -6,6 +6,8 @@ grow with documents and embeddings.
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from functools import cached_property
 
@@ -13,12 +15,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 RELATIONS = """
 base AS (
-  SELECT doc_id, CAST(doc_id % 20 AS INT) AS project_id, CAST(floor(doc_id / 20) AS BIGINT) AS k, text, lang FROM documents),
+  SELECT doc_id, CAST(doc_id % 20 + 20 * CAST(floor(doc_id / 20000) AS BIGINT) AS INT) AS project_id, CAST(floor(doc_id % 20000 / 20) AS BIGINT) AS k, text, lang FROM documents),
 artifacts AS (
   SELECT doc_id AS artifact_id, project_id, k,
     concat('note_', lpad(CAST(doc_id AS STRING), 6, '0'), '.txt') AS original_filename, 'txt' AS file_type,
-    CAST(DATE '2023-01-01' + CAST(k % 4000 * 9 % 1500 AS INT) AS TIMESTAMP) AS fs_created,
-    CAST(DATE '2023-01-03' + CAST(k % 4000 * 9 % 1500 AS INT) AS TIMESTAMP) AS fs_modified,
+    CASE WHEN k % 13 <> 6 THEN CAST(DATE '2023-01-01' + CAST(k * 9 % 1500 AS INT) AS TIMESTAMP) END AS fs_created,
+    CASE WHEN k % 13 <> 6 THEN CAST(DATE '2023-01-03' + CAST(k * 9 % 1500 AS INT) AS TIMESTAMP) END AS fs_modified,
     CAST(DATE '2024-06-01' + CAST(k % 100 AS INT) AS TIMESTAMP) AS ingested_at,
     concat_ws(chr(10), text,
       CASE WHEN k % 3 = 0 THEN concat('Results of Experiment ', CAST(CAST(floor(k / 6) AS BIGINT) AS STRING), ' in Python cost $', CAST(100 + k AS STRING), 'k.') END,
@@ -27,6 +29,8 @@ artifacts AS (
       CASE WHEN k % 5 = 3 THEN concat('As in Protocol alpha ', lpad(CAST(doc_id - 60 AS STRING), 6, '0'), ' we saw.') END,
       CASE WHEN k % 7 = 3 THEN concat('We still need to run control assay batch', CAST(k AS STRING), '.') END,
       CASE WHEN k % 7 = 4 AND k % 2 = 0 THEN 'Finished control assay batch work.' END,
+      CASE WHEN k % 9 = 2 THEN concat('Hypothesis H', CAST(CAST(floor(k / 18) AS BIGINT) AS STRING), ' rests on [', CAST(CAST(floor(k / 27) AS BIGINT) AS STRING), '] and 10.1000/x', CAST(k AS STRING), '.') END,
+      CASE WHEN k % 7 = 5 OR k % 10 = 9 OR k % 12 = 0 THEN concat('We are waiting on reagent', translate(lpad(CAST(k AS STRING), 6, '0'), '0123456789', 'abcdefghij'), ' shipment', translate(lpad(CAST(k AS STRING), 6, '0'), '0123456789', 'abcdefghij'), '.') END,
       CASE WHEN k % 8 = 5 THEN 'Review on March 5, 2023 or last week.' END) AS raw_text
   FROM base),
 headings AS (SELECT artifact_id, project_id, concat('Protocol alpha ', lpad(CAST(artifact_id AS STRING), 6, '0')) AS label FROM artifacts WHERE k % 2 = 0),
@@ -44,16 +48,18 @@ assignments AS (
   SELECT artifact_id, project_id, CAST(k % 3 AS INT) AS phase_id, 0.5 + (k % 5) * 0.1 AS confidence, CASE WHEN k % 10 = 9 THEN 'human' ELSE 'auto' END AS source
   FROM artifacts WHERE k % 3 <> 2 OR project_id % 2 = 0 OR k = 2
   UNION ALL SELECT artifact_id, project_id, 1, 0.6, 'auto' FROM artifacts WHERE k % 12 = 0),
-vectors AS (SELECT e.vec_id AS artifact_id, a.project_id, e.embedding AS vector, CAST(CASE WHEN e.label % 4 = 3 THEN -1 ELSE e.label END AS INT) AS cluster_id FROM embeddings e JOIN artifacts a ON a.artifact_id = e.vec_id),
+vectors AS (
+  SELECT a.artifact_id, a.project_id, e.embedding AS vector, CAST(CASE WHEN e.label % 4 = 3 THEN -1 ELSE e.label * 10 + floor(a.k / 8) END AS INT) AS cluster_id
+  FROM (SELECT top - vec_id AS of_id, embedding, label FROM embeddings CROSS JOIN (SELECT max(doc_id) AS top FROM documents) AS t) e JOIN artifacts a ON a.artifact_id = e.of_id),
 ledger AS (
   SELECT artifact_id, 'parse' AS stage, CASE WHEN k % 11 = 4 THEN 'skipped' WHEN k % 13 = 5 THEN 'error' ELSE 'done' END AS status, sha2_256(raw_text) AS input_hash, concat('parse ', CAST(k AS STRING)) AS message FROM artifacts WHERE k % 9 <> 8
   UNION ALL SELECT artifact_id, 'extract', CASE WHEN k % 17 = 6 THEN 'error' ELSE 'done' END, CASE WHEN k % 5 = 1 THEN 'old' ELSE sha2_256(raw_text) END, concat('extract ', CAST(k AS STRING)) FROM artifacts WHERE k % 3 <> 2
-  UNION ALL SELECT artifact_id, 'embed', 'done', sha2_256(raw_text), 'embed' FROM artifacts WHERE k % 4 = 0),
+  UNION ALL SELECT artifact_id, 'embed', 'done', sha2_256(raw_text), 'embed' FROM artifacts WHERE k % 4 = 0 OR project_id % 4 = 1),
 feedback AS (
   SELECT artifact_id, project_id, 'current' AS label, CAST(DATE '2024-01-01' AS TIMESTAMP) AS given_at FROM artifacts WHERE k % 10 = 3
   UNION ALL SELECT artifact_id, project_id, 'superseded', CAST(DATE '2024-02-01' AS TIMESTAMP) FROM artifacts WHERE k % 20 = 3),
 snapshots AS (
-  SELECT artifact_id AS snapshot_id, project_id, concat('summary ', CAST(k AS STRING)) AS summary, CAST(DATE '2024-01-01' + CAST(k * 3 % 50 AS INT) AS TIMESTAMP) AS computed_at FROM artifacts WHERE k < 10),
+  SELECT artifact_id AS snapshot_id, project_id, concat('summary ', CAST(k AS STRING)) AS summary, CAST(DATE '2024-01-01' + CAST(k * 3 % 50 AS INT) AS TIMESTAMP) AS computed_at FROM artifacts),
 versions AS (
   SELECT artifact_id, project_id, v AS version, artifact_id * 10 + v AS version_id, CASE WHEN k % 5 = 0 THEN '' ELSE concat('name-', CAST(artifact_id AS STRING), '-v', CAST(v AS STRING), '.txt') END AS suggested_name, 'Analysis' AS category
   FROM artifacts JOIN (SELECT * FROM (VALUES (1), (2), (3)) AS x(v)) AS n ON v <= 1 + k % 3),
@@ -63,10 +69,14 @@ old_gaps AS (
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder and read again; a folder is set here only where the session has none."""
+    """df written to the shared checkpoint folder and read again. A session on one machine that names no
+    folder gets a temporary one; on a cluster that is an error."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     path = f"{sc.getCheckpointDir()}/derived-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -23,7 +23,7 @@ def squeeze(x: str) -> str:
 _MENTIONS = " UNION ALL ".join(spans(p, "artifacts", f"artifact_id, project_id, raw_text, '{kind}' AS kind, {conf} AS confidence") for kind, p, conf in ENTITY_RULES)
 _PROMISES = " UNION ALL ".join(spans("(?i)" + p, "artifacts", "artifact_id, project_id") for p in PROMISES)
 _DATES = spans(r"\b\d{4}-\d{2}-\d{2}\b|\bMarch \d{1,2}, \d{4}\b|(?i:\blast week\b)|\b(?:19|20)\d{2}\b", "artifacts", "artifact_id, project_id")
-_PHASES = ", ".join(f"({i}, '{d}', {o}, '{n}')" for i, (d, o, n, _) in enumerate(PHASES))
+_PHASES = ", ".join(f"({i}, '{d}', {o}, '{n}')" for i, (d, o, n) in enumerate(PHASES))
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 _ISO = r"^\d{4}-\d{2}-\d{2}$"
 _RANK = "CASE source WHEN 'content' THEN 3 WHEN 'doc_meta' THEN 2 ELSE 1 END"
@@ -42,8 +42,8 @@ m2 AS (SELECT *, start + length(value) AS "end",
     ELSE printf('%.2f', try_cast(regexp_replace(value, '[^0-9.]', '', 'g') AS DOUBLE) * CASE WHEN regexp_matches(value, '[kK]\b') THEN 1e3 WHEN regexp_matches(value, '[mM]\b') THEN 1e6 ELSE 1 END) END AS normalized_value FROM m1),
 mentions AS (SELECT artifact_id, project_id, kind, value, normalized_value, start, "end",
   substring(raw_text, greatest(start - 40, 0) + 1, least("end" + 40, length(raw_text)) - greatest(start - 40, 0)) AS context, confidence FROM m2),
-fs AS (SELECT artifact_id, project_id, fs_created AS ts, 'filesystem' AS source, 0.35 AS confidence, 'Artifact.fs_created' AS evidence, 0 AS ordinal FROM artifacts
-  UNION ALL SELECT artifact_id, project_id, fs_modified, 'filesystem', 0.25, 'Artifact.fs_modified', 1 FROM artifacts),
+fs AS (SELECT * FROM (SELECT artifact_id, project_id, fs_created AS ts, 'filesystem' AS source, 0.35 AS confidence, 'Artifact.fs_created' AS evidence, 0 AS ordinal FROM artifacts
+  UNION ALL SELECT artifact_id, project_id, fs_modified, 'filesystem', 0.25, 'Artifact.fs_modified', 1 FROM artifacts) WHERE ts IS NOT NULL),
 meta AS (SELECT artifact_id, project_id,
     CASE WHEN value LIKE 'D:%' THEN strptime(substr(value, 3), '%Y%m%d%H%M%S') WHEN value LIKE '____:%' THEN strptime(value, '%Y:%m:%d %H:%M:%S') ELSE try_cast(value AS TIMESTAMP) END AS ts,
     'doc_meta' AS source, CASE WHEN key = 'ModDate' THEN 0.55 ELSE 0.7 END AS confidence, concat(key, '=', value) AS evidence, ordinal + 10 AS ordinal FROM metadata WHERE key <> 'Title'),
@@ -90,7 +90,7 @@ sig_a AS (SELECT m.artifact_id, m.project_id, CASE WHEN c.centroid IS NULL THEN
 emb AS (SELECT v.artifact_id, v.project_id, c.ts FROM vectors v LEFT JOIN chosen c USING (artifact_id)),
 sig_small AS (SELECT artifact_id, project_id, CASE WHEN ts IS NULL THEN NULL WHEN max(ts) OVER w = min(ts) OVER w THEN 0.5 ELSE (epoch_us(ts) - epoch_us(min(ts) OVER w)) / CAST(epoch_us(max(ts) OVER w) - epoch_us(min(ts) OVER w) AS DOUBLE) END AS signal_a FROM emb WINDOW w AS (PARTITION BY project_id)),
 later_ref AS (SELECT e.dst AS artifact_id, max(s.ts) AS last_ref FROM edges e JOIN chosen s ON s.artifact_id = e.src LEFT JOIN chosen o ON o.artifact_id = e.dst WHERE o.ts IS NULL OR s.ts > o.ts GROUP BY 1),
-sig_b AS (SELECT v.artifact_id, v.project_id, greatest(0.0, least(1.0, 1 - (epoch_us(l.latest) - epoch_us(coalesce(r.last_ref, c.ts))) / 86400e6 / 90)) AS signal_b, r.last_ref
+sig_b AS (SELECT v.artifact_id, v.project_id, CASE WHEN coalesce(r.last_ref, c.ts) IS NOT NULL THEN greatest(0.0, least(1.0, 1 - (epoch_us(l.latest) - epoch_us(coalesce(r.last_ref, c.ts))) / 86400e6 / 90)) END AS signal_b, r.last_ref
   FROM vectors v LEFT JOIN chosen c USING (artifact_id) LEFT JOIN later_ref r USING (artifact_id) LEFT JOIN last_date l ON l.project_id = v.project_id),
 sizes AS (SELECT project_id, count(*) < 6 AS small FROM vectors GROUP BY 1),
 both_signals AS (SELECT v.artifact_id, v.project_id, s.small, CASE WHEN s.small THEN ss.signal_a ELSE sa.signal_a END AS a, sb.signal_b AS b
@@ -139,5 +139,6 @@ span AS (SELECT project_id, min(event_date) AS earliest, max(event_date) AS late
 """
 
 
-def oracle(select: str) -> str:
-    return "WITH " + RELATIONS.replace("sha2_256(raw_text)", "sha256(raw_text)") + ", " + DERIVED + " " + select
+def oracle(select: str, recursive: str = "") -> str:
+    more = f", {recursive}" if recursive else ""
+    return f"WITH {'RECURSIVE ' if recursive else ''}" + RELATIONS.replace("sha2_256(raw_text)", "sha256(raw_text)") + ", " + DERIVED + more + " " + select

@@ -8,7 +8,10 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import dates as D, text as T, vectors as V
-from ..operators import direction, embed, extract, gaps, graph, ingest, judge, phases, report, serve, state, view
+from ..functions.vocabulary import SECTIONS
+from ..operators import cluster, direction, embed, extract, gaps, graph, ingest, judge, phases, report, serve, state, view
+from ..sources import files, records
+from . import runner
 from .corpus import Corpus, written
 from .oracles import dot, oracle, squeeze
 
@@ -16,14 +19,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None, name: str | None = None):
-    """Registers fn(corpus) under its name; sql is the select behind the shared relations."""
+def query(sql: str | None = None, name: str | None = None, recursive: str = ""):
+    """Registers fn(corpus) under its name; sql is the select behind the shared relations and those in recursive."""
 
     def register(fn):
         key = name or fn.__name__
         QUERIES[key] = lambda spark, sf_dir: fn(derived(spark, sf_dir))
         if sql:
-            ORACLE_SQL[key] = oracle(sql)
+            ORACLE_SQL[key] = oracle(sql, recursive)
         return fn
 
     return register
@@ -51,6 +54,11 @@ def derived(spark: SparkSession, sf_dir: str) -> Derived:
     return _CORPORA[key]
 
 
+def forget() -> None:
+    """Lets go of what was derived so far; tables in the shared folder stay until it is cleared."""
+    _CORPORA.clear()
+
+
 _CORPORA: dict[tuple[str, str], Derived] = {}
 
 
@@ -99,8 +107,9 @@ class Derived(Corpus):
 
     @kept
     def coverage(self) -> DataFrame:
-        every = self.relation("projects").select("project_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("phase_id")).join(F.broadcast(self.relation("phases")), "phase_id")
-        return phases.phase_coverage(every, self.relation("assignments"))
+        known = self.relation("phases").select("phase_id", "phase_name", F.lit("research").alias("domain"), F.col("phase_id").alias("ordinal"))
+        every = phases.project_phases(self.relation("projects").select("project_id", F.lit("research").alias("template_domain")), known)
+        return phases.phase_coverage(every.select("project_id", "phase_id", "phase_name"), self.relation("assignments"))
 
     def structural(self) -> DataFrame:
         totals = self.artifacts.groupBy("project_id").agg(F.count("*").alias("artifacts_total"))
@@ -171,12 +180,62 @@ def ingest_dedupe(c):
     return ingest.ingest_merge(old, seen.where("k % 7 <> 6"))
 
 
-@query("SELECT artifact_id, CASE WHEN k % 4 = 0 THEN 'pdf' WHEN k % 4 = 1 THEN 'csv' ELSE 'txt' END AS file_type, CASE WHEN k % 4 = 0 THEN 'unsupported' ELSE 'parsed' END AS status, CASE WHEN k % 4 = 0 THEN NULL ELSE length(raw_text) END AS chars FROM artifacts")
+@query("SELECT artifact_id, CASE WHEN k % 4 = 0 THEN 'pdf' WHEN k % 4 = 1 THEN 'md' ELSE 'txt' END AS file_type, CASE WHEN k % 4 = 0 THEN 'unsupported' ELSE 'parsed' END AS status, CASE WHEN k % 4 = 0 THEN NULL ELSE length(raw_text) END AS chars FROM artifacts")
 def parse_dispatch(c):
-    kind = F.when(F.col("k") % 4 == 0, "pdf").when(F.col("k") % 4 == 1, "csv").otherwise("txt")
-    rows = c.artifacts.select("artifact_id", kind.alias("file_type"), "raw_text")
-    known = F.col("file_type").isin("txt", "md", "markdown", "csv")
-    return rows.select("artifact_id", "file_type", F.when(known, "parsed").otherwise("unsupported").alias("status"), F.when(known, F.length("raw_text")).alias("chars"))
+    kind = F.when(F.col("k") % 4 == 0, "pdf").when(F.col("k") % 4 == 1, "md").otherwise("txt")
+    given = c.artifacts.select(F.col("artifact_id").cast("string").alias("path"), F.to_binary("raw_text", F.lit("utf-8")).alias("content"), kind.alias("file_type"))
+    parsed = files.parse_documents(given).select("path", "status", F.length("raw_text").alias("chars"))
+    return given.select("path", "file_type").join(parsed.hint("merge"), "path").select(F.col("path").cast("long").alias("artifact_id"), "file_type", "status", "chars")
+
+
+TURNS = "(SELECT concat('deck', conv_id) AS path, turn, concat(CASE WHEN turn % 3 = 2 THEN '' ELSE role END) AS role, CASE WHEN turn % 3 = 1 THEN '  ' ELSE text END AS text FROM conversations)"
+
+
+def _turns(c):
+    t = c.table("conversations")
+    return t.select(F.concat(F.lit("deck"), F.col("conv_id").cast("string")).alias("path"), F.col("turn").cast("int").alias("turn"), F.when(F.col("turn") % 3 == 2, "").otherwise(F.col("role")).alias("role"), F.when(F.col("turn") % 3 == 1, "  ").otherwise(F.col("text")).alias("text"))
+
+
+@query(f"SELECT path, string_agg(CASE WHEN trim(text) <> '' THEN text END, chr(10) || chr(10) ORDER BY turn) AS raw_text, count(*) AS page_count, count(*) FILTER (trim(text) <> '') = 0 AS likely_scanned FROM {TURNS} GROUP BY path")
+def page_records(c):
+    return records.page_records(_turns(c).withColumnRenamed("turn", "page"))
+
+
+@query(f"""SELECT path, string_agg(CASE WHEN trim(role) <> '' OR trim(text) <> '' THEN concat('[Slide ', turn, ']', chr(10), CASE WHEN trim(role) = '' THEN text WHEN trim(text) = '' THEN role ELSE concat(role, chr(10), text) END) END, chr(10) || chr(10) ORDER BY turn) AS raw_text,
+  count(*) AS slide_count, string_agg(coalesce(nullif(role, ''), '-'), ',' ORDER BY turn) AS titles FROM {TURNS} GROUP BY path""")
+def slide_records(c):
+    slides = _turns(c).select("path", F.col("turn").alias("slide"), F.nullif("role", F.lit("")).alias("title"), F.array("role", "text").alias("texts"))
+    titles = F.array_join(F.transform("slide_titles", lambda t: F.coalesce(t, F.lit("-"))), ",").alias("titles")
+    return records.slide_records(slides).select("path", "raw_text", "slide_count", titles)
+
+
+@query(f"SELECT path, string_agg(CASE WHEN trim(text) <> '' THEN text END, chr(10) ORDER BY turn) AS raw_text, coalesce(string_agg(text, '|' ORDER BY turn) FILTER (trim(text) <> '' AND role = 'user'), '') AS headings FROM {TURNS} GROUP BY path")
+def paragraph_records(c):
+    paragraphs = _turns(c).select("path", F.col("turn").alias("place"), "text", F.when(F.col("role") == "user", "Heading 1").otherwise("Normal").alias("style"))
+    return records.paragraph_records(paragraphs).withColumn("headings", F.array_join("headings", "|"))
+
+
+@query("SELECT concat('cust', o_custkey) AS path, concat('page_', 1 + o_custkey % 2, '_table_1') AS source, o_orderkey + 1 AS row, unnest(['status', 'col_1', 'status_1']) AS key, unnest([o_orderstatus, o_orderpriority, 'x']) AS value FROM orders")
+def page_tables(c):
+    o = c.table("orders").select(F.concat(F.lit("cust"), F.col("o_custkey").cast("string")).alias("path"), (1 + F.col("o_custkey") % 2).alias("page"), F.lit(1).alias("table"), "o_orderkey", "o_orderstatus", "o_orderpriority")
+    at = ["path", "page", "table"]
+    head = o.select(*at).distinct().select(*at, F.lit(0).cast("long").alias("row"), F.posexplode(F.array(F.lit("status"), F.lit(" "), F.lit("status"))).alias("col", "value"))
+    body = o.select(*at, (F.col("o_orderkey") + 1).alias("row"), F.posexplode(F.array("o_orderstatus", "o_orderpriority", F.lit("x"), F.lit("beyond"))).alias("col", "value"))
+    return records.page_tables(head.unionByName(body)).select("path", "source", "row", F.explode("record").alias("key", "value"))
+
+
+@query("SELECT url AS path, unnest(['width', 'height', 'format', 'exif.Image Make']) AS key, unnest([CAST(page_id % 640 AS VARCHAR), CAST(length(html) AS VARCHAR), 'JPEG', concat('maker ', page_id % 7)]) AS value FROM pages")
+def image_records(c):
+    p = c.table("pages")
+    images = p.select(F.col("url").alias("path"), (F.col("page_id") % 640).alias("width"), F.length("html").alias("height"), F.lit("JPEG").alias("format"))
+    tags = p.select(F.col("url").alias("path"), F.explode(F.create_map(F.lit("Image Make"), F.concat(F.lit("maker "), (F.col("page_id") % 7).cast("string")), F.lit("Thumbnail Size"), F.lit("1"))).alias("tag", "value"))
+    return records.image_records(images, tags)
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS at, strftime(o_orderdate, '%Y-%m-%d') AS day, CAST(CAST(o_totalprice AS DECIMAL(15, 2)) AS DOUBLE) AS price, o_orderstatus AS status FROM orders")
+def json_safe(c):
+    o = c.table("orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("at"), F.col("o_orderdate").cast("date").alias("day"), F.col("o_totalprice").cast("decimal(15,2)").alias("price"), F.col("o_orderstatus").alias("status"))
+    return o.select("o_orderkey", *[T.json_safe(F.col(n), t).alias(n) for n, t in o.dtypes[1:]])
 
 
 @query("""SELECT table_id, pos, CASE WHEN nth = 0 THEN name ELSE concat(name, '_', nth) END AS name FROM (SELECT table_id, pos, name, row_number() OVER (PARTITION BY table_id, name ORDER BY pos) - 1 AS nth FROM (
@@ -187,14 +246,14 @@ def header_dedupe(c):
 
 
 def _sheets(c):
-    o = c.table("orders").where("o_custkey % 10 = 3")
+    o = c.table("orders")
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     return o.select(F.col("o_custkey").alias("artifact_id"), F.concat(F.lit("customer "), F.col("o_custkey").cast("string")).alias("title"), (F.col("o_orderkey") % 2).alias("sheet_no"), F.concat(F.lit("s"), (F.col("o_orderkey") % 2).cast("string")).alias("sheet"), F.array(F.lit("status"), F.lit("day")).alias("columns"), F.col("o_orderkey").alias("row_no"), F.array(F.col("o_orderstatus"), day).alias("cells"))
 
 
 @query("""SELECT artifact_id, concat(title, chr(10), string_agg(concat(chr(10), 'Sheet: s', sheet_no, chr(10), 'Columns: status, day', chr(10), body), chr(10) ORDER BY sheet_no)) AS raw_text FROM (
   SELECT o_custkey AS artifact_id, concat('customer ', o_custkey) AS title, o_orderkey % 2 AS sheet_no, string_agg(concat(o_orderstatus, ' | ', strftime(o_orderdate, '%Y-%m-%d')), chr(10) ORDER BY o_orderkey) AS body FROM (
-    SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 2 ORDER BY o_orderkey) AS rn FROM orders WHERE o_custkey % 10 = 3) WHERE rn <= 50 GROUP BY ALL) GROUP BY artifact_id, title""")
+    SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 2 ORDER BY o_orderkey) AS rn FROM orders) WHERE rn <= 50 GROUP BY ALL) GROUP BY artifact_id, title""")
 def table_text(c):
     return ingest.table_text(_sheets(c))
 
@@ -261,6 +320,14 @@ def signal_line(c):
     return c.artifacts.select("artifact_id", T.signal_line(F.col("original_filename"), F.col("headings"), F.col("raw_text")).alias("line"))
 
 
+@query(f"""SELECT a.artifact_id, concat(original_filename, CASE WHEN c.ts IS NOT NULL THEN concat(' | date: ', strftime(c.ts, '%Y-%m-%d')) ELSE '' END, CASE WHEN h.label IS NOT NULL THEN concat(' | headings: ', h.label) ELSE '' END, CASE WHEN e.named IS NOT NULL THEN concat(' | entities: ', e.named) ELSE '' END,
+  CASE WHEN {squeeze('raw_text')} <> '' THEN concat(' | "', substring({squeeze('raw_text')}, 1, 200), '"') ELSE '' END) AS line FROM artifacts a LEFT JOIN headings h USING (artifact_id) LEFT JOIN chosen c ON c.artifact_id = a.artifact_id LEFT JOIN (SELECT artifact_id, string_agg(normalized_value, ', ' ORDER BY rank) AS named FROM top_own GROUP BY 1) e ON e.artifact_id = a.artifact_id""")
+def signal_line_dated(c):
+    top = view.top_entities(c.mentions()).groupBy("artifact_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "normalized_value"))), lambda s: s["normalized_value"]).alias("named"))
+    rows = c.artifacts.join(c.chosen().select("artifact_id", "ts").hint("merge"), "artifact_id", "left").join(top.hint("merge"), "artifact_id", "left")
+    return rows.select("artifact_id", T.signal_line(F.col("original_filename"), F.col("headings"), F.col("raw_text"), day=F.col("ts"), entities=F.col("named")).alias("line"))
+
+
 @query("SELECT artifact_id, phase_id, CASE WHEN confidence >= 0.7 THEN 'high' WHEN confidence >= 0.4 THEN 'medium' ELSE 'low' END AS band FROM assignments")
 def confidence_band(c):
     return c.relation("assignments").select("artifact_id", "phase_id", T.confidence_band(F.col("confidence")).alias("band"))
@@ -271,9 +338,9 @@ def clean_name(c):
     return c.names()
 
 
-@query("SELECT doc_id, trim(regexp_replace(lower(substring(text, 1, 60)), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents")
+@query("SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents")
 def slugify(c):
-    return c.table("documents").select("doc_id", T.slugify(F.substring("text", 1, 60)).alias("slug"))
+    return c.table("documents").select("doc_id", T.slugify(F.col("text")).alias("slug"))
 
 
 @query("SELECT artifact_id, suggested_name FROM views")
@@ -389,6 +456,19 @@ def owner_scope(c):
     return serve.owned(c.relation("projects"), c.artifacts.select("artifact_id", "project_id"), 1)
 
 
+@query("SELECT project_id, name, place FROM (SELECT *, row_number() OVER (ORDER BY name, project_id) AS place FROM projects WHERE owner_id = 1)")
+def project_list(c):
+    return serve.project_list(c.relation("projects"), 1).select("project_id", "name", F.col("place").cast("long").alias("place"))
+
+
+@query("""SELECT 'browse' AS listing, count(*) AS total FROM artifacts a JOIN labels l USING (artifact_id) WHERE l.label = 'current' AND a.artifact_id IN (SELECT artifact_id FROM assignments WHERE phase_id = 1)
+  UNION ALL SELECT 'timeline', count(*) FROM events WHERE project_id = 3 UNION ALL SELECT 'gaps', count(*) FROM (SELECT *, CASE WHEN project_id % 3 = 0 THEN 'dismissed' ELSE 'open' END AS status FROM drafts) WHERE status = 'open'""")
+def page_totals(c):
+    listings = {"browse": _browse(c, phase_id=1, label="current"), "timeline": c.events().where("project_id = 3"), "gaps": c.open_gaps().where("status = 'open'")}
+    totals = [serve.page_total(rows).select(F.lit(name).alias("listing"), "total") for name, rows in listings.items()]
+    return totals[0].unionByName(totals[1]).unionByName(totals[2])
+
+
 BROWSE = """SELECT a.artifact_id, a.original_filename, c.ts, l.label, coalesce(p.phases, '') AS phases FROM artifacts a LEFT JOIN chosen c USING (artifact_id) LEFT JOIN labels l USING (artifact_id)
   LEFT JOIN (SELECT artifact_id, string_agg(DISTINCT phase_name, ', ' ORDER BY phase_name) AS phases FROM assignments JOIN phases USING (phase_id) GROUP BY 1) p USING (artifact_id)"""
 
@@ -482,9 +562,9 @@ def judge_batches(c):
 
 
 def _replies(c):
-    """Replies as a model might give them: a list, fenced, with entries that must be dropped."""
+    """Replies as a model might give them: a list, fenced, in prose, with entries that must be dropped."""
     first = F.concat(F.lit('[{"index": 0, "phase": "analysis ", "confidence": '), ((F.col("k") % 5) / 2).cast("string"), F.lit('}, {"index": 9, "phase": "Analysis", "confidence": 0.5}, {"index": 1, "phase": "Unknown", "confidence": 0.5}]'))
-    reply = F.when(F.col("k") % 3 == 0, first).when(F.col("k") % 3 == 1, F.concat(F.lit("Sure:\n```json\n"), first, F.lit("\n```"))).otherwise("I can't say.")
+    reply = F.when(F.col("k") % 3 == 0, first).when(F.col("k") % 3 == 1, F.concat(F.lit("Sure:\n```json\n"), first, F.lit("\n```"))).when(F.col("k") % 2 == 0, 'Well: {"a": "} {\\" ]", "b": [1]} or {"c": 2}').otherwise("I can't say.")
     return c.artifacts.select("project_id", F.col("k").alias("batch"), reply.alias("response"))
 
 
@@ -493,11 +573,44 @@ def judge_parse(c):
     return judge.parse_assignments(_replies(c), c.relation("phases"))
 
 
-@query()
+@query("""SELECT project_id, k AS batch, CASE WHEN k % 3 <> 2 THEN concat('[{"index": 0, "phase": "analysis ", "confidence": ', printf('%.1f', (k % 5) / 2.0), '}, {"index": 9, "phase": "Analysis", "confidence": 0.5}, {"index": 1, "phase": "Unknown", "confidence": 0.5}]')
+  WHEN k % 2 = 0 THEN '{"a": "} {\\" ]", "b": [1]}' END AS json FROM artifacts""")
 def extract_json(c):
     return _replies(c).select("project_id", "batch", T.extract_json(F.col("response")).alias("json"))
 
 
+@query("SELECT artifact_id, CASE WHEN k % 4 IN (0, 1) THEN 'research' ELSE 'generic' END AS domain, CASE WHEN k % 4 = 0 THEN least(1.0, k % 10 * 0.2) WHEN k % 4 = 1 THEN 0.5 ELSE 0.0 END AS confidence FROM artifacts")
+def judge_domain(c):
+    k = F.col("k")
+    reply = F.when(k % 4 == 0, F.concat(F.lit('{"domain": "research", "confidence": '), F.format_string("%.1f", k % 10 * 0.2), F.lit("}"))).when(k % 4 == 1, 'Here: {"domain": "research", "confidence": 0.5, "rationale": "{x"} ok').when(k % 4 == 2, '{"domain": "cooking", "confidence": 0.9}').otherwise('{"domain": "research"}')
+    given = c.artifacts.select(F.col("artifact_id").alias("project_id"), reply.alias("response"))
+    return judge.parse_domains(given, phases.phase_templates(c.spark).select("domain")).withColumnRenamed("project_id", "artifact_id")
+
+
+@query("SELECT artifact_id, 0 AS batch_index, k % 2 = 0 AS fulfilled, least(1.0, k % 5 * 0.4) AS confidence FROM artifacts WHERE k % 3 <> 2 UNION ALL SELECT artifact_id, 2, true, 0.25 FROM artifacts WHERE k % 3 = 0")
+def judge_promises(c):
+    k = F.col("k")
+    one = F.concat(F.lit('{"candidate_index": 0, "fulfilled": '), F.when(k % 2 == 0, "true").otherwise("false"), F.lit(', "confidence": '), F.format_string("%.1f", k % 5 * 0.4), F.lit("}"))
+    more = F.lit(', {"candidate_index": 2, "fulfilled": true, "confidence": 0.25}, {"candidate_index": 8, "fulfilled": true, "confidence": 1}, {"candidate_index": 3, "fulfilled": true}, {"candidate_index": 4, "confidence": 0.3}')
+    reply = F.when(k % 3 == 0, F.concat(F.lit('{"judgments": ['), one, more, F.lit("]}"))).when(k % 3 == 1, F.concat(F.lit('```json\n{"judgments": ['), one, F.lit("]}\n```"))).otherwise('{"judgments": "none"}')
+    return judge.parse_promises(c.artifacts.select("artifact_id", reply.alias("response")))
+
+
+@query("SELECT artifact_id, 1 AS batch_index, concat('note-', k) AS slug FROM artifacts WHERE k % 2 = 0")
+def judge_names(c):
+    reply = F.when(F.col("k") % 2 == 0, F.concat(F.lit('{"names": [{"artifact_index": 1, "slug": " Note '), F.col("k").cast("string"), F.lit('!"}, {"artifact_index": 0, "slug": "a"}, {"artifact_index": 7, "slug": "seven"}]}'))).otherwise("no names")
+    return judge.parse_names(c.artifacts.select("artifact_id", reply.alias("response")))
+
+
+@query("""SELECT p.project_id, p.description, p.evidence, CASE WHEN l.artifact_id IS NULL THEN 0.55 WHEN v.sure IS NULL THEN 0.35 ELSE least(0.65, v.sure) END AS confidence
+  FROM promised p LEFT JOIN (SELECT DISTINCT artifact_id FROM later) l ON CAST(l.artifact_id AS VARCHAR) = p.evidence
+  LEFT JOIN (SELECT CAST(artifact_id AS VARCHAR) AS id, k % 3 = 0 AS done, k % 4 * 0.25 AS sure FROM artifacts WHERE k % 5 <> 4) v ON v.id = p.evidence WHERE l.artifact_id IS NULL OR v.done IS NULL OR NOT v.done""")
+def promised_gaps_judged(c):
+    verdicts = c.promises().select("artifact_id", "start").join(c.artifacts.where("k % 5 <> 4").select("artifact_id", "k").hint("merge"), "artifact_id")
+    verdicts = verdicts.select("artifact_id", "start", (F.col("k") % 3 == 0).alias("fulfilled"), (F.col("k") % 4 * 0.25).alias("confidence"))
+    return gaps.promised_gaps(c.promises(), c.content, c.artifacts, c.chosen(), verdicts).select("project_id", "description", "evidence", "confidence")
+
+
 # graph
 
 
@@ -544,9 +657,23 @@ def edges_both_ways(c):
 # embeddings and direction
 
 
-@query()
+@query(f"SELECT artifact_id, i AS ordinal, 'hash' AS model, 'hash' AS model_version, 64 AS dim, 1.0 AS norm FROM (SELECT artifact_id, unnest(range(0, CAST(ceil(greatest(0, len(w) - 400) / 340.0) AS BIGINT) + 1)) AS i FROM (SELECT artifact_id, string_split({squeeze('raw_text')}, ' ') AS w FROM artifacts))")
 def chunk_embeddings(c):
-    return embed.embed_texts(embed.chunks(c.content)).select("artifact_id", "ordinal", "vector")
+    made = embed.embed_texts(embed.chunks(c.content))
+    return made.select("artifact_id", F.col("ordinal").cast("long").alias("ordinal"), "model", "model_version", "dim", F.round(V.norm(F.col("vector")), 3).alias("norm"))
+
+
+def _clusters(c):
+    return cluster.density_clusters(c.relation("vectors").drop("cluster_id"), written, least=0.2, min_points=3)
+
+
+@query(f"""SELECT v.artifact_id, v.project_id, CAST(coalesce(CASE WHEN b.artifact_id IS NOT NULL THEN (SELECT min(r.b) FROM reach r WHERE r.a = v.artifact_id) ELSE (SELECT min(r.b) FROM reach r WHERE r.a = (SELECT min(n.b) FROM close_pairs n JOIN cores k ON k.artifact_id = n.b WHERE n.a = v.artifact_id)) END, -1) AS BIGINT) AS cluster_id
+  FROM vectors v LEFT JOIN cores b ON b.artifact_id = v.artifact_id""", recursive=f"""
+  close_pairs AS (SELECT x.artifact_id AS a, y.artifact_id AS b FROM vectors x JOIN vectors y ON x.project_id = y.project_id AND x.artifact_id <> y.artifact_id WHERE {dot('x.vector', 'y.vector')} / sqrt({dot('x.vector', 'x.vector')}) / sqrt({dot('y.vector', 'y.vector')}) >= 0.2),
+  cores AS (SELECT a AS artifact_id FROM close_pairs GROUP BY 1 HAVING count(*) >= 2),
+  reach AS (SELECT artifact_id AS a, artifact_id AS b FROM cores UNION SELECT r.a, p.b FROM reach r JOIN close_pairs p ON p.a = r.b JOIN cores k ON k.artifact_id = p.b)""")
+def density_clusters(c):
+    return _clusters(c)
 
 
 def _pooling(c):
@@ -664,9 +791,9 @@ def gap_reconcile(c):
     return gaps.reconcile(c.structural().unionByName(c.promised()), old)
 
 
-@query(f"SELECT project_id, type, phase_name, description, confidence FROM {OPEN_GAPS} LEFT JOIN phases USING (phase_id) WHERE status = 'open'")
+@query(f"SELECT project_id, type, phase_name, description, confidence, row_number() OVER (PARTITION BY project_id ORDER BY confidence DESC, description) AS place FROM {OPEN_GAPS} LEFT JOIN phases USING (phase_id) WHERE status = 'open'")
 def gaps_list(c):
-    return gaps.list_gaps(c.open_gaps(), c.relation("phases"), status="open").select("project_id", "type", "phase_name", "description", "confidence")
+    return gaps.list_gaps(c.open_gaps(), c.relation("phases"), status="open").select("project_id", "type", "phase_name", "description", "confidence", F.col("place").cast("long").alias("place"))
 
 
 # view and report
@@ -720,11 +847,54 @@ def stale_artifacts(c):
     return report.stale_section(c.labels(), c.names())
 
 
+SNAPSHOT = "(SELECT project_id, arg_max(summary, epoch_us(computed_at) * 1000 + snapshot_id // 20) AS summary FROM snapshots WHERE project_id % 5 <> 4 GROUP BY 1)"
+DIRECTION_SECTION = f"""SELECT p.project_id, CASE WHEN s.summary IS NULL THEN 'Direction has not yet been inferred for this project.' WHEN l.listed IS NULL THEN s.summary ELSE concat(s.summary, chr(10), chr(10), 'Artifacts currently part of this direction:', chr(10), l.listed) END AS content
+  FROM projects p LEFT JOIN {SNAPSHOT} s USING (project_id) LEFT JOIN (SELECT project_id, string_agg(concat('- ', name), chr(10) ORDER BY rn) AS listed FROM (SELECT l.project_id, l.artifact_id, row_number() OVER (PARTITION BY l.project_id ORDER BY ts DESC NULLS LAST, l.artifact_id) AS rn FROM labels l LEFT JOIN chosen c USING (artifact_id) WHERE label = 'current') JOIN names USING (artifact_id) WHERE rn <= 8 GROUP BY 1) l ON l.project_id = p.project_id"""
+ACTIVITY_SECTION = """SELECT p.project_id, coalesce(a.content, 'No timeline activity recorded yet.') AS content FROM projects p LEFT JOIN (SELECT project_id, string_agg(concat('- ', strftime(event_date, '%Y-%m-%d'), ' — ', name, ' (confidence ', printf('%.2f', confidence), ')'), chr(10) ORDER BY rn) AS content
+  FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY event_date DESC, artifact_id) AS rn FROM events WHERE source LIKE 'placement:%') r JOIN names n USING (artifact_id) WHERE rn <= 10 GROUP BY 1) a USING (project_id)"""
+
+
+def _snapshots(c):
+    return direction.latest_snapshot(c.relation("snapshots").where("project_id % 5 <> 4"))
+
+
+@query(DIRECTION_SECTION)
+def report_direction(c):
+    return report.direction_section(c.relation("projects"), _snapshots(c), direction.direction_inputs(c.labels(), c.chosen()), c.names())
+
+
+@query("SELECT s.project_id, CASE WHEN p.summary IS NULL OR s.project_id % 3 <> 0 THEN s.content ELSE concat('Told of ', s.project_id) END AS content FROM (" + DIRECTION_SECTION + f") s LEFT JOIN {SNAPSHOT} p USING (project_id)")
+def report_direction_told(c):
+    reply = F.when(F.col("project_id") % 3 == 0, F.concat(F.lit('{"narrative": " Told of '), F.col("project_id").cast("string"), F.lit(' "}'))).otherwise('{"narrative": ""}')
+    told = judge.parse_narrative(c.relation("projects").select("project_id", reply.alias("response")))
+    return report.direction_section(c.relation("projects"), _snapshots(c), direction.direction_inputs(c.labels(), c.chosen()), c.names(), told)
+
+
+@query(ACTIVITY_SECTION)
+def report_activity(c):
+    return report.activity_section(c.relation("projects"), report.recent_activity(c.events(), c.names()))
+
+
+def _renderers(c):
+    """What renders each section of the projects given."""
+    of = lambda rows, only: rows.join(only.hint("merge"), "project_id", "left_semi")
+    projects = lambda only: of(c.relation("projects"), only)
+    return {
+        "overview": lambda only: of(_overview(c), only),
+        "current_direction": lambda only: report.direction_section(projects(only), _snapshots(c), direction.direction_inputs(of(c.labels(), only), c.chosen()), c.names()),
+        "recent_activity": lambda only: report.activity_section(projects(only), report.recent_activity(of(c.events(), only), c.names())),
+        "open_gaps": lambda only: report.open_gaps_section(of(c.open_gaps(), only)),
+        "stale_artifacts": lambda only: report.stale_section(of(c.labels(), only), c.names()),
+    }
+
+
 def _sections(c):
-    return _overview(c).withColumn("section", F.lit("overview")).unionByName(report.open_gaps_section(c.open_gaps()).withColumn("section", F.lit("open_gaps"))).unionByName(report.stale_section(c.labels(), c.names()).withColumn("section", F.lit("stale_artifacts")))
+    every = c.relation("projects").select("project_id")
+    parts = [render(every).select("project_id", F.lit(name).alias("section"), "content") for name, render in _renderers(c).items()]
+    return written(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).unionByName(parts[4]))
 
 
-SECTIONS_SQL = f"(SELECT *, 'overview' AS section FROM ({OVERVIEW}) UNION ALL SELECT *, 'open_gaps' FROM ({GAPS_SECTION}) UNION ALL SELECT *, 'stale_artifacts' FROM ({STALE_SECTION}))"
+SECTIONS_SQL = f"(SELECT *, 'overview' AS section FROM ({OVERVIEW}) UNION ALL SELECT *, 'current_direction' FROM ({DIRECTION_SECTION}) UNION ALL SELECT *, 'recent_activity' FROM ({ACTIVITY_SECTION}) UNION ALL SELECT *, 'open_gaps' FROM ({GAPS_SECTION}) UNION ALL SELECT *, 'stale_artifacts' FROM ({STALE_SECTION}))"
 
 
 @query(f"SELECT project_id, section, content FROM {SECTIONS_SQL}")
@@ -732,27 +902,42 @@ def report_sections(c):
     return _sections(c)
 
 
-def _with_prints(rows):
-    return rows.withColumn("fingerprint", F.sha2("content", 256))
+def _section_prints(c):
+    """project_id, section, fingerprint of what each section is made from, without rendering any."""
+    cols = lambda *names: F.concat_ws("|", *[F.coalesce(F.col(n).cast("string"), F.lit("-")) for n in names])
+    dated = c.labels().join(c.chosen().select("artifact_id", "ts").hint("merge"), "artifact_id", "left")
+    inputs = {
+        "overview": c.events().select("project_id", cols("artifact_id", "event_date").alias("line")).unionByName(c.relation("classification").select("project_id", cols("domain", "confidence", "confirmed").alias("line"))),
+        "current_direction": dated.where("label = 'current'").select("project_id", cols("artifact_id", "ts").alias("line")).unionByName(c.relation("snapshots").select("project_id", cols("snapshot_id", "summary").alias("line"))),
+        "recent_activity": c.events().select("project_id", cols("artifact_id", "event_date", "source", "confidence").alias("line")),
+        "open_gaps": c.open_gaps().select("project_id", cols("type", "description", "confidence", "status").alias("line")),
+        "stale_artifacts": c.labels().where("label = 'superseded'").select("project_id", cols("artifact_id", "confidence").alias("line")),
+    }
+    parts = [state.fingerprint(rows, ["project_id"], F.col("line")).withColumn("section", F.lit(name)) for name, rows in inputs.items()]
+    return written(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).unionByName(parts[4]))
 
 
-@query(f"""SELECT n.project_id, n.section, CASE WHEN n.project_id % 4 = 1 THEN 'new' WHEN n.project_id % 4 = 2 THEN 'rendered' ELSE 'carried' END AS action, n.content FROM {SECTIONS_SQL} n""")
+@query(f"""SELECT n.project_id, n.section, CASE WHEN n.project_id % 4 = 1 THEN 'new' WHEN n.project_id % 4 = 2 THEN 'rendered' ELSE 'carried' END AS action, CASE WHEN n.project_id % 4 IN (1, 2) THEN n.content ELSE 'as it was' END AS content FROM {SECTIONS_SQL} n""")
 def report_regen(c):
-    fresh = _with_prints(_sections(c))
-    old = fresh.where("project_id % 4 <> 1").withColumn("fingerprint", F.when(F.col("project_id") % 4 == 2, "other").otherwise(F.col("fingerprint")))
-    return report.regenerate(old, fresh)
+    prints = _section_prints(c)
+    old = prints.where("project_id % 4 <> 1").withColumn("fingerprint", F.when(F.col("project_id") % 4 == 2, "other").otherwise(F.col("fingerprint"))).withColumn("content", F.lit("as it was"))
+    shown = _sections(c).select("project_id", "section")  # a section without lines isn't there
+    return report.regenerate(old, prints, _renderers(c), written).join(shown.hint("merge"), ["project_id", "section"], "left_semi")
 
 
-@query()
+_TITLES = ", ".join(f"({i}, '{name}', '{title}')" for i, (name, title) in enumerate(SECTIONS))
+
+
+@query(f"""SELECT p.project_id, concat('# Project Report — ', p.name, chr(10), '_Version 1, generated 2024-07-01 00:00 UTC_', chr(10), chr(10), b.body, chr(10)) AS markdown
+  FROM projects p JOIN (SELECT project_id, string_agg(concat('## ', title, chr(10), coalesce(content, 'No data.')), chr(10) || chr(10) ORDER BY nth) AS body FROM (SELECT p.project_id, t.nth, t.title, s.content FROM projects p CROSS JOIN (VALUES {_TITLES}) AS t(nth, section, title) LEFT JOIN {SECTIONS_SQL} s ON s.project_id = p.project_id AND s.section = t.section) GROUP BY 1) b USING (project_id)""")
 def report_markdown(c):
     return report.compose(c.relation("projects"), _sections(c), F.lit(1), F.lit("2024-07-01").cast("timestamp"))
 
 
-@query(f"SELECT s.project_id, v AS version, s.section FROM {SECTIONS_SQL} s JOIN (SELECT project_id, CAST(1 + project_id % 3 AS INT) AS v FROM projects) p USING (project_id)")
+@query(f"SELECT s.project_id, CAST(1 + s.project_id % 3 AS INT) AS version, s.section FROM {SECTIONS_SQL} s")
 def current_report(c):
-    n = c.relation("projects").select("project_id", F.explode(F.sequence(F.lit(1), (1 + F.col("project_id") % 3).cast("int"))).alias("version"))
-    last = n.groupBy("project_id").agg(F.max("version").alias("current"))
-    return _sections(c).join(n, "project_id").join(last, "project_id").where("version = current").select("project_id", "version", "section")
+    kept = c.relation("projects").select("project_id", F.explode(F.sequence(F.lit(1), (1 + F.col("project_id") % 3).cast("int"))).alias("version"))
+    return report.current_version(written(kept), _sections(c)).select("project_id", "version", "section")
 
 
 # incremental processing
@@ -773,15 +958,18 @@ def input_hashes(c):
     return c.artifacts.select("artifact_id", state.input_hash(h, F.lit("rules"), F.lit("v1")).alias("extract_hash"), state.input_hash(h, F.lit("model"), F.lit("400"), F.lit("60")).alias("embed_hash"))
 
 
-@query("SELECT project_id, sha256(concat('v1', chr(10), string_agg(line, chr(10) ORDER BY line))) AS fingerprint FROM (SELECT project_id, concat_ws('|', lpad(CAST(artifact_id AS VARCHAR), 9, '0'), strftime(ts, '%Y-%m-%d')) AS line FROM chosen) GROUP BY 1")
+PRINT = "SELECT project_id, sha256(concat('v1', chr(10), string_agg(h, chr(10) ORDER BY b))) AS fingerprint FROM (SELECT project_id, substr(md5(line), 1, 2) AS b, sha256(string_agg(line, chr(10) ORDER BY line)) AS h FROM ({}) GROUP BY 1, 2) GROUP BY 1"
+
+
+@query(PRINT.format("SELECT project_id, concat_ws('|', lpad(CAST(artifact_id AS VARCHAR), 9, '0'), strftime(ts, '%Y-%m-%d')) AS line FROM chosen"))
 def corpus_fingerprint(c):
     line = F.concat_ws("|", F.lpad(F.col("artifact_id").cast("string"), 9, "0"), F.date_format("ts", "yyyy-MM-dd"))
     return state.fingerprint(c.chosen(), ["project_id"], line)
 
 
-@query("SELECT project_id, bool_and(coalesce(l.input_hash = sha256(a.raw_text), false)) AS up_to_date FROM artifacts a LEFT JOIN (SELECT * FROM ledger WHERE stage = 'embed' AND status = 'done') l USING (artifact_id) WHERE k % 8 = 0 OR project_id % 2 = 0 GROUP BY 1")
+@query("SELECT project_id, bool_and(coalesce(l.input_hash = sha256(a.raw_text), false)) AS up_to_date FROM artifacts a LEFT JOIN (SELECT * FROM ledger WHERE stage = 'embed' AND status = 'done') l USING (artifact_id) GROUP BY 1")
 def project_up_to_date(c):
-    return state.up_to_date(_hashed(c).where("k % 8 = 0 or project_id % 2 = 0"), c.relation("ledger"), "embed")
+    return state.up_to_date(_hashed(c), c.relation("ledger"), "embed")
 
 
 @query("SELECT project_id, stage, count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'error') AS error, greatest(0, any_value(n) - count(*)) AS pending FROM ledger JOIN artifacts USING (artifact_id) JOIN totals USING (project_id) GROUP BY 1, 2")
@@ -812,7 +1000,7 @@ def decision_audit(c):
     return state.audit(c.chosen(), "chosen_date", F.col("artifact_id"), F.date_format("ts", "yyyy-MM-dd"), why)
 
 
-@query()
+@query("SELECT artifact_id, NOT contains(raw_text, 'Minutes') AS ok, CASE WHEN NOT contains(raw_text, 'Minutes') THEN substring(raw_text, 1, 20) END AS value, CASE WHEN contains(raw_text, 'Minutes') THEN 'ValueError: no minutes' END AS error FROM artifacts")
 def error_isolation(c):
     def handler(text: str) -> str:
         if "Minutes" in text:
@@ -820,3 +1008,40 @@ def error_isolation(c):
         return text[:20]
 
     return state.isolate_errors(c.content.select("artifact_id", "raw_text"), handler, "raw_text").drop("raw_text")
+
+
+# the run of all stages
+
+_LINES = {
+    "parse": "SELECT project_id, concat_ws('|', artifact_id, sha256(raw_text)) AS line FROM artifacts",
+    "extract": "SELECT project_id, concat_ws('|', artifact_id, start, kind, normalized_value) AS line FROM mentions",
+    "timeline": "SELECT project_id, concat_ws('|', artifact_id, strftime(event_date, '%Y-%m-%d'), source) AS line FROM events",
+    "phases": "SELECT project_id, concat_ws('|', artifact_id, phase_id) AS line FROM assignments",
+    "graph": "SELECT project_id, concat_ws('|', src, dst, edge_type) AS line FROM edges",
+    "direction": "SELECT project_id, concat_ws('|', artifact_id, label) AS line FROM labels",
+    "gaps": "SELECT project_id, concat_ws('|', type, description) AS line FROM drafts",
+    "view": "SELECT project_id, concat_ws('|', artifact_id, suggested_name) AS line FROM views",
+    "report": f"SELECT project_id, concat_ws('|', section, sha256(content)) AS line FROM {SECTIONS_SQL}",
+}
+_PLACES = {"ingest": 0, "parse": 1, "extract": 2, "embed": 3, "timeline": 4, "phases": 5, "graph": 6, "direction": 7, "gaps": 8, "view": 9, "report": 10}
+
+
+@query(" UNION ALL ".join(f"""SELECT n.project_id, '{name}' AS stage, {_PLACES[name]} AS place, n.rows, p.fingerprint, CASE WHEN n.project_id % 2 = 0 AND '{name}' = 'phases' THEN 'skip' ELSE 'run' END AS action
+  FROM (SELECT project_id, count(*) AS rows FROM ({line}) GROUP BY 1) n JOIN ({PRINT.format(line)}) p USING (project_id)""" for name, line in _LINES.items()))
+def stage_run(c):
+    """All stages that have no binary input, against a last run that has seen some projects' phases."""
+    line = lambda *parts: F.concat_ws("|", *[F.col(p).cast("string") if isinstance(p, str) else p for p in parts]).alias("line")
+    of = lambda rows, *parts: lambda: rows().select("project_id", line(*parts))
+    stages = {
+        "parse": of(lambda: c.content, "artifact_id", F.sha2("raw_text", 256)),
+        "extract": of(c.mentions, "artifact_id", "start", "kind", "normalized_value"),
+        "timeline": of(c.events, "artifact_id", F.date_format("event_date", "yyyy-MM-dd"), "source"),
+        "phases": of(lambda: c.relation("assignments"), "artifact_id", "phase_id"),
+        "graph": of(c.edges, "src", "dst", "edge_type"),
+        "direction": of(c.labels, "artifact_id", "label"),
+        "gaps": of(lambda: c.structural().unionByName(c.promised()), "type", "description"),
+        "view": of(c.view, "artifact_id", "suggested_name"),
+        "report": of(lambda: _sections(c), "section", F.sha2("content", 256)),
+    }
+    seen = state.fingerprint(stages["phases"](), ["project_id"], F.col("line")).where("project_id % 2 = 0").withColumn("stage", F.lit("phases"))
+    return runner.run_stages(stages, seen, written)

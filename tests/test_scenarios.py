@@ -5,9 +5,10 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from docstrata.functions import text as T
-from docstrata.operators import direction, graph
+from docstrata.operators import cluster, direction, gaps, graph
+from docstrata.plans.corpus import written
 from docstrata.sources.files import discover, parse_documents
-from docstrata.streaming.ingest import stream_files, stream_ingest, stream_timeline
+from docstrata.streaming.ingest import placements, stream_events, stream_files, stream_ingest, stream_placements, stream_timeline
 
 
 def day(text):
@@ -79,3 +80,53 @@ def test_stream_timeline(spark, tmp_path):
     q = stream_timeline(events).writeStream.format("memory").queryName("tl").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("tl").agg(F.sum("events")).first()[0] == spark.read.parquet(source).count()
+
+
+def test_stream_extracts_and_places(spark, tmp_path):
+    root, target = tmp_path / "in", str(tmp_path / "out")
+    root.mkdir()
+    (root / "a.txt").write_text("Experiment 7 in Python. Minutes dated 2023-02-01.")
+    stream_events(stream_files(spark, str(root)), target, str(tmp_path / "cp")).awaitTermination()
+    (root / "b.txt").write_text("No dates here.")
+    stream_events(stream_files(spark, str(root)), target, str(tmp_path / "cp")).awaitTermination()
+    kinds = {(r.kind, r.normalized_value) for r in spark.read.parquet(f"{target}/mentions").collect()}
+    assert kinds == {("experiment", "experiment 7"), ("tool", "python")}
+    placed = spark.read.parquet(f"{target}/events").where("source = 'placement:content'").collect()
+    assert [(r.event_date.date().isoformat(), r.description) for r in placed] == [("2023-02-01", "a.txt — 2023-02-01")]
+    q = stream_placements(placements(spark, target)).writeStream.format("memory").queryName("pl").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.table("pl").agg(F.sum("events")).first()[0] == 2
+
+
+def test_density_clusters(spark):
+    import math
+
+    at = lambda degrees: [math.cos(math.radians(degrees)), math.sin(math.radians(degrees))]
+    angles = {1: 0, 2: 5, 3: 10, 4: 15, 5: 22, 10: 90, 11: 95, 12: 100, 20: 200, 21: 203}
+    rows = [(i, 1, at(a)) for i, a in angles.items()] + [(100 + i, 2, at(a)) for i, a in angles.items()]
+    df = spark.createDataFrame(rows, "artifact_id long, project_id int, vector array<double>")
+    got = {r.artifact_id: r.cluster_id for r in cluster.density_clusters(df, written, least=math.cos(math.radians(8)), min_points=3).collect()}
+    want = {1: 2, 2: 2, 3: 2, 4: 2, 5: 2, 10: 11, 11: 11, 12: 11, 20: -1, 21: -1}
+    assert got == want | {100 + i: c + 100 if c > 0 else -1 for i, c in want.items()}
+
+
+def test_promises(spark):
+    content = spark.createDataFrame([(1, 1, "Still need to calibrate sensors."), (2, 1, "We recalibrated the sensors."), (3, 1, "TBD: order resin."), (4, 2, "TBD: alone here.")], "artifact_id long, project_id int, raw_text string")
+    dates = spark.createDataFrame([(1, day("2024-01-01")), (2, day("2024-02-01"))], "artifact_id long, ts timestamp")
+    promises = gaps.promise_candidates(content)
+    got = {r.artifact_id: (round(r.best, 3), r.fulfilled) for r in gaps.fulfillment(promises, content, dates).collect()}
+    assert got == {1: (1.0, True), 3: (0.0, False), 4: (0.0, False)}
+    found = {r.evidence: r.confidence for r in gaps.promised_gaps(promises, content, content, dates).collect()}
+    assert found == {"3": 0.35, "4": 0.55}
+
+
+def test_balanced_json(spark):
+    texts = ['{"a": 1}', "so: [1, [2]] and [3]", '```JSON\n{"a": "}"}\n```', 'x {"a": "\\"}"} y', "[1, 2", "{'a'}", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(T.extract_json(F.col("t")).alias("j"))
+    assert [r.j for r in df.collect()] == ['{"a": 1}', "[1, [2]]", '{"a": "}"}', '{"a": "\\"}"}', None, None, None, None]
+
+
+def test_cells(spark):
+    row = spark.sql("SELECT DATE '2024-01-02' AS d, TIMESTAMP '2024-01-02 03:04:05' AS t, TIMESTAMP '2024-01-02 03:04:05.5' AS u, CAST(1.50 AS DECIMAL(5, 2)) AS n, 'x' AS s")
+    got = row.select(*[T.json_safe(F.col(c), k).alias(c) for c, k in row.dtypes]).first()
+    assert tuple(got) == ("2024-01-02", "2024-01-02T03:04:05", "2024-01-02T03:04:05.500000", 1.5, "x")
