@@ -28,7 +28,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 UNICODE_SPACE = r"\p{White_Space}"
 #: Characters of a text that are read at once, and those whose pieces step together.
 CHUNK_CHARS = 1 << 16
-STEP_CHARS = 1 << 21
+STEP_CHARS = 1 << 20
 #: Rows encoded or decoded before they are passed on.
 BATCH_ROWS = 1024
 #: Bytes that a window holds besides the lookahead.
@@ -301,6 +301,38 @@ def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, BATCH_ROWS)
 
 
+def _encoded(bpe: Bpe, batch: pa.RecordBatch) -> pa.ListArray:
+    """The ids of a batch's second column, texts."""
+    held, chars, rows, parts, sizes = [], 0, [], [], np.zeros(batch.num_rows, np.int64)
+
+    def step() -> None:
+        ids, counts = bpe.encode_blocks(held)
+        parts.append(ids)
+        np.add.at(sizes, rows, counts)
+
+    for row, text in enumerate(batch.column(1)):
+        for block in bpe.blocks(text.as_py()):
+            held.append(block)
+            rows.append(row)
+            chars += len(block)
+            if chars >= STEP_CHARS:
+                step()
+                held, chars, rows = [], 0, []
+    if held:
+        step()
+    ids = pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32))
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), ids)
+
+
+def _decoded(bpe: Bpe, lists: pa.ListArray) -> pa.Array:
+    values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    return pa.array([bpe.decode(values[a:b]) for a, b in zip(ends[:-1], ends[1:])], pa.string())
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
 def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, ids array<int> of docs (doc_id, text). tokenizer: a path that every executor can open.
 
@@ -310,27 +342,9 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer)
         for batch in _small(batches):
-            held, chars, rows, parts, sizes = [], 0, [], [], np.zeros(batch.num_rows, np.int64)
-
-            def step() -> None:
-                ids, counts = bpe.encode_blocks(held)
-                parts.append(ids)
-                np.add.at(sizes, rows, counts)
-
-            for row, text in enumerate(batch.column(1)):
-                for block in bpe.blocks(text.as_py()):
-                    held.append(block)
-                    rows.append(row)
-                    chars += len(block)
-                    if chars >= STEP_CHARS:
-                        step()
-                        held, chars, rows = [], 0, []
-            if held:
-                step()
-            ids = pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), ids)], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _encoded(bpe, batch)], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(encode, "doc_id long, ids array<int>")
+    return _texts(docs).mapInArrow(encode, "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, tokenizer: str) -> DataFrame:
@@ -339,9 +353,18 @@ def decode_documents(encoded: DataFrame, tokenizer: str) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer)
         for batch in _small(batches):
-            lists = batch.column(1)
-            values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            texts = [bpe.decode(values[a:b]) for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _decoded(bpe, batch.column(1))], ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(decode, "doc_id long, ids array<int>, text string")
+
+
+def code_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """doc_id, ids, text of docs (doc_id, text): what decode_documents gives for encode_documents, in one pass."""
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load(tokenizer)
+        for batch in _small(batches):
+            lists = _encoded(bpe, batch)
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, _decoded(bpe, lists)], ["doc_id", "ids", "text"])
+
+    return _texts(docs).mapInArrow(both, "doc_id long, ids array<int>, text string")

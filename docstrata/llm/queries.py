@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .ann import nearest
-from .bpe import decode_documents, encode_documents
+from .bpe import code_documents
 from .common import table
 from .exact_dedup import exact_dedup
 from .jaccard import jaccard_components
@@ -70,7 +70,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 def op9_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     path = tokenizer or tokenizer_path()
-    coded = decode_documents(encode_documents(table(spark, sf_dir, "documents"), path), path)
+    coded = code_documents(table(spark, sf_dir, "documents"), path)
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 

@@ -8,7 +8,7 @@ P = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer
 
 from docstrata.llm import bpe as module
-from docstrata.llm.bpe import Bpe, decode_documents, encode_documents, sufficient_lookahead
+from docstrata.llm.bpe import Bpe, code_documents, decode_documents, encode_documents, sufficient_lookahead
 
 PATH = P.path("byte_bpe_50k.json")
 OURS, THEIRS = Bpe(PATH), Tokenizer.from_file(PATH)
@@ -77,7 +77,9 @@ def test_whole_table_and_odd_texts_together(spark, sf, make_docs, monkeypatch):
     odd = ["a  b", " lead", "trail ", "tab\t x", "a \n b", "\n", "x<|endoftext|> y", "<|endoftext|>", "it's  'S we'll", "é é", "", " ", "a\x1c b\x85 c", "- =" * 900, " x" * 3000, "z" * 9000 + " q"]
     table = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     rows = table + [(10_000 + i, t) for i, t in enumerate(odd)]
-    got = {r.doc_id: r for r in decode_documents(encode_documents(make_docs(rows).repartition(3), PATH), PATH).collect()}
+    docs = make_docs(rows).repartition(3)
+    got = {r.doc_id: r for r in code_documents(docs, PATH).collect()}
+    assert got == {r.doc_id: r for r in decode_documents(encode_documents(docs, PATH), PATH).collect()}
     for i, text in rows:
         want = THEIRS.encode(text or "", add_special_tokens=False).ids
         assert got[i].ids == want and got[i].text == THEIRS.decode(want, skip_special_tokens=False)
