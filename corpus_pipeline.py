@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from docstrata.llm.bpe import decode_documents, encode_documents
+from docstrata.llm.bpe import code_documents
 from docstrata.llm.common import cut, partitions, sized, table
 from docstrata.llm.exact_dedup import exact_dedup
 from docstrata.llm.jaccard import jaccard_components
@@ -78,8 +78,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens and the decoded text of every row."""
-    path = tokenizer_path()
-    coded = decode_documents(encode_documents(docs, path), path)
+    coded = code_documents(docs, tokenizer_path())
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "text")
 
 
