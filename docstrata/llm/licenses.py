@@ -1,10 +1,11 @@
 """License scans: exact phrases, and an exact set-similarity join of text blocks with templates.
 
-A block is a line. A template matches a block when at least `threshold` of its distinct words occur in
-it (containment). Words are ordered by their frequency in the whole corpus, rarest first; a template's
-prefix in that order must share a word with any block that reaches the threshold, so blocks meet
-templates by an equi-join on prefix words. Length and position bounds drop hopeless pairs before the
-word sets are compared. Everything is DataFrame expressions.
+A block starts with a line: it is the line, or as many words from there on as the template has, if the line
+has fewer, so statements may be wrapped anywhere. A template matches a block when at least `threshold` of its
+distinct words occur in it (containment). Words are ordered by their frequency in the whole corpus, rarest
+first; a template's prefix in that order must share a word with any text that holds a block which reaches
+the threshold, so texts meet templates by an equi-join on prefix words. Length and position bounds drop
+hopeless pairs before blocks are cut and compared. Everything is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -47,21 +48,28 @@ def _words(text: Column) -> Column:
 
 
 def template_index(spark: SparkSession, templates: list[tuple[str, str]], frequency: dict[str, int], threshold: float) -> DataFrame:
-    """word, template, label, at, size, need, words: a row for each prefix word of each template."""
+    """word, template, label, at, size, need, length, words: a row for each prefix word of each template.
+    templates: label, words in order, repeats included."""
     rows = []
     if len(templates) > MAX_TEMPLATES:
         raise ValueError(f"more than {MAX_TEMPLATES} templates")
     for number, (label, words) in enumerate(templates):
-        ordered = sorted(words, key=lambda w: (frequency.get(w, 0), w))
-        need = max(1, math.ceil(threshold * len(ordered) - 1e-9))
-        rows += [(w, number, label, at, len(ordered), need, ordered) for at, w in enumerate(ordered[: len(ordered) - need + 1])]
-    return spark.createDataFrame(rows, "word string, template int, label string, at int, size int, need int, words array<string>")
+        size, prefix = len(set(words)), _prefix(words, frequency, threshold)
+        rows += [(w, number, label, at, size, size - len(prefix) + 1, len(words), list(dict.fromkeys(words))) for at, w in enumerate(prefix)]
+    return spark.createDataFrame(rows, "word string, template int, label string, at int, size int, need int, length int, words array<string>")
+
+
+def _prefix(words: list[str], frequency: dict[str, int], threshold: float) -> list[str]:
+    """The rarest distinct words of a template, of which a text with enough of its words has one."""
+    ordered = sorted(set(words), key=lambda w: (frequency.get(w, 0), w))
+    need = max(1, math.ceil(threshold * len(ordered) - 1e-9))
+    return ordered[: len(ordered) - need + 1]
 
 
 def template_words(spark: SparkSession, templates: list[tuple[str, str]]) -> list[tuple[str, list[str]]]:
-    """The distinct words of each template, by the same expressions as those of the texts."""
+    """The words of each template, by the same expressions as those of the texts."""
     df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(templates)], "i int, label string, text string")
-    found = df.select("i", "label", F.array_distinct(_words(ascii_lower(F.col("text")))).alias("words")).orderBy("i").collect()
+    found = df.select("i", "label", _words(ascii_lower(F.col("text"))).alias("words")).orderBy("i").collect()
     return [(r["label"], r["words"]) for r in found if r["words"]]
 
 
@@ -80,15 +88,30 @@ def phrase_places(words: Column, low: Column, phrase: str) -> Column:
     return F.when(present, F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0))), match)).otherwise(none)
 
 
+def matching_blocks() -> Column:
+    """array<struct<line, label, containment>> of the blocks of a text (low, words) that match its row's template."""
+    counts = F.transform(F.split("low", "\n"), lambda line: F.size(_words(line)))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,n:int>>").alias("out"))
+    lines = F.aggregate(counts, zero, lambda s, n: F.struct((s["at"] + n).alias("at"), F.array_append(s["out"], F.struct(s["at"].alias("at"), n.alias("n"))).alias("out")), lambda s: s["out"])
+
+    def block(x: Column, i: Column) -> Column:
+        own = F.slice("words", x["at"] + 1, F.greatest(x["n"], F.col("length")))
+        return F.struct(i.alias("line"), F.col("label").alias("label"), F.size(F.array_intersect("template_words", own)).alias("shared"))
+
+    held = F.filter(F.transform(lines, block), lambda b: b["shared"] >= F.col("need"))
+    return F.transform(held, lambda b: F.struct(b["line"].alias("line"), b["label"].alias("label"), (b["shared"] / F.col("size")).alias("containment")))
+
+
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = 0.8) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_words, n_base, first_word, last_word,
     base_labels, labels, score, blocks.
 
     Base places are where a phrase's words stand consecutively anywhere in the text. blocks lists
-    (line, label, containment) of the lines that match a template; labels has the labels of both,
-    distinct, sorted, comma-joined, empty if there are none. score is the best containment of a
-    matching block, 1 if a base phrase occurs, else 0. Null and empty texts have no words; repeated
-    rows are scanned row by row; an empty table gives an empty result. Other columns are ignored.
+    (line, label, containment) of the blocks that match a template, line being the number of the one that
+    they start with; labels has the labels of both, distinct, sorted, comma-joined, empty if there are none.
+    score is the best containment of a matching block, 1 if a base phrase occurs, else 0. Null and empty
+    texts have no words; repeated rows are scanned row by row; an empty table gives an empty result. Other
+    columns are ignored.
     """
     spark = docs.sparkSession
     known = template_words(spark, TEMPLATES if templates is None else templates)
@@ -96,32 +119,33 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), ascii_lower(F.coalesce("text", F.lit(""))).alias("low"))
 
     # corpus frequency of the words that templates use: at most len(vocabulary) rows
-    in_templates = F.array(*map(F.lit, vocabulary)) if vocabulary else F.array().cast("array<string>")
-    counts = texts.select(F.explode(F.array_intersect(_words(F.col("low")), in_templates)).alias("word")).groupBy("word").count().collect()
-    index = template_index(spark, known, {r["word"]: r["count"] for r in counts}, threshold)
-    order = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (next((r["count"] for r in counts if r["word"] == w), 0), w)))}
-    ranked = F.array(*[F.lit(w) for w in sorted(order, key=order.get)]) if order else in_templates
+    listed = lambda ws: F.array(*map(F.lit, ws)) if ws else F.array().cast("array<string>")
+    counts = texts.select(F.explode(F.array_intersect(_words(F.col("low")), listed(vocabulary))).alias("word")).groupBy("word").count().collect()
+    frequency = {r["word"]: r["count"] for r in counts}
+    index = template_index(spark, known, frequency, threshold)
+    ranked = sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w))
+    prefixes = {w for _, ws in known for w in _prefix(ws, frequency, threshold)}
 
     base = texts.withColumn("words", _words(F.col("low"))).withColumn("row", F.monotonically_increasing_id())
     for k, (phrase, _) in enumerate(PHRASES):
         base = base.withColumn(f"p{k}", phrase_places(F.col("words"), F.col("low"), phrase))
     places = F.concat(*[F.col(f"p{k}") for k in range(len(PHRASES))])
     base_labels = F.array_compact(F.array(*[F.when(F.size(f"p{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(PHRASES)]))
-    base = base.select("row", "doc_id", "low", F.size("words").cast("long").alias("n_words"), F.size(places).cast("long").alias("n_base"), F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"), base_labels.alias("base_labels"))
-
-    # lines, and of each the template words it holds, rarest first
     facts = ["row", "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"]
-    lines = base.select(*facts, F.posexplode(F.split("low", "\n")).alias("line", "block"))
-    lines = lines.withColumn("own", F.array_intersect(ranked, _words(F.col("block")))).select(*facts, "line", "own")
-    probes = lines.select(*facts, "line", "own", F.posexplode_outer("own").alias("place", "word"))
+    base = base.select("row", "doc_id", "low", "words", F.size("words").cast("long").alias("n_words"), F.size(places).cast("long").alias("n_base"), F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"), base_labels.alias("base_labels"))
+
+    # of each text the template words it holds, rarest first; those of prefixes meet the index
+    base = base.withColumn("own", F.array_intersect(listed(ranked), "words"))
+    met = F.filter(F.transform("own", lambda w, i: F.struct(i.alias("place"), w.alias("word"))), lambda x: F.array_contains(listed(sorted(prefixes)), x["word"]))
+    probes = base.select(*facts, "low", "words", "own", F.explode_outer(met).alias("x")).select(*facts, "low", "words", "own", "x.place", "x.word")
     # the index is bounded by MAX_TEMPLATES
     pairs = probes.join(F.broadcast(index.withColumnRenamed("words", "template_words")), "word", "left")
     long_enough = F.size("own") >= F.col("need")
     reachable = F.least(F.col("size") - F.col("at"), F.size("own") - F.col("place")) >= F.col("need")
-    first_shared = F.get(F.array_intersect("own", "template_words"), F.lit(0)) == F.col("word")  # each pair once
-    shared = F.size(F.array_intersect("own", "template_words"))
-    found = F.when(F.col("template").isNotNull() & long_enough & reachable & first_shared, F.when(shared >= F.col("need"), F.struct("line", "label", (shared / F.col("size")).alias("containment"))))
-    out = pairs.select(*facts, found.alias("block")).groupBy("row").agg(*[F.first(c).alias(c) for c in facts[1:]], F.array_sort(F.collect_set("block")).alias("blocks"))
+    shared = F.array_intersect("own", "template_words")
+    once = F.get(shared, F.lit(0)) == F.col("word")  # each pair at its first shared word
+    candidate = F.col("template").isNotNull() & long_enough & reachable & once & (F.size(shared) >= F.col("need"))
+    out = pairs.select(*facts, F.when(candidate, matching_blocks()).alias("found")).groupBy("row").agg(*[F.first(c).alias(c) for c in facts[1:]], F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("blocks"))
     all_labels = F.array_sort(F.array_union("base_labels", F.col("blocks.label")))
     best = F.coalesce(F.array_max(F.col("blocks.containment")), F.lit(0.0))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join(F.array_distinct(all_labels), ",").alias("labels"), F.when(F.col("n_base") > 0, 1.0).otherwise(best).alias("score"), "blocks")
@@ -133,9 +157,10 @@ def oracle(templates: list[tuple[str, str]], threshold: float = 0.8) -> str:
 
     values = []
     for i, (label, text) in enumerate(templates):
-        words = sorted(set(re.findall(LICENSE_WORD, text.lower())))
+        every = re.findall(LICENSE_WORD, text.lower())
+        words = sorted(set(every))
         quoted = ", ".join(f"'{w}'" for w in words)
-        values.append(f"({i}, '{label}', [{quoted}], {max(1, math.ceil(threshold * len(words) - 1e-9))})")
+        values.append(f"({i}, '{label}', [{quoted}], {max(1, math.ceil(threshold * len(words) - 1e-9))}, {len(every)})")
     starts = []
     for phrase, label in PHRASES:
         parts = phrase.split(" ")
@@ -143,13 +168,14 @@ def oracle(templates: list[tuple[str, str]], threshold: float = 0.8) -> str:
         starts.append(f"list_transform(list_filter(range(0, greatest(len(w) - {len(parts) - 1}, 0)), lambda i: {test}), lambda i: {{'i': i, 'label': '{label}'}})")
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return f"""
-    WITH t(template, label, words, need) AS (VALUES {", ".join(values)}),
+    WITH t(template, label, words, need, length) AS (VALUES {", ".join(values)}),
     d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), '{upper}', '{lower}') AS low FROM documents),
     b AS (SELECT r, doc_id, low, regexp_extract_all(low, '{LICENSE_WORD}') AS w FROM d),
     p AS (SELECT r, doc_id, len(w) AS n_words, list_concat({", ".join(starts)}) AS found FROM b),
-    l AS (SELECT DISTINCT r, list_distinct(regexp_extract_all(line, '{LICENSE_WORD}')) AS w FROM (SELECT r, unnest(string_split(low, chr(10))) AS line FROM d)),
-    m AS (SELECT r, list(DISTINCT label) AS labels, max(len(list_intersect(l.w, t.words)) / len(t.words)) AS best
-          FROM l JOIN t ON len(list_intersect(l.w, t.words)) >= t.need GROUP BY r)
+    l AS (SELECT r, n, coalesce(sum(n) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begun
+          FROM (SELECT r, i, len(regexp_extract_all(line, '{LICENSE_WORD}')) AS n FROM (SELECT r, unnest(string_split(low, chr(10))) AS line, unnest(range(0, len(string_split(low, chr(10))))) AS i FROM d))),
+    k AS (SELECT r, label, len(list_intersect(w[CAST(begun AS BIGINT) + 1:CAST(begun AS BIGINT) + greatest(n, length)], t.words)) AS shared, len(t.words) AS size, need FROM l JOIN b USING (r) CROSS JOIN t WHERE len(list_intersect(w, t.words)) >= need),
+    m AS (SELECT r, list(DISTINCT label) AS labels, max(shared / size) AS best FROM k WHERE shared >= need GROUP BY r)
     SELECT doc_id, n_words, len(found) AS n_base, list_min(list_transform(found, lambda x: x.i)) AS first_word,
       list_max(list_transform(found, lambda x: x.i)) AS last_word,
       array_to_string(list_sort(list_distinct(list_transform(found, lambda x: x.label))), ',') AS base_labels,

@@ -12,14 +12,17 @@ def brute(text, templates, threshold=0.8):
     words = re.findall(LICENSE_WORD, low)
     places = [(i, label) for phrase, label in PHRASES for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
     labels, best = {label for _, label in places}, 0.0
+    start = 0
     for line in low.split("\n"):
-        own = set(re.findall(LICENSE_WORD, line))
+        n = len(re.findall(LICENSE_WORD, line))
         for label, t in templates:
-            t = set(re.findall(LICENSE_WORD, t.lower()))
-            share = len(t & own) / len(t)
+            t = re.findall(LICENSE_WORD, t.lower())
+            own = set(words[start : start + max(n, len(t))])  # the line, or as many words as the template has
+            share = len(set(t) & own) / len(set(t))
             if share >= threshold:
                 labels.add(label)
                 best = max(best, share)
+        start += n
     at = [i for i, _ in places]
     return (len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({b for _, b in places})), ",".join(sorted(labels)), 1.0 if at else best)
 
@@ -27,6 +30,9 @@ def brute(text, templates, threshold=0.8):
 TEXTS = [
     None, "", " \n\n", "CC-BY", "cc by cc by CC  BY", "All rights\nreserved. all RIGHTS reserved", "General Public License", "alpha beta gamma delta x",
     "epsilon delta gamma beta", "alpha beta gamma\ndelta epsilon", "beta zeta", "Beta, ZETA beta", "licensed by cc under", "ccby xcc by", "é cc by é", "alpha " * 50_000 + "beta gamma delta cc by",
+    "x y\nalpha beta\n\ngamma\ndelta", "x alpha\nbeta gamma\nfar y\ndelta epsilon", "beta\n" * 3000 + "zeta",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin it", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided",
+    "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License",
 ]
 
 
@@ -40,6 +46,13 @@ def test_against_brute_force(make_docs, templates):
     assert sorted([tuple(r)[:8] for r in got], key=str) == want
 
 
+def test_wrapped_statements_get_their_labels(make_docs):
+    got = {r.doc_id: r for r in scan_licenses(make_docs(list(enumerate(TEXTS)))).collect()}
+    at = next(i for i, t in enumerate(TEXTS) if t and t.startswith("Permission"))
+    assert [got[i].labels for i in (at, at + 1, at + 2)] == ["mit", "bsd", "gpl,gpl-2.0"]
+    assert got[at].blocks[0].line == 0
+
+
 def test_empty_table_and_null_id(make_docs):
     docs = make_docs([(None, "cc by")])
     assert scan_licenses(docs).first().base_labels == "cc-by"
