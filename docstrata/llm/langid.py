@@ -122,12 +122,12 @@ def fit_language(counts: list[tuple[np.ndarray, np.ndarray]], labels: list[str],
     return LanguageModel(languages, (embed @ weight * scale).astype(np.float64), (bias * scale).astype(np.float64), reject)
 
 
-def train_language(docs: DataFrame, may_learn: Column | None = None, per_language: int = 800, max_languages: int = 1000) -> LanguageModel | None:
-    """Fits on about per_language rows of each of the max_languages most frequent values of lang, drawn
-    by a hash of doc_id among rows with a lang and a letter. None if there is no such row."""
+def train_language(docs: DataFrame, may_learn: Column | None = None, per_language: int = 800) -> LanguageModel | None:
+    """Fits on about per_language rows of each value of lang, drawn by a hash of doc_id among rows with a lang
+    and a letter; the model has a column for each value. None if there is no such row."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     known = known.where(may_learn) if may_learn is not None else known
-    sizes = docs.where(may_learn if may_learn is not None else F.lit(True)).where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    sizes = docs.where(may_learn if may_learn is not None else F.lit(True)).where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()
     if not sizes:
         return None
     share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["n"])))])

@@ -1,8 +1,12 @@
+import math
+import re
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from docstrata.llm.quality import N_FEATURES, document_statistics, fit_quality, fit_trees, score_quality
+from docstrata.llm.quality import CLASSES, N_FEATURES, document_statistics, fit_quality, fit_trees, score_quality
 from docstrata.llm.queries import op10_quality
 
 
@@ -13,6 +17,38 @@ def test_statistics_of_odd_texts():
     assert np.allclose(one[0], x[2])
 
 
+def plain_statistics(text):
+    """The same numbers, one text at a time."""
+    data = (text or "").encode()
+    low = bytes(b + 32 if 65 <= b <= 90 else b for b in data)
+    words = re.findall(rb"[^\x20\x09-\x0D]+", low)
+    n, size, w = len(words), max(len(data), 1), max(len(words), 1)
+    known = [sum(data.count(bytes([c])) for c in chars.encode()) for chars in CLASSES]
+    shares = [(len(data) - sum(known)) / size, *[k / size for k in known]]
+    runs = {tuple(words[i : i + 3]) for i in range(n - 2)} if n >= 3 else ({tuple(words)} if n else set())
+    counts = Counter(words)
+    again = sum(a == b for a, b in zip(words, words[1:]))
+    more = [math.log1p(len(data)), math.log1p(n), len(data) / w, len(counts) / w, max(counts.values(), default=0) / w, again / w, len(runs) / max(n - 2, 1) * (n > 0), sum(len(x) > 15 for x in words) / w, sum(len(x) == 1 for x in words) / w]
+    return [*shares, *more]
+
+
+def test_statistics_against_plain_ones(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    texts += ["", None, "a", "a b", "A a a b", "É\n\n!!", "w" * 40 + " x", "| | | #$%", "x " * 5000]
+    assert np.allclose(document_statistics(pa.array(texts)), [plain_statistics(t) for t in texts], rtol=1e-5, atol=1e-6)
+
+
+def test_an_id_with_two_labels_or_texts_learns_one(spark, make_docs):
+    rows = [(i, "word " * i if i % 2 else "!! " * i) for i in range(1, 60)] + [(7, "!! ! !"), (8, "other text")]
+    labels = [(i, i % 2) for i in range(1, 60)] + [(7, 0), (8, 1)]
+    fitted = []
+    for shuffled in (1, 5):
+        docs = make_docs(rows).repartition(shuffled)
+        trees = fit_quality(docs, spark.createDataFrame(labels, "doc_id long, quality int").repartition(shuffled))
+        fitted.append((trees.base, trees.feature.tolist(), trees.value.tolist()))
+    assert fitted[0] == fitted[1]
+
+
 def test_trees_learn_and_walk_as_written():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 3)).astype(np.float32)
