@@ -228,17 +228,23 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, sample_rows: int
     def match(key, vs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
         if not len(vs) or not len(qs):
             return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        ids, x, q = vs["id"].to_numpy(), np.stack(vs["v"].to_numpy()), np.stack(qs["v"].to_numpy())
-        rough, parts = q @ x.T, []
-        for row, query, vector in zip(rough, qs["id"].to_numpy(), q):
-            row = np.where(ids == query, -np.inf, row)
-            keep = np.flatnonzero(np.isfinite(row))
-            if len(keep) > k:  # rounding may differ by place: what is as good as the last stays for now
-                last = np.partition(row, len(row) - k)[len(row) - k]
-                keep = np.flatnonzero(row >= last - 1e-9 * max(1.0, abs(last)))
-            score = (x[keep] * vector).sum(1)
-            order = np.lexsort((ids[keep], -score))[: k * 2]
-            parts.append(pd.DataFrame({"query_id": query, "vec_id": ids[keep][order], "score": score[order]}))
+        ids, x = vs["id"].to_numpy(), np.stack(vs["v"].to_numpy())
+        parts = []
+        for at in range(0, len(qs), 256):
+            some = qs.iloc[at : at + 256]
+            asked, q = some["id"].to_numpy(), np.stack(some["v"].to_numpy())
+            rough = q @ x.T
+            rough[asked[:, None] == ids] = -np.inf
+            # rounding may differ by place: what is as good as the last of k stays for now
+            last = np.partition(rough, len(ids) - k, 1)[:, len(ids) - k] if len(ids) > k else np.full(len(q), -np.inf)
+            last = np.where(np.isfinite(last), last - 1e-9 * np.maximum(1.0, np.abs(last)), -np.inf)
+            row, col = np.nonzero((rough >= last[:, None]) & np.isfinite(rough))
+            score = (x[col] * q[row]).sum(1)
+            order = np.lexsort((ids[col], -score, row))
+            row, col, score = row[order], col[order], score[order]
+            first = np.searchsorted(row, np.arange(len(q)))
+            best = np.arange(len(row)) - first[row] < k
+            parts.append(pd.DataFrame({"query_id": asked[row[best]], "vec_id": ids[col[best]], "score": score[best]}))
         return pd.concat(parts)
 
     found = left.groupBy("list", "i", "j").cogroup(right.groupBy("list", "i", "j")).applyInPandas(match, "query_id long, vec_id long, score double")
