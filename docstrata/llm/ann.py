@@ -180,7 +180,7 @@ def fit_index(vectors: DataFrame, sample_rows: int = 20_000, list_rows: int = LI
         x = x[np.lexsort((x[:, 0], ids))][:sample_rows]
         yield pa.record_batch([pa.array([pickle.dumps(fit_lists(x, n_lists, top))], pa.binary())], ["model"])
 
-    sample = vectors.where(place <= bound).select("vec_id", "embedding")  # bounded: one task fits it
+    sample = cut(vectors.where(place <= bound).select("vec_id", "embedding"))  # bounded: one task fits it
     return pickle.loads(sample.coalesce(1).mapInArrow(fit, "model binary").first()["model"])
 
 

@@ -17,6 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import cut
 from .textbatch import chunks, small_batches
 
 BUCKETS = 1 << 14
@@ -150,7 +151,7 @@ def train_language(docs: DataFrame, may_learn: Column | None = None, per_languag
             counts = [(np.frombuffer(a, np.int32), np.frombuffer(b, np.float32)) for a, b in zip(rows["buckets"], rows["shares"])]
             yield pd.DataFrame({"model": [pickle.dumps(fit_language(counts, rows["lang"].tolist()))]})
 
-    stats = sample.mapInArrow(count, "buckets binary, shares binary, lang string, place long")
+    stats = cut(sample.mapInArrow(count, "buckets binary, shares binary, lang string, place long"))  # by many tasks
     model = stats.coalesce(1).mapInPandas(fit, "model binary").first()  # bounded sample, one small model
     return pickle.loads(model["model"]) if model else None
 

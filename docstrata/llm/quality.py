@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import cut
 from .textbatch import chunks, shingles, small_batches, words
 
 #: Byte classes that are counted, each as a share of the text. Every other byte is of class 0.
@@ -151,8 +152,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, may_learn: Column | None = N
             x, y = np.zeros((0, N_FEATURES), np.float32), np.zeros(0)
         yield pd.DataFrame({"model": [pickle.dumps(fit_trees(x, y))]})
 
-    # statistics of a bounded sample: one task fits them; the model is a few kilobytes
-    stats = rows.select("text", "quality", "place", "doc_id").mapInArrow(statistics, "x binary, quality int, place long, doc_id long")
+    # statistics of a bounded sample, written by many tasks: one task fits them; the model is a few kilobytes
+    stats = cut(rows.select("text", "quality", "place", "doc_id").mapInArrow(statistics, "x binary, quality int, place long, doc_id long"))
     return pickle.loads(stats.coalesce(1).mapInPandas(fit, "model binary").first()["model"])
 
 

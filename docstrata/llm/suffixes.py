@@ -42,7 +42,7 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     held = _POWERS.get(base)
     if held is None or len(held[0]) < n:
-        size = 1 << max(21, (n - 1).bit_length())
+        size = 1 << max(19, (n - 1).bit_length())
         both = []
         for b in (base, pow(base, -1, 1 << 64)):
             p = np.full(size, b, _U)

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes handled at once; longer texts are cut at white space.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -38,7 +38,7 @@ def _powers_upto(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = _powers_upto(1 << max(21, (n - 1).bit_length()))
+    up, down = _powers_upto(1 << max(19, (n - 1).bit_length()))
     return up[:n], down[:n]
 
 
