@@ -35,7 +35,7 @@ def merge_spans(spans: DataFrame, keys: list[str], gap: int = RULES.promise_merg
 def promise_candidates(content: DataFrame) -> DataFrame:
     """artifact_id, project_id, start, evidence: the sentence of each promise marker, each text once."""
     found = F.concat(*[find_spans(F.col("raw_text"), "(?i)" + p) for p in PROMISES])
-    texts = content.where("raw_text is not null")
+    texts = content.where(F.col("raw_text").rlike("(?i)" + "|".join(PROMISES)))  # one look before one for each marker
     spans = texts.select("artifact_id", "project_id", F.explode(found).alias("s")).select("artifact_id", "project_id", "s.start", "s.end")
     merged = merge_spans(spans, ["artifact_id", "project_id"]).join(texts.select("artifact_id", "raw_text").hint("merge"), "artifact_id")
     bounds = merged.withColumn("b", sentence_bounds(F.col("raw_text"), F.col("start"), F.col("end")))

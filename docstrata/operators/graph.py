@@ -27,17 +27,23 @@ def reference_scan(content: DataFrame, keys: DataFrame) -> DataFrame:
     characters; matches go left to right, the longest at a place."""
     head = F.regexp_extract("key", r"(?U)\w+", 0)
     known = keys.withColumn("head", F.length(head)).where("head > 0")
-    layout = known.select("head", (F.instr("key", head) - 1).alias("lead"), F.length("key").alias("size")).distinct()
+    layout = known.select("head", (F.instr("key", head) - 1).alias("lead"), F.length("key").alias("size"), head.rlike("^[a-z0-9_]+$").alias("plain")).distinct()
     # as many rows as there are lengths of keys, whatever the number of artifacts
-    layouts = [(r["head"], r["lead"], r["size"]) for r in layout.orderBy("head", "lead", "size").collect()]
+    layouts = sorted((r["head"], r["lead"], r["size"], r["plain"]) for r in layout.collect())
     schema = "project_id int, src long, dst long, kind string, confidence double, start int, evidence string"
     if not layouts:
         return content.sparkSession.createDataFrame([], schema)
-    word = r"(?U)(?<!\w)(?:" + "|".join(rf"\w{{{n}}}" for n in sorted({x[0] for x in layouts})) + r")(?!\w)"
+    # ASCII words are found without Unicode tables, which are slow; what stands around a match is checked below
+    word = []
+    for plain, flags, char in ((True, "", "[a-z0-9_]"), (False, "(?U)", r"\w")):
+        if sizes := sorted({x[0] for x in layouts if x[3] == plain}):
+            word.append((plain, rf"{flags}(?<!{char})(?:" + "|".join(rf"{char}{{{n}}}" for n in sizes) + rf")(?!{char})"))
     texts = content.where("raw_text is not null").select("project_id", F.col("artifact_id").alias("src"), "raw_text", F.lower("raw_text").alias("low"))
-    words = texts.select("project_id", "src", "raw_text", "low", F.explode(find_spans(F.col("low"), word)).alias("t"))
-    shapes = F.array(*[F.struct(F.lit(h).alias("head"), F.lit(lead).alias("lead"), F.lit(size).alias("size")) for h, lead, size in layouts])
-    tried = words.withColumn("shape", F.explode(F.filter(shapes, lambda x: x["head"] == F.length("t.value"))))
+    marked = lambda plain: lambda t: F.struct(t["value"].alias("value"), t["start"].alias("start"), F.lit(plain).alias("plain"))
+    found = F.concat(*[F.transform(find_spans(F.col("low"), pattern), marked(plain)) for plain, pattern in word])
+    words = texts.select("project_id", "src", "raw_text", "low", F.explode(found).alias("t"))
+    shapes = F.array(*[F.struct(F.lit(h).alias("head"), F.lit(lead).alias("lead"), F.lit(size).alias("size"), F.lit(p).alias("plain")) for h, lead, size, p in layouts])
+    tried = words.withColumn("shape", F.explode(F.filter(shapes, lambda x: (x["head"] == F.length("t.value")) & (x["plain"] == F.col("t.plain")))))
     tried = tried.withColumn("start", F.col("t.start") - F.col("shape.lead")).withColumn("end", F.col("start") + F.col("shape.size"))
     outside = lambda at, n: ~F.substring(F.col("low"), at, n).rlike(r"(?U)^\w")
     free = (F.col("start") >= 0) & (F.col("end") <= F.length("low")) & outside(F.col("start"), F.when(F.col("start") > 0, 1).otherwise(0)) & outside(F.col("end") + 1, F.lit(1))

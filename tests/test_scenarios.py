@@ -35,6 +35,16 @@ def test_filename_reference(spark):
     assert (r.src, r.dst, r.edge_type, r.confidence, r.start) == (2, 1, "builds_on", 0.9, 4)
 
 
+def test_references_in_odd_places(spark):
+    names = {1: "(draft) plan one.txt", 2: "über_alles.txt", 3: "note_0001.txt", 4: "x.txt"}
+    texts = {5: "see (Draft) Plan One.txt; ÜBER_ALLES.TXT!", 6: "énote_0001.txt note_0001.txté note_0001.txt", 7: "xnote_0001.txt _note_0001.txt note_0001.txt2", 8: "plan one.txt"}
+    rows = [(i, 1, n, "", []) for i, n in names.items()] + [(i, 1, f"text number {i}", t, []) for i, t in texts.items()]
+    df = spark.createDataFrame(rows, "artifact_id long, project_id int, original_filename string, raw_text string, labels array<string>")
+    found = graph.reference_scan(df.select("artifact_id", "project_id", "raw_text"), graph.match_keys(df)).collect()
+    assert sorted((r.src, r.dst, r.start) for r in found) == [(5, 1, 4), (5, 2, 26), (6, 3, 30)]
+    assert graph.reference_scan(df.select("artifact_id", "project_id", "raw_text"), graph.match_keys(df.limit(0))).collect() == []
+
+
 def test_text_functions(spark):
     row = spark.range(1).select(
         T.file_type(F.lit("a.b.TXT")).alias("a"), T.file_type(F.lit(".bashrc")).alias("b"), T.slugify(F.lit(" My File! ")).alias("c"), T.normalize_cost(F.lit("$1,200.5k")).alias("d"),
