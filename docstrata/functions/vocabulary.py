@@ -14,6 +14,9 @@ ENTITY_RULES = [
     ("citation", r"\([A-Z][A-Za-z-]+(?:\s+et al\.)?,?\s+\d{4}\)|\b10\.\d{4,9}/[^\s,;)]+|\[\d+\]", 0.70),
 ]
 
+#: Labels of a named-entity model: kind, confidence.
+MODEL_LABELS = {"PERSON": ("person", 0.75), "ORG": ("group", 0.65)}
+
 PROMISES = [
     r"\bstill need(?:s|ed)?\b", r"\bwe need to\b", r"\bTBD\b", r"\bto be determined\b", r"\bto be confirmed\b", r"\bwaiting on\b", r"\bwaiting for\b",
     r"\bpending\b", r"\bnext steps?\s*:", r"\byet to be\b", r"\bhave yet to\b", r"\bremains?\s+to\s+be\b", r"\bto[- ]?do\s*:", r"\bfuture work\b",

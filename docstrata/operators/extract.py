@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..config import RULES
 from ..functions.dates import DATE_PHRASE, meta_kind, meta_timestamp, resolve_phrase
 from ..functions.text import context_window, find_spans, normalize_value
-from ..functions.vocabulary import ENTITY_RULES
+from ..functions.vocabulary import ENTITY_RULES, MODEL_LABELS
 
 
 def entity_mentions(content: DataFrame, rules: list[tuple[str, str, float]] = ENTITY_RULES) -> DataFrame:
@@ -42,7 +42,20 @@ def entities(mentions: DataFrame) -> DataFrame:
     return mentions.groupBy("project_id", "kind", "normalized_value").agg(first, F.count("*").alias("mentions"), F.countDistinct("artifact_id").alias("artifacts"))
 
 
-_CANDIDATE = ["artifact_id", "project_id", "ts", "source", "confidence", "evidence", "ordinal"]
+def model_mentions(content: DataFrame, spans: DataFrame, ruled: DataFrame) -> DataFrame:
+    """Mentions that a language model found: spans (artifact_id, start, end, label) that overlap none of the rules'
+    mentions (ruled: artifact_id, start, end) and whose label is known; columns as entity_mentions gives them."""
+    known = spans.where(F.col("label").isin(*MODEL_LABELS)).select("artifact_id", "start", "end", "label")
+    free = suppress_overlaps(known, ruled).join(content.where("raw_text is not null").hint("merge"), "artifact_id")
+    of = lambda at: F.coalesce(*[F.when(F.col("label") == label, F.lit(m[at])) for label, m in MODEL_LABELS.items()])
+    value = F.substring(F.col("raw_text"), F.col("start") + 1, F.col("end") - F.col("start"))
+    return free.select(
+        "artifact_id", "project_id", of(0).alias("kind"), value.alias("value"), normalize_value(of(0), value).alias("normalized_value"),
+        "start", "end", context_window(F.col("raw_text"), F.col("start"), F.col("end")).alias("context"), of(1).alias("confidence"),
+    )
+
+
+_CANDIDATE = ["artifact_id", "project_id", "ts", "source", "confidence", "evidence", "ordinal", "anchor"]
 
 
 def fs_dates(artifacts: DataFrame) -> DataFrame:
@@ -51,7 +64,7 @@ def fs_dates(artifacts: DataFrame) -> DataFrame:
         F.struct(F.col("fs_created").alias("ts"), F.lit(RULES.fs_created_confidence).alias("confidence"), F.lit("Artifact.fs_created").alias("evidence"), F.lit(0).cast("long").alias("ordinal")),
         F.struct(F.col("fs_modified").alias("ts"), F.lit(RULES.fs_modified_confidence).alias("confidence"), F.lit("Artifact.fs_modified").alias("evidence"), F.lit(1).cast("long").alias("ordinal")),
     )).alias("c"))
-    return rows.select("artifact_id", "project_id", "c.*").withColumn("source", F.lit("filesystem")).where("ts is not null").select(*_CANDIDATE)
+    return rows.select("artifact_id", "project_id", "c.*").withColumn("source", F.lit("filesystem")).where("ts is not null").withColumn("anchor", F.lit(None).cast("timestamp")).select(*_CANDIDATE)
 
 
 def doc_meta_dates(metadata: DataFrame) -> DataFrame:
@@ -60,7 +73,7 @@ def doc_meta_dates(metadata: DataFrame) -> DataFrame:
     exif = F.col("key").startswith("exif.") & F.lower("key").rlike("date")
     confidence = F.when(exif | (kind == "created"), RULES.meta_created_confidence).when(kind == "modified", RULES.meta_modified_confidence)
     rows = metadata.select("artifact_id", "project_id", meta_timestamp(F.col("value")).alias("ts"), F.lit("doc_meta").alias("source"), confidence.alias("confidence"), F.concat_ws("=", "key", "value").alias("evidence"), (F.col("ordinal") + 10).cast("long").alias("ordinal"))
-    return rows.where("ts is not null and confidence is not null").select(*_CANDIDATE)
+    return rows.where("ts is not null and confidence is not null").withColumn("anchor", F.lit(None).cast("timestamp")).select(*_CANDIDATE)
 
 
 def _best(candidates: DataFrame) -> DataFrame:
@@ -75,11 +88,12 @@ def date_anchor(candidates: DataFrame) -> DataFrame:
 
 
 def content_dates(content: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Candidates from date phrases in the text; phrases that can't be resolved are left out."""
+    """Candidates from date phrases in the text; phrases that can't be resolved are left out. anchor is the date
+    that a relative phrase counts from."""
     rows = content.where(F.col("raw_text") != "").select("artifact_id", "project_id", F.explode(find_spans(F.col("raw_text"), DATE_PHRASE)).alias("s"))
     rows = rows.join(anchors.select("artifact_id", F.col("ts").alias("anchor")).hint("merge"), "artifact_id", "left")
     rows = rows.withColumn("r", resolve_phrase(F.col("s.value"), F.col("anchor"))).where("r.ts is not null")
-    return rows.select("artifact_id", "project_id", F.col("r.ts").alias("ts"), F.lit("content").alias("source"), F.col("r.confidence").alias("confidence"), F.col("s.value").alias("evidence"), (F.col("s.start") + 1000).cast("long").alias("ordinal"))
+    return rows.select("artifact_id", "project_id", F.col("r.ts").alias("ts"), F.lit("content").alias("source"), F.col("r.confidence").alias("confidence"), F.col("s.value").alias("evidence"), (F.col("s.start") + 1000).cast("long").alias("ordinal"), F.when(F.col("r.relative"), F.col("anchor")).alias("anchor"))
 
 
 def resolved_dates(artifacts: DataFrame, content: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
@@ -93,6 +107,6 @@ def resolved_dates(artifacts: DataFrame, content: DataFrame, metadata: DataFrame
 
 
 def chosen_dates(dates: DataFrame) -> DataFrame:
-    return dates.where("is_chosen").select("artifact_id", "project_id", "ts", "source", "confidence", "evidence")
+    return dates.where("is_chosen").select("artifact_id", "project_id", "ts", "source", "confidence", "evidence", "anchor")
 
 

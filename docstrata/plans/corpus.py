@@ -31,6 +31,7 @@ artifacts AS (
       CASE WHEN k % 7 = 4 AND k % 2 = 0 THEN 'Finished control assay batch work.' END,
       CASE WHEN k % 9 = 2 THEN concat('Hypothesis H', CAST(CAST(floor(k / 18) AS BIGINT) AS STRING), ' rests on [', CAST(CAST(floor(k / 27) AS BIGINT) AS STRING), '] and 10.1000/x', CAST(k AS STRING), '.') END,
       CASE WHEN k % 7 = 5 OR k % 10 = 9 OR k % 12 = 0 THEN concat('We are waiting on reagent', translate(lpad(CAST(k AS STRING), 6, '0'), '0123456789', 'abcdefghij'), ' shipment', translate(lpad(CAST(k AS STRING), 6, '0'), '0123456789', 'abcdefghij'), '.') END,
+      CASE WHEN k % 8 = 6 THEN 'Sent last week.' END,
       CASE WHEN k % 8 = 5 THEN 'Review on March 5, 2023 or last week.' END) AS raw_text
   FROM base),
 headings AS (SELECT artifact_id, project_id, concat('Protocol alpha ', lpad(CAST(artifact_id AS STRING), 6, '0')) AS label FROM artifacts WHERE k % 2 = 0),

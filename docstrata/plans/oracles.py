@@ -47,16 +47,16 @@ fs AS (SELECT * FROM (SELECT artifact_id, project_id, fs_created AS ts, 'filesys
 meta AS (SELECT artifact_id, project_id,
     CASE WHEN value LIKE 'D:%' THEN strptime(substr(value, 3), '%Y%m%d%H%M%S') WHEN value LIKE '____:%' THEN strptime(value, '%Y:%m:%d %H:%M:%S') ELSE try_cast(value AS TIMESTAMP) END AS ts,
     'doc_meta' AS source, CASE WHEN key = 'ModDate' THEN 0.55 ELSE 0.7 END AS confidence, concat(key, '=', value) AS evidence, ordinal + 10 AS ordinal FROM metadata WHERE key <> 'Title'),
-known AS (SELECT * FROM fs UNION ALL SELECT * FROM meta),
+known AS (SELECT *, CAST(NULL AS TIMESTAMP) AS anchor FROM fs UNION ALL SELECT *, NULL FROM meta),
 anchors AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY artifact_id ORDER BY {_RANK} DESC, confidence DESC, ordinal) AS rn FROM known) WHERE rn = 1),
 phrases AS ({_DATES}),
 content_dates AS (SELECT p.artifact_id, p.project_id,
     CASE WHEN length(value) = 4 THEN make_timestamp(CAST(value AS BIGINT), 1, 1, 0, 0, 0) WHEN regexp_matches(value, '{_ISO}') THEN try_strptime(value, '%Y-%m-%d') WHEN lower(value) = 'last week' THEN a.ts - INTERVAL 7 DAY ELSE try_strptime(value, '%B %d, %Y') END AS ts,
-    'content' AS source, CASE WHEN length(value) = 4 THEN 0.45 WHEN lower(value) = 'last week' THEN 0.6 ELSE 0.85 END AS confidence, value AS evidence, CAST(start + 1000 AS BIGINT) AS ordinal
+    'content' AS source, CASE WHEN length(value) = 4 THEN 0.45 WHEN lower(value) = 'last week' THEN 0.6 ELSE 0.85 END AS confidence, value AS evidence, CAST(start + 1000 AS BIGINT) AS ordinal, CASE WHEN lower(value) = 'last week' THEN a.ts END AS anchor
   FROM phrases p LEFT JOIN anchors a USING (artifact_id)),
 content_kept AS (SELECT * FROM content_dates WHERE year(ts) BETWEEN 1970 AND 2100),
 resolved AS (SELECT * EXCLUDE (rn), rn = 1 AS is_chosen FROM (SELECT *, row_number() OVER (PARTITION BY artifact_id ORDER BY {_RANK} DESC, confidence DESC, ordinal) AS rn FROM (SELECT * FROM known UNION ALL SELECT * FROM content_kept))),
-chosen AS (SELECT artifact_id, project_id, ts, source, confidence, evidence FROM resolved WHERE is_chosen),
+chosen AS (SELECT artifact_id, project_id, ts, source, confidence, evidence, anchor FROM resolved WHERE is_chosen),
 templates AS (SELECT * FROM (VALUES {_PHASES}) AS v(phase_id, domain, ordinal, phase_name)),
 domains AS (SELECT project_id, CASE WHEN confidence >= 0.5 AND domain IN (SELECT domain FROM templates) THEN domain ELSE 'generic' END AS template_domain FROM classification),
 coverage AS (SELECT p.project_id, t.phase_id, t.phase_name, count(DISTINCT a.artifact_id) AS artifacts

@@ -13,7 +13,7 @@ from ..operators import cluster, direction, embed, extract, gaps, graph, ingest,
 from ..sources import files, records
 from . import runner
 from .corpus import Corpus, written
-from .oracles import dot, oracle, squeeze
+from .oracles import dot, oracle, spans, squeeze
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -280,6 +280,20 @@ def entity_mentions(c):
     return c.mentions().drop("project_id").withColumn("start", F.col("start").cast("long"))
 
 
+_NER = r"\b(?:Results|Experiment|Minutes|Review)\b"
+
+
+@query(f"""SELECT artifact_id, CASE value WHEN 'Minutes' THEN 'person' ELSE 'group' END AS kind, value, lower(value) AS normalized_value, start, CASE value WHEN 'Minutes' THEN 0.75 ELSE 0.65 END AS confidence,
+  substring(raw_text, greatest(start - 40, 0) + 1, least(start + length(value) + 40, length(raw_text)) - greatest(start - 40, 0)) AS context FROM ({spans(_NER, "artifacts", "artifact_id, raw_text")}) s
+  WHERE value <> 'Review' AND NOT EXISTS (SELECT 1 FROM mentions m WHERE m.artifact_id = s.artifact_id AND m.start < s.start + length(s.value) AND s.start < m."end")""")
+def model_mentions(c):
+    """Spans as a model might give them: one kind of them lies in a rule's match, one has an unknown label."""
+    found = c.content.select("artifact_id", F.explode(T.find_spans(F.col("raw_text"), _NER)).alias("s")).select("artifact_id", "s.*")
+    label = F.when(F.col("value") == "Minutes", "PERSON").when(F.col("value") == "Review", "GPE").otherwise("ORG")
+    made = extract.model_mentions(c.content, found.withColumn("label", label), c.mentions())
+    return made.drop("project_id", "end").withColumn("start", F.col("start").cast("long"))
+
+
 @query("SELECT artifact_id, value, start FROM m1 WHERE kind = 'experiment'")
 def find_spans(c):
     rows = c.content.select("artifact_id", F.explode(T.find_spans(F.col("raw_text"), r"(?i)\b(?:Experiment|Trial|Run)\s+#?[A-Za-z0-9][\w-]*")).alias("s"))
@@ -994,9 +1008,11 @@ def apply_feedback(c):
     return state.apply_feedback(auto, c.relation("feedback").withColumnRenamed("given_at", "at"), ["artifact_id"], "label")
 
 
-@query("SELECT 'chosen_date' AS decision_type, CAST(artifact_id AS VARCHAR) AS target_id, strftime(ts, '%Y-%m-%d') AS new_value, 'system' AS actor, concat('chosen via signal precedence: ', source, ' (confidence=', printf('%.2f', CAST(confidence AS DOUBLE)), ')') AS rationale FROM chosen")
+@query("SELECT 'chosen_date' AS decision_type, CAST(artifact_id AS VARCHAR) AS target_id, strftime(ts, '%Y-%m-%d') AS new_value, 'system' AS actor, concat('chosen via signal precedence: ', source, ' (confidence=', printf('%.2f', CAST(confidence AS DOUBLE)), ')', CASE WHEN anchor IS NOT NULL THEN concat('; relative content reference anchored to ', strftime(anchor, '%Y-%m-%dT%H:%M:%S'), '+00:00') ELSE '' END) AS rationale FROM chosen")
 def decision_audit(c):
     why = F.format_string("chosen via signal precedence: %s (confidence=%.2f)", "source", "confidence")
+    anchored = F.concat(F.lit("; relative content reference anchored to "), F.date_format("anchor", "yyyy-MM-dd'T'HH:mm:ssxxx"))
+    why = F.concat(why, F.coalesce(anchored, F.lit("")))
     return state.audit(c.chosen(), "chosen_date", F.col("artifact_id"), F.date_format("ts", "yyyy-MM-dd"), why)
 
 
