@@ -1,8 +1,10 @@
 import re
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
+from docstrata.llm import mixing
 from docstrata.llm.mixing import mix_sources, split_quotas
 
 
@@ -37,7 +39,9 @@ def check(rows, got):
     assert all(abs(taken[s] - want[s]) <= 0.5 for s in sizes)
 
 
-def test_targets_and_words(make_docs):
+@pytest.mark.parametrize("broadcast", [10_000, 0])
+def test_targets_and_words(make_docs, monkeypatch, broadcast):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", broadcast)
     rows = [(i, "w " * (i % 37), "hot" if i % 3 else f"s{i % 11}") for i in range(400)]
     rows += [(1000, None, "s1"), (1001, "", None), (1002, "a b c", None), (1003, None, "void"), (1004, "x\ty z", "é")]
     docs = make_docs(rows)
