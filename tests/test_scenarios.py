@@ -140,3 +140,12 @@ def test_cells(spark):
     row = spark.sql("SELECT DATE '2024-01-02' AS d, TIMESTAMP '2024-01-02 03:04:05' AS t, TIMESTAMP '2024-01-02 03:04:05.5' AS u, CAST(1.50 AS DECIMAL(5, 2)) AS n, 'x' AS s")
     got = row.select(*[T.json_safe(F.col(c), k).alias(c) for c, k in row.dtypes]).first()
     assert tuple(got) == ("2024-01-02", "2024-01-02T03:04:05", "2024-01-02T03:04:05.500000", 1.5, "x")
+
+
+def test_joins_are_broadcast_up_to_a_counted_size(spark, monkeypatch):
+    from docstrata import joins
+
+    plan = lambda: spark.range(9).join(joins.sized(spark.range(5)), "id")._jdf.queryExecution().toString()
+    assert "strategy=broadcast" in plan()
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 4)
+    assert "strategy=merge" in plan() and "strategy=broadcast" not in plan()
