@@ -37,6 +37,11 @@ _NAME = rf"[ ]{_PART}(?:[ ]{_PART})*+"
 #: A secret runs to a blank, quote, bracket or separator; a dot and the like end it unless more follows.
 _SECRET = r"A-Za-z0-9+/_=~@#$%^*-"
 
+#: A host: labels up to one of letters. Possessive, so that Java walks any number of labels without recursion; where
+#: what follows the last dot is no such label, as in a.com.2, of a host name's 127 labels at most the last that is one.
+_LABEL, _TOP = "[A-Za-z0-9-]{1,63}", r"[A-Za-z]{2,24}(?![\w-])"
+_HOST = rf"(?:{_LABEL}\.(?=[A-Za-z0-9-]))++{_TOP}|{_LABEL}(?:\.{_LABEL}){{0,126}}\.{_TOP}"
+
 #: Given names by gender and script.
 GIVEN = {
     ("f", "latin"): "Alice Anna Carla Clara Diana Elena Emma Eva Flora Grace Helen Ida Jane Julia Laura Lena Lucy Maria Mia Nina Nora Olga Paula Rosa Sara Sofia Tina Vera".split(),
@@ -52,7 +57,7 @@ _HERS = "(?:" + "|".join([*GIVEN["f", "latin"], *GIVEN["f", "cyrillic"]]) + r")(
 
 #: kind, pattern. Earlier kinds win where two start at one place.
 KINDS: list[tuple[str, str]] = [
-    ("email", r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}(?![\w-])"),
+    ("email", rf"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:{_HOST})"),
     ("secret", r"(?<!\w)(?i:password|passwd|pwd|secret|token|api_key|apikey|access_key)\s?[=:]\s?[\"']?" + f"(?=[+/_~@#$%^*-]*[A-Za-z0-9])(?=[^=](?:[{_SECRET}]|[.:!?](?=[{_SECRET}])){{7}})[{_SECRET}]++(?:[.:!?]++[{_SECRET}]++)*+"),
     ("access_key", r"(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)"),
     ("card", r"(?<![\w.])[3-6]\d{3}([ -]?)\d{4}\1\d{4}\1\d{4}(?![\w])|(?<![\w.])3\d{3}(?:[ ]\d{6}[ ]|-\d{6}-|\d{6})\d{5}(?!\w)"),
@@ -199,7 +204,8 @@ def replace_pii(docs: DataFrame, key: str = "surrogate-key", columns: list[str]
     """One row per row of docs (doc_id, text): doc_id, text, n_entities, kinds and columns (names of
     docs' own to carry along). text has every detected value replaced; kinds lists their kinds, sorted,
     comma-joined. A null text stays null, with n_entities 0; clean and empty texts stay as they are;
-    rows that repeat get equal results; an empty table gives an empty result."""
+    rows that repeat get equal results; an empty table gives an empty result. Local parts, hosts and secrets of any
+    length are replaced whole. Private key blocks, bearer headers, IBAN and IPv6 aren't looked for."""
     carried = [F.col(f"`{c}`") for c in columns or []]
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carried)
     found = F.when(F.col("text").rlike(r"[@+=:(]|\d[\d. -]{5}|AKIA|ASIA|(?:" + f"{TITLES_F}|{TITLES_M}|Dr|Prof" + rf")\.? (?:\p{{Lu}}|(?:{PARTICLES}) )"), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))

@@ -160,3 +160,13 @@ def test_no_values(make_docs):
     clean = ["token: short. Next", "password=--------", "Mr. X", "Sr. 4", "1234-555-2671", "415-5555-2671", "12 345 6789", "38782822463100051", "Dr. and Mrs. of the house"]
     got = run(make_docs(list(enumerate(clean))))
     assert [got[i].text for i in range(len(clean))] == clean
+
+
+def test_hosts_locals_and_secrets_of_any_length(make_docs):
+    hosts = {1: "a." * 100_000 + "com", 2: "a." * 3000 + "b", 3: "site.com.2", 4: "mail.site.co1", 5: "a.com...next", 6: "x." * 200 + "org."}
+    rows = [(i, f"mail bob@{h} end") for i, h in hosts.items()] + [(7, "q" * 100_000 + "@example.org"), (8, "token=" + "Ab9." * 50_000 + "Z")]
+    got = run(make_docs(rows))
+    assert [got[i].n_entities for i in range(1, 9)] == [1, 0, 1, 1, 1, 1, 1, 1]
+    assert got[1].text.endswith("com end") and len(got[1].text) == len(rows[0][1]) and "a.a.a" not in got[1].text
+    assert got[2].text == rows[1][1] and re.fullmatch(r"mail \w+@\w{4}\.com\.2 end", got[3].text) and re.fullmatch(r"mail \w+@\w{4}\.site\.co1 end", got[4].text)
+    assert re.fullmatch(r"mail \w+@\w\.com\.\.\.next end", got[5].text) and got[6].text.endswith(".org. end") and "q" * 50 not in got[7].text and len(got[8].text) == len(rows[7][1])
