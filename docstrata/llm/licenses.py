@@ -1,11 +1,12 @@
 """License scans: exact phrases, and an exact set-similarity join of text blocks with templates.
 
-A block starts with a line: it is the line, or as many words from there on as the template has, if the line
-has fewer, so statements may be wrapped anywhere. A template matches a block when at least `threshold` of its
-distinct words occur in it (containment). Words are ordered by their frequency in the whole corpus, rarest
-first; a template's prefix in that order must share a word with any text that holds a block which reaches
-the threshold, so texts meet templates by an equi-join on prefix words. Length and position bounds drop
-hopeless pairs before blocks are cut and compared. Everything is DataFrame expressions.
+A block is a window of as many consecutive words as the template has (the rest of the text, if that is shorter); it
+may start at any word, whatever the lines. A template matches a block when at least `threshold` of its distinct
+words occur in it (containment), among them all words that it demands and none that it forbids: these tell apart
+licenses whose statements differ in a word, such as CC BY and CC BY-NC. Words are ordered by their frequency in the
+whole corpus, rarest first; a template's prefix in that order must share a word with any block that reaches the
+threshold, so texts meet templates by an equi-join on prefix words. Length and position bounds drop
+hopeless pairs; blocks are cut around the prefix words of the texts that are left. Everything is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -24,17 +25,25 @@ LICENSE_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases and their labels.
 PHRASES = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
 
+#: A label, its statement, words that must occur in a block, words that must not.
+Template = tuple[str, str] | tuple[str, str, str, str]
+
 #: Default templates: well-known sentences of public licenses, and the label of each.
-TEMPLATES = [
+TEMPLATES: list[Template] = [
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("mit", "Released under the MIT License"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("gpl-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2"),
-    ("lgpl", "licensed under the GNU Lesser General Public License"),
-    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0"),
+    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3", "general 3", ""),
+    ("gpl-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2", "general 2", ""),
+    ("gpl-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License", "general 2", ""),
+    ("lgpl", "licensed under the GNU Lesser General Public License", "lesser", ""),
+    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", "attribution 4", "noncommercial sharealike noderivatives noderivs"),
+    ("cc-by-4.0", "Licensed under CC BY 4.0", "by 4", "nc sa nd"),
+    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0", "nc 4", "sa nd"),
+    ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0", "sa 4", "nc"),
+    ("cc-by-nd-4.0", "Licensed under CC BY-ND 4.0", "nd 4", "nc"),
+    ("cc-by-nc-sa-4.0", "Licensed under CC BY-NC-SA 4.0", "nc sa 4", ""),
+    ("cc-by-nc-nd-4.0", "Licensed under CC BY-NC-ND 4.0", "nc nd 4", ""),
     ("cc0", "To the extent possible under law, the author has waived all copyright and related rights"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
@@ -47,16 +56,16 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(LICENSE_WORD), F.lit(0))
 
 
-def template_index(spark: SparkSession, templates: list[tuple[str, str]], frequency: dict[str, int], threshold: float) -> DataFrame:
-    """word, template, label, at, size, need, length, words: a row for each prefix word of each template.
-    templates: label, words in order, repeats included."""
+def template_index(spark: SparkSession, templates: list[tuple], frequency: dict[str, int], threshold: float) -> DataFrame:
+    """word, template, label, at, size, need, length, words, prefix, must, never: a row for each prefix word of each
+    template. templates: label, words in order with repeats, words demanded and forbidden."""
     rows = []
     if len(templates) > MAX_TEMPLATES:
         raise ValueError(f"more than {MAX_TEMPLATES} templates")
-    for number, (label, words) in enumerate(templates):
+    for number, (label, words, must, never) in enumerate(templates):
         size, prefix = len(set(words)), _prefix(words, frequency, threshold)
-        rows += [(w, number, label, at, size, size - len(prefix) + 1, len(words), list(dict.fromkeys(words))) for at, w in enumerate(prefix)]
-    return spark.createDataFrame(rows, "word string, template int, label string, at int, size int, need int, length int, words array<string>")
+        rows += [(w, number, label, at, size, size - len(prefix) + 1, len(words), list(dict.fromkeys(words)), prefix, must, never) for at, w in enumerate(prefix)]
+    return spark.createDataFrame(rows, "word string, template int, label string, at int, size int, need int, length int, words array<string>, prefix array<string>, must array<string>, never array<string>")
 
 
 def _prefix(words: list[str], frequency: dict[str, int], threshold: float) -> list[str]:
@@ -66,11 +75,12 @@ def _prefix(words: list[str], frequency: dict[str, int], threshold: float) -> li
     return ordered[: len(ordered) - need + 1]
 
 
-def template_words(spark: SparkSession, templates: list[tuple[str, str]]) -> list[tuple[str, list[str]]]:
-    """The words of each template, by the same expressions as those of the texts."""
-    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(templates)], "i int, label string, text string")
-    found = df.select("i", "label", _words(ascii_lower(F.col("text"))).alias("words")).orderBy("i").collect()
-    return [(r["label"], r["words"]) for r in found if r["words"]]
+def template_words(spark: SparkSession, templates: list[Template]) -> list[tuple]:
+    """label, words, demanded and forbidden words of each template, by the same expressions as those of the texts."""
+    df = spark.createDataFrame([(i, *t, *("", "")[: 4 - len(t)]) for i, t in enumerate(templates)], "i int, label string, text string, must string, never string")
+    lists = [_words(ascii_lower(F.col(c))).alias(c) for c in ("text", "must", "never")]
+    found = df.select("i", "label", *lists).orderBy("i").collect()
+    return [(r["label"], r["text"], r["must"], r["never"]) for r in found if r["text"]]
 
 
 def phrase_places(words: Column, low: Column, phrase: str) -> Column:
@@ -89,33 +99,36 @@ def phrase_places(words: Column, low: Column, phrase: str) -> Column:
 
 
 def matching_blocks() -> Column:
-    """array<struct<line, label, containment>> of the blocks of a text (low, words) that match its row's template."""
-    counts = F.transform(F.split("low", "\n"), lambda line: F.size(_words(line)))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,n:int>>").alias("out"))
-    lines = F.aggregate(counts, zero, lambda s, n: F.struct((s["at"] + n).alias("at"), F.array_append(s["out"], F.struct(s["at"].alias("at"), n.alias("n"))).alias("out")), lambda s: s["out"])
+    """array<struct<word, label, containment>> of the blocks of a text (words) that match its row's template. A block
+    that matches holds a prefix word, and one that starts with a template word holds no fewer of them."""
+    n = F.col("length")
+    rare = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.array_contains("prefix", F.get("words", i)))
+    before = lambda p: F.filter(F.sequence(F.greatest(p - n + 1, F.lit(0)), p), lambda s: F.array_contains("template_words", F.get("words", s)))
+    starts = F.array_distinct(F.flatten(F.transform(rare, before)))
 
-    def block(x: Column, i: Column) -> Column:
-        own = F.slice("words", x["at"] + 1, F.greatest(x["n"], F.col("length")))
-        return F.struct(i.alias("line"), F.col("label").alias("label"), F.size(F.array_intersect("template_words", own)).alias("shared"))
+    def block(s: Column) -> Column:
+        own = F.slice("words", s + 1, n)
+        fits = (F.size(F.array_except("must", own)) == 0) & ~F.arrays_overlap("never", own)
+        return F.struct(s.alias("word"), F.col("label").alias("label"), F.when(fits, F.size(F.array_intersect("template_words", own))).otherwise(0).alias("shared"))
 
-    held = F.filter(F.transform(lines, block), lambda b: b["shared"] >= F.col("need"))
-    return F.transform(held, lambda b: F.struct(b["line"].alias("line"), b["label"].alias("label"), (b["shared"] / F.col("size")).alias("containment")))
+    held = F.filter(F.transform(starts, block), lambda b: b["shared"] >= F.col("need"))
+    return F.transform(held, lambda b: F.struct(b["word"].alias("word"), b["label"].alias("label"), (b["shared"] / F.col("size")).alias("containment")))
 
 
-def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = 0.8) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: list[Template] | None = None, threshold: float = 0.8) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_words, n_base, first_word, last_word,
     base_labels, labels, score, blocks.
 
     Base places are where a phrase's words stand consecutively anywhere in the text. blocks lists
-    (line, label, containment) of the blocks that match a template, line being the number of the one that
-    they start with; labels has the labels of both, distinct, sorted, comma-joined, empty if there are none.
+    (word, label, containment) of the blocks that match a template and start with one of its words, word being the
+    number of that word; labels has the labels of both, distinct, sorted, comma-joined, empty if there are none.
     score is the best containment of a matching block, 1 if a base phrase occurs, else 0. Null and empty
     texts have no words; repeated rows are scanned row by row; an empty table gives an empty result. Other
     columns are ignored.
     """
     spark = docs.sparkSession
     known = template_words(spark, TEMPLATES if templates is None else templates)
-    vocabulary = sorted({w for _, ws in known for w in ws})
+    vocabulary = sorted({w for t in known for w in t[1]})
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), ascii_lower(F.coalesce("text", F.lit(""))).alias("low"))
 
     # corpus frequency of the words that templates use: at most len(vocabulary) rows
@@ -124,7 +137,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     frequency = {r["word"]: r["count"] for r in counts}
     index = template_index(spark, known, frequency, threshold)
     ranked = sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w))
-    prefixes = {w for _, ws in known for w in _prefix(ws, frequency, threshold)}
+    prefixes = {w for t in known for w in _prefix(t[1], frequency, threshold)}
 
     base = texts.withColumn("words", _words(F.col("low"))).withColumn("row", F.monotonically_increasing_id())
     for k, (phrase, _) in enumerate(PHRASES):
@@ -151,16 +164,16 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join(F.array_distinct(all_labels), ",").alias("labels"), F.when(F.col("n_base") > 0, 1.0).otherwise(best).alias("score"), "blocks")
 
 
-def oracle(templates: list[tuple[str, str]], threshold: float = 0.8) -> str:
-    """DuckDB SQL for scan_licenses, without the blocks."""
+def oracle(templates: list[Template], threshold: float = 0.8) -> str:
+    """DuckDB SQL for scan_licenses, without the blocks: every window that starts with a template's word is tried."""
     import re
 
     values = []
-    for i, (label, text) in enumerate(templates):
+    for i, (label, text, *more) in enumerate(templates):
         every = re.findall(LICENSE_WORD, text.lower())
         words = sorted(set(every))
-        quoted = ", ".join(f"'{w}'" for w in words)
-        values.append(f"({i}, '{label}', [{quoted}], {max(1, math.ceil(threshold * len(words) - 1e-9))}, {len(every)})")
+        listed = [", ".join(f"'{w}'" for w in ws) for ws in (words, *[m.split() for m in more or ("", "")])]
+        values.append(f"({i}, '{label}', [{listed[0]}]::VARCHAR[], {max(1, math.ceil(threshold * len(words) - 1e-9))}, {len(every)}, [{listed[1]}]::VARCHAR[], [{listed[2]}]::VARCHAR[])")
     starts = []
     for phrase, label in PHRASES:
         parts = phrase.split(" ")
@@ -168,13 +181,12 @@ def oracle(templates: list[tuple[str, str]], threshold: float = 0.8) -> str:
         starts.append(f"list_transform(list_filter(range(0, greatest(len(w) - {len(parts) - 1}, 0)), lambda i: {test}), lambda i: {{'i': i, 'label': '{label}'}})")
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return f"""
-    WITH t(template, label, words, need, length) AS (VALUES {", ".join(values)}),
-    d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), '{upper}', '{lower}') AS low FROM documents),
-    b AS (SELECT r, doc_id, low, regexp_extract_all(low, '{LICENSE_WORD}') AS w FROM d),
+    WITH t(template, label, words, need, length, must, never) AS (VALUES {", ".join(values)}),
+    b AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '{LICENSE_WORD}') AS w FROM documents),
     p AS (SELECT r, doc_id, len(w) AS n_words, list_concat({", ".join(starts)}) AS found FROM b),
-    l AS (SELECT r, n, coalesce(sum(n) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begun
-          FROM (SELECT r, i, len(regexp_extract_all(line, '{LICENSE_WORD}')) AS n FROM (SELECT r, unnest(string_split(low, chr(10))) AS line, unnest(range(0, len(string_split(low, chr(10))))) AS i FROM d))),
-    k AS (SELECT r, label, len(list_intersect(w[CAST(begun AS BIGINT) + 1:CAST(begun AS BIGINT) + greatest(n, length)], t.words)) AS shared, len(t.words) AS size, need FROM l JOIN b USING (r) CROSS JOIN t WHERE len(list_intersect(w, t.words)) >= need),
+    k AS (SELECT r, label, len(words) AS size, need, list_max(list_transform(list_filter(range(1, len(w) + 1), lambda i: list_contains(words, w[i])), lambda i:
+        CASE WHEN list_has_all(w[i:i + length - 1], must) AND NOT list_has_any(w[i:i + length - 1], never) THEN len(list_intersect(w[i:i + length - 1], words)) ELSE 0 END)) AS shared
+      FROM b CROSS JOIN t WHERE len(list_intersect(w, words)) >= need),
     m AS (SELECT r, list(DISTINCT label) AS labels, max(shared / size) AS best FROM k WHERE shared >= need GROUP BY r)
     SELECT doc_id, n_words, len(found) AS n_base, list_min(list_transform(found, lambda x: x.i)) AS first_word,
       list_max(list_transform(found, lambda x: x.i)) AS last_word,
