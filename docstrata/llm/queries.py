@@ -14,8 +14,11 @@ from .jaccard import jaccard_components
 from .langid import predict_language, train_language
 from .licenses import TEMPLATES, oracle as license_oracle, scan_licenses
 from .mixing import mix_sources
+from .negatives import ORACLE as NEGATIVES, hard_negatives, relabelled
+from .passages import ORACLE as PASSAGES, remove_passages
 from .pii import replace_pii
 from .quality import fit_quality, score_quality
+from .spelling import spelling_forms
 from .suffixes import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,9 +85,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, trees).select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Query] = {"op1_licenses": op1_licenses, "op2_suffix_dedup": op2_suffix_dedup, "op3_jaccard": op3_jaccard, "op4_language": op4_language, "op10_quality": op10_quality, "op5_pii": op5_pii, "op6_mixing": op6_mixing, "op7_nearest": op7_nearest, "op8_exact_dedup": op8_exact_dedup, "op9_bpe": op9_bpe}
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_forms(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(relabelled(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
+
+
+def op13_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_passages(table(spark, sf_dir, "documents")).drop("kept")
+
+
+QUERIES: dict[str, Query] = {"op1_licenses": op1_licenses, "op2_suffix_dedup": op2_suffix_dedup, "op3_jaccard": op3_jaccard, "op4_language": op4_language, "op10_quality": op10_quality, "op5_pii": op5_pii, "op6_mixing": op6_mixing, "op7_nearest": op7_nearest, "op8_exact_dedup": op8_exact_dedup, "op9_bpe": op9_bpe, "op11_spelling": op11_spelling, "op12_hard_negatives": op12_hard_negatives, "op13_passages": op13_passages}
 
 ORACLE_SQL: dict[str, str] = {
+    "op12_hard_negatives": NEGATIVES,
+    "op13_passages": PASSAGES,
     "op1_licenses": license_oracle(TEMPLATES),
     "op8_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
