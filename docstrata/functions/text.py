@@ -2,25 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from ..config import RULES
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value made once however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def prefix_sums(values: Column) -> Column:
+    """The running totals of an int array: each round adds to every place the one a stride before it, and the stride
+    doubles, so n values take log2(n) passes."""
+
+    def add(sums: Column, stride: Column) -> Column:
+        moved = F.transform(sums, lambda x, i: x + F.when(i >= stride, F.get(sums, i - stride)).otherwise(0))
+        return F.when(stride < F.size(sums), moved).otherwise(sums)
+
+    return F.aggregate(F.array(*[F.lit(1 << k) for k in range(30)]), values, add)
+
+
 def find_spans(text: Column, pattern: str) -> Column:
     """All non-overlapping matches of pattern, left to right, as array<struct<value, start, end>>; offsets
-    count characters. Offsets follow from the lengths of the matches and of the pieces between them."""
-    pieces = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<value:string,start:int,end:int>>").alias("out"))
-
-    def step(state: Column, pair: Column) -> Column:
-        begin = state["at"] + pair["gap"]
-        end = begin + F.length(pair["value"])
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(pair["value"].alias("value"), begin.alias("start"), end.alias("end")))).alias("out"))
-
-    pairs = F.zip_with(matches, F.slice(pieces, F.lit(1), F.size(matches)), lambda m, g: F.struct(m.alias("value"), g.alias("gap")))
-    return F.when(F.size(matches) > 0, F.aggregate(pairs, start, step, lambda s: s["out"])).otherwise(F.array().cast("array<struct<value:string,start:int,end:int>>"))
+    count characters. Offsets are running totals of the lengths of the matches and of the pieces between them."""
+    none = F.array().cast("array<struct<value:string,start:int,end:int>>")
+
+    def placed(matches: Column) -> Column:
+        steps = F.zip_with(matches, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)), lambda m, gap: F.length(gap) + F.length(m))
+        spans = let(prefix_sums(steps), lambda ends: F.zip_with(matches, ends, lambda m, end: F.struct(m.alias("value"), (end - F.length(m)).alias("start"), end.alias("end"))))
+        return F.when(F.size(matches) > 0, spans).otherwise(none)
+
+    return F.coalesce(let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed), none)
 
 
 def context_window(text: Column, start: Column, end: Column, radius: int = RULES.context_radius) -> Column:

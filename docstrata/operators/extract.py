@@ -31,9 +31,14 @@ def entity_mentions(content: DataFrame, rules: list[tuple[str, str, float]] = EN
 
 
 def suppress_overlaps(spans: DataFrame, taken: DataFrame) -> DataFrame:
-    """Rows of spans (artifact_id, start, end) that overlap no row of taken of the same artifact."""
-    t = taken.select(F.col("artifact_id").alias("_a"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    return spans.join(t, (F.col("artifact_id") == F.col("_a")) & (F.col("start") < F.col("_e")) & (F.col("_s") < F.col("end")), "left_anti")
+    """Rows of spans (artifact_id, start, end) that overlap no row of taken of the same artifact. A sweep: spans stand at
+    their ends among the starts of taken, and one is free if nothing that starts before its end reaches beyond its start."""
+    key = lambda df: F.col("artifact_id").cast("long").alias("_a")
+    own = spans.select(key(spans), F.col("end").cast("long").alias("_at"), F.lit(0).alias("_taken"), F.lit(None).cast("long").alias("_end"), F.struct(*[F.col(f"`{c}`") for c in spans.columns]).alias("_row"))
+    t = taken.where("artifact_id is not null and start is not null").select(key(taken), F.col("start").cast("long").alias("_at"), F.lit(1).alias("_taken"), F.col("end").cast("long").alias("_end"))
+    before = W.partitionBy("_a").orderBy("_at", "_taken").rowsBetween(W.unboundedPreceding, W.currentRow)
+    swept = own.unionByName(t, allowMissingColumns=True).withColumn("_reach", F.max("_end").over(before))
+    return swept.where((F.col("_taken") == 0) & F.coalesce(F.col("_reach") <= F.col("_row.start"), F.lit(True))).select("_row.*")
 
 
 def entities(mentions: DataFrame) -> DataFrame:

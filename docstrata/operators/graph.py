@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import TYPE_CHECKING
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..config import RULES
-from ..functions.text import context_window, find_spans
+
+if TYPE_CHECKING:
+    import ahocorasick
+
+#: Texts that one task reads with an automaton, and keys that one automaton holds.
+TEXTS_OF_PART = 500
+KEYS_OF_PART = 50_000
 
 
 def match_keys(artifacts: DataFrame) -> DataFrame:
@@ -18,43 +28,89 @@ def match_keys(artifacts: DataFrame) -> DataFrame:
     return own.where("owners = 1").drop("owners")
 
 
+def _automaton(keys: list[tuple[str, int, str]]) -> ahocorasick.Automaton:
+    """Goto and failure links over the characters of keys (key, dst, kind)."""
+    import ahocorasick
+
+    made = ahocorasick.Automaton()
+    for key, dst, kind in keys:
+        made.add_word(key, (len(key), dst, kind))
+    made.make_automaton()
+    return made
+
+
+def _lower(text: str) -> str:
+    """text in lower case, of the same length."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def _is_word(c: str) -> bool:
+    return c.isalnum() or c == "_"
+
+
+_HIT = "project_id int, src long, dst long, kind string, start int, end int, evidence string"
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hits of the texts in rows sorted by project and part, keys before texts. At any time one part's
+    keys are held as an automaton; texts stream through it."""
+    at, keys, machine = None, [], None
+    for batch in batches:
+        hits: list[tuple] = []
+        for project, part, key, dst, kind, src, text in zip(*(c.to_pylist() for c in batch.columns)):
+            if (project, part) != at:
+                at, keys, machine = (project, part), [], None
+            if key is not None:
+                keys.append((key, dst, kind))
+                continue
+            if not keys:
+                continue
+            machine = machine or _automaton(keys)
+            low = _lower(text)
+            for last, (size, dst, kind) in machine.iter(low):
+                start, end = last + 1 - size, last + 1
+                if not (start and _is_word(low[start - 1])) and not (end < len(low) and _is_word(low[end])):
+                    hits.append((project, src, dst, kind, start, end, text[max(0, start - RULES.context_radius) : end + RULES.context_radius]))
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string()]
+        columns = zip(*hits) if hits else [()] * len(kinds)
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], ["project_id", "src", "dst", "kind", "start", "end", "evidence"])
+
+
+def _leftmost_longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of hits sorted by text, start and falling end, those that begin where the one taken before has ended."""
+    src, to = None, 0
+    for batch in batches:
+        keep = []
+        for own, start, end in zip(*(batch.column(i).to_pylist() for i in (1, 4, 5))):
+            if own != src:
+                src, to = own, 0
+            keep.append(start >= to)
+            to = end if keep[-1] else to
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
 def reference_scan(content: DataFrame, keys: DataFrame) -> DataFrame:
     """src, dst, kind, confidence, start, evidence: the best mention of each artifact in each text.
 
-    A key is laid out by its length, its first word's length and what precedes that word. Texts look only at
-    words of such lengths and cut out strings of such lengths there; these meet the keys in an equi-join on
-    the whole key, so no text is shuffled. A match must stand between characters that are no word
-    characters; matches go left to right, the longest at a place."""
-    head = F.regexp_extract("key", r"(?U)\w+", 0)
-    known = keys.withColumn("head", F.length(head)).where("head > 0")
-    layout = known.select("head", (F.instr("key", head) - 1).alias("lead"), F.length("key").alias("size"), head.rlike("^[a-z0-9_]+$").alias("plain")).distinct()
-    # as many rows as there are lengths of keys, whatever the number of artifacts
-    layouts = sorted((r["head"], r["lead"], r["size"], r["plain"]) for r in layout.collect())
-    schema = "project_id int, src long, dst long, kind string, confidence double, start int, evidence string"
-    if not layouts:
-        return content.sparkSession.createDataFrame([], schema)
-    # ASCII words are found without Unicode tables, which are slow; what stands around a match is checked below
-    word = []
-    for plain, flags, char in ((True, "", "[a-z0-9_]"), (False, "(?U)", r"\w")):
-        if sizes := sorted({x[0] for x in layouts if x[3] == plain}):
-            word.append((plain, rf"{flags}(?<!{char})(?:" + "|".join(rf"{char}{{{n}}}" for n in sizes) + rf")(?!{char})"))
-    texts = content.where("raw_text is not null").select("project_id", F.col("artifact_id").alias("src"), "raw_text", F.lower("raw_text").alias("low"))
-    marked = lambda plain: lambda t: F.struct(t["value"].alias("value"), t["start"].alias("start"), F.lit(plain).alias("plain"))
-    found = F.concat(*[F.transform(find_spans(F.col("low"), pattern), marked(plain)) for plain, pattern in word])
-    words = texts.select("project_id", "src", "raw_text", "low", F.explode(found).alias("t"))
-    shapes = F.array(*[F.struct(F.lit(h).alias("head"), F.lit(lead).alias("lead"), F.lit(size).alias("size"), F.lit(p).alias("plain")) for h, lead, size, p in layouts])
-    tried = words.withColumn("shape", F.explode(F.filter(shapes, lambda x: (x["head"] == F.length("t.value")) & (x["plain"] == F.col("t.plain")))))
-    tried = tried.withColumn("start", F.col("t.start") - F.col("shape.lead")).withColumn("end", F.col("start") + F.col("shape.size"))
-    outside = lambda at, n: ~F.substring(F.col("low"), at, n).rlike(r"(?U)^\w")
-    free = (F.col("start") >= 0) & (F.col("end") <= F.length("low")) & outside(F.col("start"), F.when(F.col("start") > 0, 1).otherwise(0)) & outside(F.col("end") + 1, F.lit(1))
-    cut = tried.where(free).select("project_id", "src", "start", "end", F.substring(F.col("low"), F.col("start") + 1, F.col("shape.size")).alias("key"), context_window(F.col("raw_text"), F.col("start"), F.col("end")).alias("evidence"))
-    hits = cut.join(known.select("project_id", "key", "dst", "kind").hint("merge"), ["project_id", "key"])
-
-    # left to right without overlaps: a fold over the matches of one text, the longest at each place
-    listed = hits.groupBy("project_id", "src").agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("minus_end"), "dst", "kind", "evidence"))).alias("m"))
-    empty = F.struct(F.lit(0).alias("to"), F.array().cast("array<struct<start:int,minus_end:int,dst:bigint,kind:string,evidence:string>>").alias("out"))
-    kept = F.aggregate("m", empty, lambda s, x: F.when(x["start"] >= s["to"], F.struct((-x["minus_end"]).alias("to"), F.array_append(s["out"], x).alias("out"))).otherwise(s), lambda s: s["out"])
-    taken = listed.select("project_id", "src", F.explode(kept).alias("m")).select("project_id", "src", "m.dst", "m.kind", "m.start", "m.evidence").where("src <> dst")
+    An Aho-Corasick automaton of a project's keys reads each of its texts once. Projects are dealt to parts of
+    TEXTS_OF_PART texts and KEYS_OF_PART keys; a part's rows, keys first, stream through one task, which holds its automaton and one
+    text at a time. A match must stand between characters that are no word characters; matches go left to
+    right, the longest at a place."""
+    texts = content.where("raw_text <> ''").select("project_id", F.col("artifact_id").alias("src"), "raw_text")
+    many = texts.groupBy("project_id").agg(F.ceil(F.count("*") / TEXTS_OF_PART).alias("n_texts"))
+    some = keys.groupBy("project_id").agg(F.ceil(F.count("*") / KEYS_OF_PART).alias("n_keys"))
+    sizes = many.join(some.hint("merge"), "project_id")  # a row for each project that has both
+    rows = lambda k: F.sequence(F.lit(0).cast("long"), F.col(k) - 1)
+    deal = lambda c, k: F.pmod(F.xxhash64(c), F.col(k))
+    part = lambda i, j: F.concat_ws("-", i.cast("string"), j.cast("string")).alias("part")
+    known = keys.select("project_id", "key", "dst", "kind").join(sizes.hint("merge"), "project_id").withColumn("i", F.explode(rows("n_texts")))
+    known = known.select("project_id", part(F.col("i"), deal("key", "n_keys")), "key", "dst", "kind")
+    read = texts.join(sizes.hint("merge"), "project_id").withColumn("j", F.explode(rows("n_keys")))
+    read = read.select("project_id", part(deal("src", "n_texts"), F.col("j")), "src", "raw_text")
+    both = known.unionByName(read, allowMissingColumns=True).repartition("project_id", "part").sortWithinPartitions("project_id", "part", F.col("key").asc_nulls_last())
+    hits = both.mapInArrow(_walk, _HIT).repartition("src").sortWithinPartitions("src", "start", F.desc("end"))
+    taken = hits.mapInArrow(_leftmost_longest, _HIT).where("src <> dst")
     scored = taken.withColumn("confidence", F.when(F.col("kind") == "filename", RULES.filename_confidence).otherwise(RULES.title_confidence))
     best = scored.withColumn("rn", F.row_number().over(W.partitionBy("src", "dst").orderBy(F.desc("confidence"), "start"))).where("rn = 1")
     return best.select("project_id", "src", "dst", "kind", "confidence", "start", "evidence")
