@@ -5,7 +5,9 @@ only. The bound follows from the merge list (see sufficient_lookahead), so token
 before the end of what was read, or with their piece, are final: they are emitted and forgotten.
 The transducers of many pieces step together: each reads one window of its piece, the windows are merged
 in numpy, one merge of each a round, and what is stable is emitted. A window is of fixed size, and
-texts are read block by block, so memory doesn't grow with the length of a text or piece.
+texts are read block by block: a block ends where no piece can cross, before white space or between letters,
+digits and other characters. So beside a row's text and ids, memory grows with the longest piece only, not with
+the text, whatever its language or format.
 Decoding feeds token bytes to an incremental UTF-8 state machine.
 """
 
@@ -29,8 +31,9 @@ UNICODE_SPACE = r"\p{White_Space}"
 #: Characters of a text that are read at once, and those whose pieces step together.
 CHUNK_CHARS = 1 << 16
 STEP_CHARS = 1 << 20
-#: Rows encoded or decoded before they are passed on.
+#: Rows, and bytes of them, encoded or decoded before they are passed on.
 BATCH_ROWS = 1024
+BATCH_BYTES = 1 << 24
 #: Bytes that a window holds besides the lookahead.
 WINDOW_BYTES = 4096
 NONE = 1 << 30
@@ -94,7 +97,7 @@ class Bpe:
                 while at < len(part):
                     end = len(part) if at + reach >= len(part) else _last_cut(part, at, at + reach)
                     if end <= at:
-                        reach *= 2  # no white space so far
+                        reach *= 2  # one piece so far
                         continue
                     yield part[at:end]
                     at, reach = end, CHUNK_CHARS
@@ -260,11 +263,19 @@ def _gather(values: np.ndarray, ends: np.ndarray, which: np.ndarray, groups: np.
     return values[np.repeat(ends[which] - total[:-1], size) + np.arange(total[-1])], total[groups]
 
 
-_CUT = regex.compile(r"(?r)(?<=\P{White_Space}) ")
+#: Between these, a piece always ends: white space after anything else, and another class after letters or digits, or
+#: after other characters but the apostrophe, which may begin a piece such as 's.
+_ENDS = [
+    (r"\P{White_Space}", r"\p{White_Space}"),
+    (r"\p{L}", r"[^\p{L}\p{White_Space}]"),
+    (r"\p{N}", r"[^\p{N}\p{White_Space}]"),
+    (r"[^\p{L}\p{N}\p{White_Space}']", r"[\p{L}\p{N}]"),
+]
+_CUT = regex.compile("(?r)" + "|".join(f"(?<={a})(?={b})" for a, b in _ENDS))
 
 
 def _last_cut(text: str, start: int, end: int) -> int:
-    """The last place in text[start + 1 : end] where a blank follows a non-blank, or -1."""
+    """The last place in text[start + 1 : end] where a piece always ends, or -1."""
     found = _CUT.search(text, start + 1, end)
     return found.start() if found else -1
 
@@ -296,9 +307,15 @@ def load(path: str) -> Bpe:
 
 
 def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most BATCH_ROWS rows and about BATCH_BYTES."""
     for batch in batches:
-        for at in range(0, batch.num_rows, BATCH_ROWS):
-            yield batch.slice(at, BATCH_ROWS)
+        at = 0
+        while at < batch.num_rows:
+            n = min(BATCH_ROWS, batch.num_rows - at)
+            while n > 1 and batch.slice(at, n).nbytes > BATCH_BYTES:
+                n = -(-n // 2)
+            yield batch.slice(at, n)
+            at += n
 
 
 def _encoded(bpe: Bpe, batch: pa.RecordBatch) -> pa.ListArray:

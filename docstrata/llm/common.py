@@ -61,10 +61,11 @@ def uniform(*cols: Column) -> Column:
     return (F.pmod(F.xxhash64(*cols), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
-#: Tables of ids up to this many rows are broadcast; larger ones are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+#: Tables up to this many bytes, as JSON, are broadcast; larger ones are joined by shuffle.
+BROADCAST_BYTES = 16 << 20
 
 
 def sized(small: DataFrame, kind: str = "shuffle_hash") -> DataFrame:
-    """A written table, with the hint to broadcast it if its counted rows allow that."""
-    return F.broadcast(small) if small.count() <= BROADCAST_IDS else small.hint(kind)
+    """A written table, with the hint to broadcast it if its counted bytes allow that."""
+    held = small.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(small) if held <= BROADCAST_BYTES else small.hint(kind)

@@ -25,15 +25,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, discard, partitions
+from .common import cut, discard, partitions, sized
 from .textbatch import CHUNK, mix, text_bytes
 
 #: Contexts in a shard; an anchor with more of them is spread.
 CELL = 1500
 #: Bytes between the places before an anchor from which shared strings are looked for.
 STEP = 50
-#: Key sets up to this size are broadcast; larger ones are joined by shuffle.
-BROADCAST_IDS = 1_000_000
 _U = np.uint64
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -334,7 +332,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, k: int = 100) -> DataFram
     wanted = cut(todo.groupBy("doc_id", "th").agg(F.collect_list(F.struct("pos", "size", "bucket", "salt", "spread")).alias("wanted")))
     ids = wanted.select("doc_id", "th").withColumnsRenamed({"doc_id": "i", "th": "t"})
     same = (F.col("doc_id") == F.col("i")) & (F.col("th") == F.col("t"))
-    holders = named.join(F.broadcast(ids), same, "left_semi") if ids.count() <= BROADCAST_IDS else named
+    holders = named.join(sized(ids), same, "left_semi")
     holders = holders.dropDuplicates(["doc_id", "th"]).join(wanted.hint("shuffle_hash"), ["doc_id", "th"])
     contexts = holders.select("doc_id", "th", F.to_binary("text", F.lit("utf-8")).alias("b"), F.explode("wanted").alias("w"))
     contexts = contexts.select("doc_id", "th", "w.bucket", "w.salt", "w.spread", F.col("w.pos").alias("at"), F.expr("substring(b, cast(w.pos as int) + 1, w.size)").alias("context"))

@@ -1,3 +1,4 @@
+import random
 import sys
 
 import numpy as np
@@ -83,3 +84,18 @@ def test_whole_table_and_odd_texts_together(spark, sf, make_docs, monkeypatch):
     for i, text in rows:
         want = THEIRS.encode(text or "", add_special_tokens=False).ids
         assert got[i].ids == want and got[i].text == THEIRS.decode(want, skip_special_tokens=False)
+
+
+def test_blocks_of_any_text_are_bounded(monkeypatch):
+    """Lines, Chinese, base64 and tables: blocks end where pieces do, and ids are the library's."""
+    coder, known = OURS, THEIRS
+    rng = random.Random(4)
+    mixed = ["".join(rng.choice("ab é'sdt\n\t  12三千，。世界.!-_'’") for _ in range(3000)) for _ in range(20)]
+    texts = [*mixed, "word\n" * 4000, "世界，你好。" * 2000, "QUJDREVG1+/x9" * 3000, "a,b\n1,2\n" * 2000, " \n \n x'll 's" * 900, "世界" * 3000]
+    for size in (300, 1 << 16):
+        monkeypatch.setattr(module, "CHUNK_CHARS", size)
+        for text in texts:
+            assert "".join(coder.blocks(text)) == text
+            assert [i for b in coder.encode(text) for i in np.frombuffer(b, np.int32).tolist()] == known.encode(text, add_special_tokens=False).ids
+    for text in ("word\n" * 100_000, "世界，你好。" * 100_000, "QUJDREVG1+/x9" * 50_000):
+        assert max(map(len, coder.blocks(text))) <= module.CHUNK_CHARS

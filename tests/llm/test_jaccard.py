@@ -57,7 +57,7 @@ def copies(seed, n_base=12, n=220):
 def test_against_brute_force(make_docs, monkeypatch, seed):
     if seed == 3:
         monkeypatch.setattr(jaccard, "BLOCK", 8)
-        monkeypatch.setattr(common, "BROADCAST_IDS", 0)
+        monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
         monkeypatch.setattr(jaccard, "RANGE_GRAMS", 60)  # many ranges, and frequent n-grams that pass them by
     rows = copies(seed) + [(2000, None), (2001, ""), (2002, " \n"), (2003, "A b"), (2004, "a B"), (2005, "x"), (2006, "q r s " * 40_000), (2007, "q r s " * 40_001)]
     got = jaccard_components(make_docs(rows)).collect()

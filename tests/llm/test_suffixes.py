@@ -54,7 +54,7 @@ def test_suffix_array_and_prefixes():
 def test_against_brute_force(make_docs, monkeypatch, cell, seed):
     monkeypatch.setattr(suffixes, "CELL", cell)
     if seed == 2:
-        monkeypatch.setattr(suffixes, "BROADCAST_IDS", 0)
+        monkeypatch.setattr("docstrata.llm.common.BROADCAST_BYTES", 0)
         monkeypatch.setattr(suffixes, "CHUNK", 500)
     rng = random.Random(seed)
     text = lambda n: "".join(rng.choice("abcdefé \n") for _ in range(n))
