@@ -24,6 +24,8 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from .textbatch import small_batches
+
 #: Fixed value: the pattern that splits text before byte-level merges apply.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space as the Unicode property has it; \s of this regex library means more.
@@ -306,18 +308,6 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
-def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of at most BATCH_ROWS rows and about BATCH_BYTES."""
-    for batch in batches:
-        at = 0
-        while at < batch.num_rows:
-            n = min(BATCH_ROWS, batch.num_rows - at)
-            while n > 1 and batch.slice(at, n).nbytes > BATCH_BYTES:
-                n = -(-n // 2)
-            yield batch.slice(at, n)
-            at += n
-
-
 def _encoded(bpe: Bpe, batch: pa.RecordBatch) -> pa.ListArray:
     """The ids of a batch's second column, texts."""
     held, chars, rows, parts, sizes = [], 0, [], [], np.zeros(batch.num_rows, np.int64)
@@ -358,7 +348,7 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer)
-        for batch in _small(batches):
+        for batch in small_batches(batches, BATCH_ROWS, BATCH_BYTES):
             yield pa.RecordBatch.from_arrays([batch.column(0), _encoded(bpe, batch)], ["doc_id", "ids"])
 
     return _texts(docs).mapInArrow(encode, "doc_id long, ids array<int>")
@@ -369,7 +359,7 @@ def decode_documents(encoded: DataFrame, tokenizer: str) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer)
-        for batch in _small(batches):
+        for batch in small_batches(batches, BATCH_ROWS, BATCH_BYTES):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _decoded(bpe, batch.column(1))], ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(decode, "doc_id long, ids array<int>, text string")
@@ -380,7 +370,7 @@ def code_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer)
-        for batch in _small(batches):
+        for batch in small_batches(batches, BATCH_ROWS, BATCH_BYTES):
             lists = _encoded(bpe, batch)
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, _decoded(bpe, lists)], ["doc_id", "ids", "text"])
 

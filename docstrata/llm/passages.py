@@ -7,31 +7,35 @@ a document with a smaller doc_id. Windows aren't hashed at every place:
 2. Places whose number modulo PERIOD lies in COVER get an anchor, a hash of the length - PERIOD + 1 words from
    there. COVER is a difference cover: each difference modulo PERIOD is one of two of its members. So of two equal
    windows, wherever they start, some place less than PERIOD words on has an anchor in both, and it is equal.
-3. Anchors that two documents share are extended: only the windows around them are hashed (128 bits) and meet
-   by an aggregate that keeps the smallest doc_id of each.
+3. Anchors that two documents share are extended: only the windows around them are hashed (96 bits) and meet, to
+   find the smallest doc_id of each.
 4. Windows that start in a smaller document give the words to remove.
 
-Hot windows, those of a passage that very many documents share, are one row of an aggregate that combines before
-its shuffle; going back to their documents is a sort-merge join, whose crowded partitions are split.
+Anchors and windows meet by ranges of their hashes: a task packs those of its documents by range, in numpy arrays, and one
+task sorts each range and answers for the places that it holds. What a slice of documents shares among itself it settles
+itself and sends once, so a passage of very many documents is a row for each slice of them, not for each document.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, discard
+from .common import cut, partitions, release, sized
 from .textbatch import CHUNK, IS_SPACE, mix, small_batches, text_bytes
 
 PERIOD = 7
 COVER = (1, 2, 4)
 assert {(a - b) % PERIOD for a, b in product(COVER, COVER)} == set(range(PERIOD))
 
+#: Bytes of documents whose anchors or windows a task holds at once; a longer text is a slice of its own.
+SLICE_BYTES = 1 << 23
+
 #: A null doc_id counts as larger than all others.
 LAST = (1 << 63) - 1
 _U = np.uint64
@@ -137,34 +141,135 @@ def windows(texts: pa.Array, shared: list[np.ndarray], length: int) -> Iterator[
         yield doc[at], number[at], rolled(h1, length)[at], rolled(h2, length)[at]
 
 
+#: A piece: the keys of one range, their document (a place in ids and ths) and word; or what a slice settled itself.
+_PIECE = "range int, k1 binary, k2 binary, doc binary, at binary, ids binary, ths binary, doc_id long, th long, places array<int>"
+_PLACES = "doc_id long, th long, places array<int>"
+#: Stands for two documents of a slice that have an anchor in common.
+_SEVERAL = np.uint16(65535)
+
+
+def _listed(ids: np.ndarray, ths: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
+    """doc_id, th and the places at of each document in doc (numbers in ids and ths)."""
+    order = np.lexsort((at, doc))
+    doc, at = doc[order], at[order]
+    new = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[new, len(doc)].astype(np.int32)), pa.array(at.astype(np.int32)))
+    return ids[doc[new]], ths[doc[new]], lists
+
+
+def _packed(ids: np.ndarray, ths: np.ndarray, k1: np.ndarray, k2: np.ndarray | None, doc: np.ndarray, at: np.ndarray, own: tuple[np.ndarray, np.ndarray], ranges: int) -> pa.RecordBatch:
+    """The pieces of a slice of documents: keys by range (the first hash modulo ranges), and the places own (doc, at) that
+    are settled, for the ranges below zero that pass them on."""
+    part = (k1 % _U(ranges)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    edges = np.searchsorted(part[order], np.arange(ranges + 1))
+    rows: dict[str, list] = {name: [] for name in ("range", "k1", "k2", "doc", "at", "ids", "ths")}
+    for r in np.flatnonzero(np.diff(edges)).tolist():
+        mine = order[edges[r] : edges[r + 1]]
+        held, number = np.unique(np.minimum(doc[mine], len(ids)), return_inverse=True)
+        number = np.where(doc[mine] == _SEVERAL, _SEVERAL, number).astype(np.uint16)
+        held = held[held < len(ids)]
+        for name, x in (("k1", k1[mine] if k2 is not None else (k1[mine] >> _U(32)).astype(np.uint32)), ("k2", None if k2 is None else k2[mine]), ("doc", number), ("at", at[mine].astype(np.int32)), ("ids", ids[held]), ("ths", ths[held])):
+            rows[name].append(None if x is None else x.tobytes())
+        rows["range"].append(r)
+    doc_ids, doc_ths, lists = _listed(ids, ths, *own)
+    n, m = len(rows["range"]), len(doc_ids)
+    passed = -1 - np.arange(m) % ranges
+    nulls = pa.nulls(m, pa.binary())
+    columns = [pa.array(rows["range"] + passed.tolist(), pa.int32()), *[pa.concat_arrays([pa.array(rows[c], pa.binary()), nulls]) for c in ("k1", "k2", "doc", "at", "ids", "ths")]]
+    columns += [pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(x)]) for x in (doc_ids, doc_ths)] + [pa.concat_arrays([pa.nulls(n, lists.type), lists])]
+    return pa.record_batch(columns, [c.split()[0] for c in _PIECE.split(", ")])
+
+
+def _answer(chosen: Callable[..., np.ndarray], width: type):
+    """The task of one range: chosen(k1, k2, document, its doc_id) says which entries are answered."""
+
+    def run(table: pa.Table) -> pa.Table:
+        if table.num_rows and table.column("range")[0].as_py() < 0:
+            return table.select(["doc_id", "th", "places"])
+        read = lambda name, kind: [np.frombuffer(x.as_py(), kind) for x in table.column(name)] if table.num_rows else [np.zeros(0, kind)]
+        ids, ths, doc = read("ids", np.int64), read("ths", np.int64), read("doc", np.uint16)
+        base = np.cumsum([0, *map(len, ids)])
+        # documents that stand for several get numbers of their own, below zero
+        doc = np.concatenate([np.where(d == _SEVERAL, -1 - i, d + base[i]) for i, d in enumerate(doc)])
+        k1, at, ids, ths = np.concatenate(read("k1", width)), np.concatenate(read("at", np.int32)), np.concatenate(ids), np.concatenate(ths)
+        k2 = np.concatenate(read("k2", np.uint32)) if table.column("k2").null_count == 0 else None
+        hit = chosen(k1, k2, doc, ids)
+        a, b, lists = _listed(ids, ths, doc[hit], at[hit])
+        return pa.table({"doc_id": pa.array(a, pa.int64()), "th": pa.array(b, pa.int64()), "places": lists})
+
+    return run
+
+
+def _shared(k1: np.ndarray, k2: np.ndarray | None, doc: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Entries whose key several documents have."""
+    if not len(k1):
+        return np.zeros(0, np.int64)
+    order = np.argsort(k1, kind="stable")
+    new = np.flatnonzero(np.r_[True, k1[order][1:] != k1[order][:-1]])
+    own = doc[order]
+    several = (np.minimum.reduceat(own, new) != np.maximum.reduceat(own, new)) | (np.minimum.reduceat(own, new) < 0)
+    hit = order[np.repeat(several, np.diff(np.r_[new, len(order)]))]
+    return hit[doc[hit] >= 0]
+
+
+def _after_the_first(k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Entries whose key a document with a smaller doc_id has."""
+    if not len(k1):
+        return np.zeros(0, np.int64)
+    order = np.lexsort((k2, k1))
+    a, b, own = k1[order], k2[order], ids[doc[order]]
+    new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    least = np.repeat(np.minimum.reduceat(own, new), np.diff(np.r_[new, len(order)]))
+    return order[own > least]
+
+
+def _joined(found: Iterator[tuple[np.ndarray, ...]], kinds: tuple) -> list[np.ndarray]:
+    parts_ = list(zip(*found)) or [()] * len(kinds)
+    return [np.concatenate(x).astype(t) if x else np.zeros(0, t) for x, t in zip(parts_, kinds)]
+
+
 def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
-    """doc_id, th, first: word numbers at which a window of docs (doc_id, th, text; texts distinct) starts whose
-    words also start in a document with a smaller doc_id."""
+    """doc_id, th, places: word numbers at which a window of docs (doc_id, th, text; texts distinct) starts whose
+    words also start in a document with a smaller doc_id. A document may have several rows."""
+    ranges = max(1, partitions(docs.sparkSession) // 2)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
-            for doc, number, h in anchors(batch.column(2), length):
-                own = pa.array(doc)
-                yield pa.record_batch([batch.column(0).take(own), batch.column(1).take(own), pa.array(number.astype(np.int32)), pa.array(h.view(np.int64))], ["doc_id", "th", "at", "h"])
-
-    found = cut(docs.mapInArrow(find, "doc_id long, th long, at int, h long"))
-    shared = found.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h")
-    places = cut(found.join(shared.hint("merge"), "h").groupBy("doc_id", "th").agg(F.collect_list("at").alias("places")))
-    discard(found)
+        for batch in small_batches(batches, most=SLICE_BYTES):
+            ids, ths = (batch.column(i).to_numpy() for i in (0, 1))
+            doc, at, h = _joined(anchors(batch.column(2), length), (np.int64, np.int64, _U))
+            order = np.argsort(h, kind="stable")
+            new = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]]) if len(h) else np.zeros(0, np.int64)
+            own = doc[order]
+            several = np.minimum.reduceat(own, new) != np.maximum.reduceat(own, new) if len(h) else np.zeros(0, bool)
+            inside = np.repeat(several, np.diff(np.r_[new, len(h)]))
+            settled, once, alone = order[inside], order[new[several]], order[~inside]
+            sent = np.r_[alone, once]
+            yield _packed(ids, ths, h[sent], None, np.r_[doc[alone], np.full(len(once), int(_SEVERAL))], at[sent], (doc[settled], at[settled]), ranges)
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, most=SLICE_BYTES):
+            ids, ths = (batch.column(i).to_numpy() for i in (0, 1))
             lists = batch.column(3)
             values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            own = [values[a:b].astype(np.int64) for a, b in zip(ends[:-1], ends[1:])]
-            for doc, number, h1, h2 in windows(batch.column(2), own, length):
-                of = pa.array(doc)
-                yield pa.record_batch([batch.column(0).take(of), batch.column(1).take(of), pa.array(number.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], ["doc_id", "th", "first", "h1", "h2"])
-
+            places = [values[a:b].astype(np.int64) for a, b in zip(ends[:-1], ends[1:])]
+            doc, at, k1, k2 = _joined(windows(batch.column(2), places, length), (np.int64, np.int64, _U, _U))
+            k2 = (k2 >> _U(32)).astype(np.uint32)
+            later = _after_the_first(k1, k2, doc, ids)
+            sent = np.ones(len(doc), bool)
+            sent[later] = False
+            yield _packed(ids, ths, k1[sent], k2[sent], doc[sent], at[sent], (doc[later], at[later]), ranges)
+
+    def meet(packed: DataFrame, run) -> DataFrame:
+        return packed.groupBy("range").applyInArrow(run, _PLACES)
+
+    shared = meet(docs.mapInArrow(find, _PIECE), _answer(_shared, np.uint32))
+    places = cut(shared.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("places")).alias("places")))
+    release(docs.sparkSession)
     holders = docs.join(places.hint("shuffle_hash"), ["doc_id", "th"]).select("doc_id", "th", "text", "places")
-    around = cut(holders.mapInArrow(extend, "doc_id long, th long, first int, h1 long, h2 long"))
-    least = around.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    return around.join(least.hint("merge"), ["h1", "h2"]).where("least < doc_id").select("doc_id", "th", "first")
+    found = cut(meet(holders.mapInArrow(extend, _PIECE), _answer(_after_the_first, _U)))
+    release(docs.sparkSession)
+    return found
 
 
 def _kept(text: bytes, gone: np.ndarray) -> tuple[int, int, list[bytes]]:
@@ -206,14 +311,14 @@ def remove_passages(docs: DataFrame, length: int = 13) -> DataFrame:
     # the smallest doc_id of each text; rows of other doc_ids hold nothing that it doesn't hold before them
     copies = base.where(F.octet_length("text") >= 2 * length - 1).groupBy("sha").agg(F.min("id").alias("one"), F.max("id").alias("most"))
     copies = cut(copies.where("one < most").select("sha", "one"))
-    known = base.join(copies.hint("merge"), "sha", "left").withColumn("copy", F.coalesce(F.col("one") < F.col("id"), F.lit(False)))
+    known = base.join(sized(copies), "sha", "left").withColumn("copy", F.coalesce(F.col("one") < F.col("id"), F.lit(False)))
     single = known.where((F.octet_length("text") >= 2 * length - 1) & ~F.col("copy")).select(F.col("id").alias("doc_id"), "th", "text").dropDuplicates(["doc_id", "th"])
-    spans = repeated_windows(single, length).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("first")).alias("firsts"))
+    spans = repeated_windows(single, length).groupBy("doc_id", "th").agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("firsts"))
     spans = cut(spans).withColumnsRenamed({"doc_id": "i", "th": "t"})
     joined = known.join(spans.hint("shuffle_hash"), (F.col("id") == F.col("i")) & (F.col("th") == F.col("t")), "left").select("doc_id", "text", "copy", "firsts")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, most=SLICE_BYTES):
             data, bounds = text_bytes(batch.column(1))
             rows = []
             for a, b, copy, firsts in zip(bounds[:-1].tolist(), bounds[1:].tolist(), batch.column(2).to_pylist(), batch.column(3)):

@@ -42,11 +42,17 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return up[:n], down[:n]
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """The batches in slices: what numpy makes of a slice's words is many times its text."""
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1024, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows, and of about most bytes: what numpy makes of a slice's words is many
+    times its text."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        at = 0
+        while at < batch.num_rows:
+            n = min(rows, batch.num_rows - at)
+            while most and n > 1 and batch.slice(at, n).nbytes > most:
+                n = -(-n // 2)
+            yield batch.slice(at, n)
+            at += n
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
