@@ -33,6 +33,9 @@ PERIOD = 7
 COVER = (1, 2, 4)
 assert {(a - b) % PERIOD for a, b in product(COVER, COVER)} == set(range(PERIOD))
 
+#: Ranges of hashes at least; with many shuffle partitions, half as many as these.
+RANGES = 32
+
 #: Bytes of documents whose anchors or windows a task holds at once; a longer text is a slice of its own.
 SLICE_BYTES = 1 << 23
 
@@ -232,7 +235,7 @@ def _joined(found: Iterator[tuple[np.ndarray, ...]], kinds: tuple) -> list[np.nd
 def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
     """doc_id, th, places: word numbers at which a window of docs (doc_id, th, text; texts distinct) starts whose
     words also start in a document with a smaller doc_id. A document may have several rows."""
-    ranges = max(1, partitions(docs.sparkSession) // 2)
+    ranges = max(RANGES, partitions(docs.sparkSession) // 2)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, most=SLICE_BYTES):
