@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from ..config import RULES
+from .text import let
 
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
+#: Month names and their abbreviations; a dot may follow these.
+MONTH = rf"(?:{MONTHS}|(?:Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sept?|Oct|Nov|Dec)\.?)"
 RELATIVE = r"(?i)\b(?:yesterday|today|tomorrow|(?:last|next|past|coming|upcoming|this) (?:week|month|year)|\d+ (?:days?|weeks?|months?|years?) ago)\b"
-EXPLICIT = rf"\b\d{{4}}-\d{{2}}-\d{{2}}\b|\b(?:{MONTHS}) \d{{1,2}}, \d{{4}}\b|\b\d{{1,2}} (?:{MONTHS}) \d{{4}}\b|\b(?:{MONTHS}) \d{{1,2}}\b|\b(?:{MONTHS}) \d{{4}}\b"
-#: Dates in text: explicit phrases, relative phrases, bare years.
-DATE_PHRASE = rf"{EXPLICIT}|{RELATIVE}|\b(?:19|20)\d{{2}}\b"
+EXPLICIT = rf"\b\d{{4}}-\d{{2}}-\d{{2}}\b|\b{MONTH} \d{{1,2}}, \d{{4}}\b|\b\d{{1,2}} {MONTH} \d{{4}}\b|\b{MONTH} \d{{1,2}}\b|\b{MONTH},? \d{{4}}\b|\b\d{{1,2}} (?:{MONTHS})\b"
+#: A word that dates vaguely: it tells nothing alone, and what follows it counts as relative.
+VAGUE = r"(?i:\brecent(?:ly)?\b)"
+#: Dates in text, or parts of them: explicit phrases, vague words, relative phrases, bare years.
+DATE_PHRASE = rf"{EXPLICIT}|{VAGUE}|\b(?:19|20)\d{{2}}\b|{RELATIVE}"
+#: What may stand between the parts of one date: March 12, 2024.
+DATE_GAP = r"^[,\s]{0,3}$"
 
 
 def meta_timestamp(value: Column) -> Column:
@@ -33,10 +40,19 @@ def meta_kind(key: Column) -> Column:
 
 def resolve_phrase(phrase: Column, anchor: Column) -> Column:
     """struct<ts, confidence, relative> of a date phrase. Relative ones count from the anchor; a month and
-    day without a year is the last such day before it. Years outside the plausible range give null."""
-    low = F.lower(phrase)
-    fmt = lambda f: F.try_to_timestamp(phrase, F.lit(f))
-    day_month = F.coalesce(*[F.try_to_timestamp(F.concat(phrase, F.lit(" "), F.year(anchor).cast("string")), F.lit(f)) for f in ("MMMM d yyyy",)])
+    day without a year is the last such day before it. Commas, the number of blanks, dots of abbreviations and leading
+    vague words don't matter; these make a phrase relative. Years outside the plausible range give null, as do
+    phrases that are several dates."""
+    flat = F.trim(F.regexp_replace(F.regexp_replace(phrase, r"(?<=\p{L})\.|,", " "), r"\s+", " "))
+    stripped = F.regexp_replace(F.regexp_replace(flat, "^(?:" + VAGUE + " )+", ""), r"\bSept\b", "Sep")
+    parts = F.struct(stripped.alias("body"), F.lower(stripped).alias("low"), flat.rlike("^" + VAGUE + " ").alias("vague"))
+    return let(parts, lambda p: _resolved(p["body"], p["low"], p["vague"], anchor))
+
+
+def _resolved(body: Column, low: Column, vague: Column, anchor: Column) -> Column:
+    fmt = lambda f, text=body: F.coalesce(F.try_to_timestamp(text, F.lit(f)), F.try_to_timestamp(text, F.lit(f.replace("MMMM", "MMM"))))
+    dated = F.concat(body, F.lit(" "), F.year(anchor).cast("string"))
+    day_month = F.coalesce(fmt("MMMM d yyyy", dated), fmt("d MMMM yyyy", dated))
     recent = F.when(day_month > anchor, day_month - F.expr("interval 1 year")).otherwise(day_month)
     n = F.regexp_extract(low, r"^(\d+) ", 1).try_cast("int")
     unit = F.regexp_extract(low, r"(day|week|month|year)", 1)
@@ -45,14 +61,14 @@ def resolve_phrase(phrase: Column, anchor: Column) -> Column:
     days = F.when(unit == "week", count * 7).when(unit.isin("month", "year"), 0).otherwise(count)
     months = F.when(unit == "month", count).when(unit == "year", count * 12).otherwise(0)
     moved = anchor + F.make_interval(months=months, days=days)
-    relative = phrase.rlike("^(?:" + RELATIVE + ")$")
-    year = phrase.rlike(r"^\d{4}$")
-    bare = F.try_make_timestamp(phrase.try_cast("int"), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
-    explicit = F.coalesce(fmt("yyyy-MM-dd"), fmt("MMMM d, yyyy"), fmt("d MMMM yyyy"), fmt("MMMM yyyy"), recent)
+    relative = body.rlike("^(?:" + RELATIVE + ")$")
+    year = body.rlike(r"^\d{4}$")
+    bare = F.try_make_timestamp(body.try_cast("int"), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+    explicit = F.coalesce(fmt("yyyy-MM-dd"), fmt("MMMM d yyyy"), fmt("d MMMM yyyy"), fmt("MMMM yyyy"), recent)
     ts = F.when(year, bare).when(relative, moved).otherwise(explicit)
     ts = F.when(F.year(ts).between(RULES.least_year, RULES.most_year), ts)
-    confidence = F.when(year, RULES.content_year_confidence).when(relative, RULES.content_relative_confidence).otherwise(RULES.content_explicit_confidence)
-    return F.struct(ts.alias("ts"), confidence.alias("confidence"), F.coalesce(relative & ~year, F.lit(False)).alias("relative"))
+    confidence = F.when(year & ~vague, RULES.content_year_confidence).when(relative | vague, RULES.content_relative_confidence).otherwise(RULES.content_explicit_confidence)
+    return F.struct(ts.alias("ts"), confidence.alias("confidence"), F.coalesce((relative | vague) & ~year, F.lit(False)).alias("relative"))
 
 
 def recency_decay(day: Column, latest: Column, window: int = RULES.recency_window_days) -> Column:

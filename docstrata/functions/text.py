@@ -38,6 +38,24 @@ def find_spans(text: Column, pattern: str) -> Column:
     return F.coalesce(let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed), none)
 
 
+def merge_adjacent(text: Column, spans: Column, gap: str) -> Column:
+    """spans of text, those between which gap matches all there is joined to one; gap is a whole pattern."""
+
+    def merged(found: Column) -> Column:
+        between = lambda i: F.substring(text, F.get(found, i - 1)["end"] + 1, F.get(found, i)["start"] - F.get(found, i - 1)["end"])
+        firsts = F.filter(F.sequence(F.lit(0), F.size(found) - 1), lambda i: (i == 0) | ~F.rlike(between(i), F.lit(gap)))
+
+        def islands(at: Column) -> Column:
+            start = lambda i: F.get(found, i)["start"]
+            end = lambda k: F.get(found, F.coalesce(F.get(at, k + 1), F.size(found)) - 1)["end"]
+            one = lambda i, k: F.struct(F.substring(text, start(i) + 1, end(k) - start(i)).alias("value"), start(i).alias("start"), end(k).alias("end"))
+            return F.transform(at, one)
+
+        return F.when(F.size(found) > 1, let(firsts, islands)).otherwise(found)
+
+    return let(spans, merged)
+
+
 def context_window(text: Column, start: Column, end: Column, radius: int = RULES.context_radius) -> Column:
     """The text from radius characters before start to radius after end."""
     lo = F.greatest(start - radius, F.lit(0))

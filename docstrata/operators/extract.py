@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..config import RULES
-from ..functions.dates import DATE_PHRASE, meta_kind, meta_timestamp, resolve_phrase
-from ..functions.text import context_window, find_spans, normalize_value
+from ..functions.dates import DATE_GAP, DATE_PHRASE, meta_kind, meta_timestamp, resolve_phrase
+from ..functions.text import context_window, find_spans, merge_adjacent, normalize_value
 from ..functions.vocabulary import ENTITY_RULES, MODEL_LABELS
 
 
@@ -93,9 +93,9 @@ def date_anchor(candidates: DataFrame) -> DataFrame:
 
 
 def content_dates(content: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Candidates from date phrases in the text; phrases that can't be resolved are left out. anchor is the date
-    that a relative phrase counts from."""
-    rows = content.where(F.col("raw_text") != "").select("artifact_id", "project_id", F.explode(find_spans(F.col("raw_text"), DATE_PHRASE)).alias("s"))
+    """Candidates from date phrases in the text, parts of one date joined; phrases that can't be resolved are left
+    out. anchor is the date that a relative phrase counts from."""
+    rows = content.where(F.col("raw_text") != "").select("artifact_id", "project_id", F.explode(merge_adjacent(F.col("raw_text"), find_spans(F.col("raw_text"), DATE_PHRASE), DATE_GAP)).alias("s"))
     rows = rows.join(anchors.select("artifact_id", F.col("ts").alias("anchor")).hint("merge"), "artifact_id", "left")
     rows = rows.withColumn("r", resolve_phrase(F.col("s.value"), F.col("anchor"))).where("r.ts is not null")
     return rows.select("artifact_id", "project_id", F.col("r.ts").alias("ts"), F.lit("content").alias("source"), F.col("r.confidence").alias("confidence"), F.col("s.value").alias("evidence"), (F.col("s.start") + 1000).cast("long").alias("ordinal"), F.when(F.col("r.relative"), F.col("anchor")).alias("anchor"))

@@ -8,6 +8,7 @@ from ..config import RULES
 from ..functions.text import signal_line
 from ..functions.vocabulary import PHASES
 from ..joins import sized
+from .serve import page
 
 
 def phase_templates(spark: SparkSession) -> DataFrame:
@@ -68,3 +69,10 @@ def batches(items: DataFrame, size: int, keys: tuple[str, ...] = ("project_id",)
     """items with batch and batch_index: consecutive slices of size rows of each key."""
     at = F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1
     return items.withColumn("batch", F.floor(at / size).cast("int")).withColumn("batch_index", (at % size).cast("int"))
+
+
+def assignments_page(assignments: DataFrame, phases: DataFrame, names: DataFrame, limit: int, offset: int) -> DataFrame:
+    """project_id, artifact_id, name, phase_name, confidence, source: a page of assignments, the surest first."""
+    rows = assignments.join(sized(phases.select("phase_id", "phase_name").distinct()), "phase_id")
+    cut = page(rows, [F.desc("confidence"), "artifact_id", "phase_name"], limit, offset)
+    return cut.join(names.hint("merge"), "artifact_id").select("project_id", "artifact_id", "name", "phase_name", "confidence", "source")

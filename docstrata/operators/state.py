@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -25,6 +27,30 @@ def fingerprint(rows: DataFrame, keys: list[str], line: Column, version: str = "
     return blocks.groupBy(*keys).agg(F.sha2(F.concat_ws("\n", F.lit(version), F.array_join(joined, "\n")), 256).alias("fingerprint"))
 
 
+_LANES = 8
+
+
+def multiset(rows: DataFrame, keys: list[str], line: Column, sign: int = 1) -> DataFrame:
+    """keys, n, lanes: how many lines a key has, and the sums of their SHA-256 in eight lanes of 32 bits. Sums of parts
+    add up to the sum of the whole, in any order; sign -1 takes lines away."""
+    lined = rows.withColumn("_h", F.sha2(line, 256)).where("_h is not null")
+    lane = lambda i: F.sum(F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("long") * sign)
+    return lined.groupBy(*keys).agg((F.count("*") * sign).alias("n"), F.array(*[lane(i) for i in range(_LANES)]).alias("lanes"))
+
+
+def merged_multisets(parts: list[DataFrame], keys: list[str]) -> DataFrame:
+    """The multiset of all parts: that of a table and of what changed since, without reading the table's rows. Keys that
+    have no line left are gone."""
+    every = reduce(DataFrame.unionByName, parts)
+    summed = every.groupBy(*keys).agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("lanes")[i]) for i in range(_LANES)]).alias("lanes"))
+    return summed.where("n <> 0")
+
+
+def multiset_fingerprint(held: DataFrame, keys: list[str], version: str = "v1") -> DataFrame:
+    """A SHA-256 of each key's multiset."""
+    return held.select(*keys, F.sha2(F.concat_ws("|", F.lit(version), F.col("n").cast("string"), F.array_join(F.col("lanes").cast("array<string>"), "|")), 256).alias("fingerprint"))
+
+
 def up_to_date(artifacts: DataFrame, ledger: DataFrame, stage: str) -> DataFrame:
     """project_id, up_to_date: whether every artifact is done at its expected input_hash."""
     done = ledger.where((F.col("stage") == stage) & (F.col("status") == "done")).select("artifact_id", F.col("input_hash").alias("_h"))
@@ -55,14 +81,25 @@ def processing_note(ledger: DataFrame) -> DataFrame:
     return bad.groupBy("artifact_id").agg(F.min_by("message", F.struct("status", "stage")).alias("note"), F.min("status").alias("status"))
 
 
-def apply_feedback(automatic: DataFrame, feedback: DataFrame, key: list[str], value: str) -> DataFrame:
+def apply_feedback(automatic: DataFrame, feedback: DataFrame, key: list[str], value: str, known_only: bool = False) -> DataFrame:
     """Rows of automatic with the latest feedback (key, value, at) in place of their value; source says
-    whose it is. Feedback on keys that automatic lacks is kept too."""
+    whose it is. Feedback on keys that automatic lacks is kept too, unless known_only."""
     last = feedback.groupBy(*key).agg(F.max_by(value, "at").alias("_human"))
-    joined = automatic.join(last, key, "full_outer")
+    joined = automatic.join(last, key, "left" if known_only else "full_outer")
     return joined.select(*key, F.coalesce("_human", value).alias(value), F.when(F.col("_human").isNotNull(), "human").otherwise("auto").alias("source"))
 
 
+def apply_domain_feedback(classification: DataFrame, feedback: DataFrame, domains: DataFrame) -> DataFrame:
+    """classification (project_id, domain, confidence, confirmed) after the latest feedback (project_id, domain, at): each
+    confirms; one that names a domain of domains (domain) also sets it. Feedback that names another, or of a project
+    that isn't classified, is refused."""
+    valid = domains.select(F.col("domain").alias("_d")).distinct()
+    given = feedback.join(valid.hint("merge"), F.col("domain") == F.col("_d"), "left").where("domain is null or _d is not null")
+    last = given.groupBy("project_id").agg(F.max("at").alias("_at"), F.max_by("_d", F.when(F.col("_d").isNotNull(), F.col("at"))).alias("_set"))
+    joined = classification.join(last.hint("merge"), "project_id", "left")
+    return joined.select("project_id", F.coalesce("_set", "domain").alias("domain"), "confidence", (F.col("confirmed") | F.col("_at").isNotNull()).alias("confirmed"))
+
+
 def audit(df: DataFrame, decision: str, target: Column, new_value: Column, rationale: Column, actor: str = "system") -> DataFrame:
     """One ledger row per decision."""
     return df.select(F.lit(decision).alias("decision_type"), target.cast("string").alias("target_id"), new_value.cast("string").alias("new_value"), F.lit(actor).alias("actor"), rationale.alias("rationale"))

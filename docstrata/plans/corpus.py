@@ -60,7 +60,7 @@ feedback AS (
   SELECT artifact_id, project_id, 'current' AS label, CAST(DATE '2024-01-01' AS TIMESTAMP) AS given_at FROM artifacts WHERE k % 10 = 3
   UNION ALL SELECT artifact_id, project_id, 'superseded', CAST(DATE '2024-02-01' AS TIMESTAMP) FROM artifacts WHERE k % 20 = 3),
 snapshots AS (
-  SELECT artifact_id AS snapshot_id, project_id, concat('summary ', CAST(k AS STRING)) AS summary, CAST(DATE '2024-01-01' + CAST(k * 3 % 50 AS INT) AS TIMESTAMP) AS computed_at FROM artifacts),
+  SELECT artifact_id AS snapshot_id, project_id, concat('summary ', CAST(k AS STRING)) AS summary, CAST(DATE '2024-01-01' + CAST(k * 3 % 50 AS INT) AS TIMESTAMP) AS computed_at FROM artifacts WHERE project_id % 5 <> 4),
 versions AS (
   SELECT artifact_id, project_id, v AS version, artifact_id * 10 + v AS version_id, CASE WHEN k % 5 = 0 THEN '' ELSE concat('name-', CAST(artifact_id AS STRING), '-v', CAST(v AS STRING), '.txt') END AS suggested_name, 'Analysis' AS category
   FROM artifacts JOIN (SELECT * FROM (VALUES (1), (2), (3)) AS x(v)) AS n ON v <= 1 + k % 3),
@@ -69,16 +69,21 @@ old_gaps AS (
 """
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder and read again. A session on one machine that names no
-    folder gets a temporary one; on a cluster that is an error."""
-    sc = df.sparkSession.sparkContext
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared checkpoint folder. A session on one machine that names no folder gets a temporary
+    one; on a cluster that is an error."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-    path = f"{sc.getCheckpointDir()}/derived-{uuid.uuid4().hex}"
+    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder and read again."""
+    path = shared_path(df.sparkSession, "derived")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

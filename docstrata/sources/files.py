@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import codecs
 import csv
 import io
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import file_type
@@ -14,6 +17,9 @@ from ..functions.text import file_type
 #: What every handler returns, besides the path: text, structure, metadata and tables as JSON-like columns.
 RECORD = "path string, status string, raw_text string, headings array<string>, metadata map<string,string>, tables array<struct<source:string, columns:array<string>, rows:array<map<string,string>>>>, parser string, error string"
 ERROR_CHARS = 2000
+#: Bytes decoded and records passed on at a time.
+CSV_BYTES = 1 << 20
+CSV_ROWS = 4096
 
 
 def discover(spark: SparkSession, root: str) -> DataFrame:
@@ -46,21 +52,59 @@ def unique_names(header: list[str]) -> list[str]:
     return out
 
 
-def parse_csv(content: bytes, path: str) -> dict:
-    """All cells as text; UTF-8, else Latin-1; rows with more cells than the header are left out."""
+def csv_lines(content: bytes) -> Iterator[list[str]]:
+    """The records of a CSV file, decoded as they are read: UTF-8, and Latin-1 if that fails anywhere."""
     try:
-        text = content.decode("utf-8")
+        decoder = codecs.getincrementaldecoder("utf-8")()
+        for at in range(0, len(content), CSV_BYTES):
+            decoder.decode(content[at : at + CSV_BYTES], at + CSV_BYTES >= len(content))
+        encoding = "utf-8"
     except UnicodeDecodeError:
-        text = content.decode("latin-1")
-    rows = list(csv.reader(io.StringIO(text)))
-    columns = unique_names(rows[0]) if rows else []
-    records = [dict(zip(columns, r + [""] * (len(columns) - len(r)))) for r in rows[1:] if len(r) <= len(columns)]
+        encoding = "latin-1"
+    yield from csv.reader(io.TextIOWrapper(io.BytesIO(content), encoding, newline=""))
+
+
+def parse_csv(content: bytes, path: str) -> dict:
+    """All cells as text; rows with more cells than the header are left out. For tables of any size use csv_rows, which
+    gives rows instead of one record for the file."""
+    lines = csv_lines(content)
+    columns = unique_names(next(lines, []))
+    records = [dict(zip(columns, r + [""] * (len(columns) - len(r)))) for r in lines if len(r) <= len(columns)]
     name = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
     body = [" | ".join(r.values()) for r in records if any(v.strip() for v in r.values())][:50]
     lines = [path.rsplit("/", 1)[-1], "", f"Sheet: {name}", "Columns: " + ", ".join(columns), *body]
     return {"raw_text": "\n".join(lines)[:20_000] if columns else None, "headings": [], "metadata": {}, "tables": [{"source": name, "columns": columns, "rows": records}] if columns else []}
 
 
+def csv_rows(files: DataFrame) -> DataFrame:
+    """path, row_no (from 1), columns, cells of the records of files (path, content), CSV with a header: cells as text, as
+    many as there are columns; rows with more cells are left out, an empty file has none. Records leave the
+    worker CSV_ROWS at a time, so besides the file's bytes its memory doesn't grow with the file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0), batch.column(1)):
+                lines = csv_lines(content.as_py() or b"")
+                columns, number = unique_names(next(lines, [])), 0
+                while rows := list(islice(lines, CSV_ROWS)):
+                    numbers = [n for n, r in enumerate(rows, number + 1) if len(r) <= len(columns)]
+                    cells = [r + [""] * (len(columns) - len(r)) for r in rows if len(r) <= len(columns)]
+                    number += len(rows)
+                    n, texts = len(cells), pa.list_(pa.string())
+                    yield pa.record_batch([pa.array([path.as_py()] * n, pa.string()), pa.array(numbers, pa.int64()), pa.array([columns] * n, texts), pa.array(cells, texts)], ["path", "row_no", "columns", "cells"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, row_no long, columns array<string>, cells array<string>")
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """One large CSV file as a table of text columns, which Spark splits among its tasks: records end at line ends.
+    Columns are named as csv_rows names them."""
+    head = spark.read.text(path).limit(1).collect()
+    names = unique_names(next(csv.reader([head[0].value]), [])) if head else []
+    table = spark.read.option("header", True).option("enforceSchema", True)
+    return table.schema(", ".join(f"`{n}` string" for n in names)).csv(path) if names else spark.createDataFrame([], "path string")
+
+
 HANDLERS: dict[str, Callable[[bytes, str], dict]] = {"txt": parse_text, "md": parse_text, "markdown": parse_text, "csv": parse_csv}
 
 

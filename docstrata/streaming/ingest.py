@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import file_type
@@ -19,20 +19,14 @@ def stream_files(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("path", "content", F.col("modificationTime").alias("fs_modified"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("content_hash"), name.alias("original_filename"), file_type(name).alias("file_type"))
 
 
-def stream_ingest(files: DataFrame, target: str, checkpoint: str, project_id: int = 0) -> StreamingQuery:
-    """Appends each content of files once to the Parquet table at target: a micro-batch keeps one row of each
-    hash and leaves out those that the table has. A batch that is run again writes to its own folder."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = batch.withColumn("project_id", F.lit(project_id)).groupBy("project_id", "content_hash").agg(F.max(F.struct("path", "original_filename", "file_type", "size_bytes", "fs_modified", "content")).alias("r")).select("project_id", "content_hash", "r.*")
-        path = spark._jvm.org.apache.hadoop.fs.Path(target)
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            known = spark.read.parquet(target).where(F.col("batch") != batch_id).select("project_id", "content_hash")
-            new = new.join(known, ["project_id", "content_hash"], "left_anti")
-        new.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
-
-    return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def stream_ingest(files: DataFrame, target: str, checkpoint: str, project_id: int | Column = 0) -> StreamingQuery:
+    """Appends each content of files once, under one of its paths, to the Parquet table at target. The project and hash of what
+    was seen are keyed state, kept by RocksDB: a micro-batch reads the state of its own keys, never the target,
+    so what it costs doesn't grow with what was ingested before."""
+    files.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    once = files.withColumn("project_id", project_id if isinstance(project_id, Column) else F.lit(project_id)).dropDuplicates(["project_id", "content_hash"])
+    rows = once.select("project_id", "content_hash", "path", "original_filename", "file_type", "size_bytes", "fs_modified", "content")
+    return rows.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
 def stream_events(files: DataFrame, target: str, checkpoint: str, project_id: int = 0) -> StreamingQuery:

@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from docstrata.functions import text as T
-from docstrata.operators import cluster, direction, gaps, graph
+from docstrata.operators import cluster, direction, extract, gaps, graph
 from docstrata.plans.corpus import written
 from docstrata.sources.files import discover, parse_documents
 from docstrata.streaming.ingest import placements, stream_events, stream_files, stream_ingest, stream_placements, stream_timeline
@@ -147,5 +147,88 @@ def test_joins_are_broadcast_up_to_a_counted_size(spark, monkeypatch):
 
     plan = lambda: spark.range(9).join(joins.sized(spark.range(5)), "id")._jdf.queryExecution().toString()
     assert "strategy=broadcast" in plan()
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", 4)
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 20)
     assert "strategy=merge" in plan() and "strategy=broadcast" not in plan()
+
+
+def test_content_dates_are_joined_and_resolved(spark):
+    """Parts of one date with commas or blanks between, abbreviations, vague words; lists of dates are no date."""
+    cases = {
+        "our 5 March, 2023 plan": ("2023-03-05", 0.85), "on March 12\n2024.": ("2024-03-12", 0.85), "Mar. 3, 2022 it was": ("2022-03-03", 0.85), "by 7 Sept 2021": ("2021-09-07", 0.85),
+        "in March, 2020": ("2020-03-01", 0.85), "12 April ran": ("2024-04-12", 0.85), "recently, March 5, 2023": ("2023-03-05", 0.6), "recently we": None, "2023-01-02, 2023-02-03": None,
+        "in 1999": ("1999-01-01", 0.45), "last week": ("2024-04-24", 0.6), "3 days ago": ("2024-04-28", 0.6), "year 3021": None, "May 40, 2020": None, "": None,
+    }
+    content = spark.createDataFrame([(i, 1, t) for i, t in enumerate(cases)] + [(99, 1, None)], "artifact_id long, project_id int, raw_text string")
+    anchors = content.select("artifact_id", F.lit("2024-05-01").cast("timestamp").alias("ts"))
+    got = {r.artifact_id: (r.ts.date().isoformat(), r.confidence) for r in extract.content_dates(content, anchors).collect()}
+    assert {t: got.get(i) for i, t in enumerate(cases)} == cases
+
+
+def test_overlaps_by_a_sweep(spark):
+    import random
+
+    rng = random.Random(2)
+    span = lambda: (rng.randrange(4), *(lambda s: (s, s + rng.randrange(6)))(rng.randrange(60)))
+    a, b = [(*span(), i) for i in range(200)] + [(None, 1, 2, 900), (9, 5, 8, 901)], [span() for _ in range(30)] + [(None, 1, 2)]
+    got = extract.suppress_overlaps(spark.createDataFrame(a, "artifact_id long, start long, end long, k int"), spark.createDataFrame(b, "artifact_id long, start long, end long"))
+    want = {k for i, s, e, k in a if i is None or not any(i == j and s < f and t < e for j, t, f in b)}
+    assert {r.k for r in got.collect()} == want and 0 < len(want) < 202
+    many = spark.range(100_000).select(F.lit(1).cast("long").alias("artifact_id"), (F.col("id") * 3).alias("start"), (F.col("id") * 3 + 2).alias("end"))
+    assert extract.suppress_overlaps(many, many.where("start % 2 = 0")).count() == 50_000
+
+
+def test_many_matches_in_one_text(spark):
+    text = "Run 12 é " * 40_000
+    spans = spark.createDataFrame([(text,), (None,), ("",)], "t string").select(F.explode(T.find_spans(F.col("t"), r"Run \d+")).alias("s"))
+    assert tuple(spans.agg(F.count("*"), F.sum("s.start"), F.max("s.end")).first()) == (40_000, sum(9 * i for i in range(40_000)), 9 * 39_999 + 6)
+
+
+def test_references_of_many_shapes(spark):
+    """Thousands of titles of any shape, parts of a project, longest match first."""
+    titles = [f"{'x' * (i % 50 + 1)} {'-' * (i % 7)}plan {i}" for i in range(3000)]
+    rows = [(i, 1, f"file {i} name", "", [t]) for i, t in enumerate(titles)] + [(10_000 + i, 1, f"text {i} here", f"see {titles[i]}! {titles[i]}0 and file {i} name2, File {i} Name", []) for i in range(0, 3000, 100)]
+    df = spark.createDataFrame(rows, "artifact_id long, project_id int, original_filename string, raw_text string, labels array<string>")
+    try:
+        graph.TEXTS_OF_PART, graph.KEYS_OF_PART = 10, 700
+        found = graph.reference_scan(df.select("artifact_id", "project_id", "raw_text"), graph.match_keys(df)).collect()
+    finally:
+        graph.TEXTS_OF_PART, graph.KEYS_OF_PART = 500, 50_000
+    want = {(10_000 + i, i) for i in range(0, 3000, 100)}
+    # a title with another digit behind it is another title, if there is one
+    more = {(10_000 + i, titles.index(titles[i] + "0")) for i in range(0, 3000, 100) if titles[i] + "0" in titles}
+    assert {(r.src, r.dst) for r in found} == want | more and {r.confidence for r in found} == {0.9} | ({0.75} if more else set())
+
+
+def test_multisets_follow_changes(spark):
+    from docstrata.operators import state
+
+    df = lambda rows: spark.createDataFrame(rows, "project_id int, line string")
+    old, gone, new = [(1, "a"), (1, "a"), (1, "b"), (2, "c")], [(1, "a"), (2, "c")], [(1, "z"), (3, "y")]
+    held = state.multiset(df(old), ["project_id"], F.col("line"))
+    changed = state.merged_multisets([held, state.multiset(df(gone), ["project_id"], F.col("line"), -1), state.multiset(df(new), ["project_id"], F.col("line"))], ["project_id"])
+    whole = state.multiset(df([(1, "z"), (1, "b"), (1, "a"), (3, "y")]), ["project_id"], F.col("line"))
+    prints = lambda m: sorted(tuple(r) for r in state.multiset_fingerprint(m, ["project_id"]).collect())
+    assert prints(changed) == prints(whole) != prints(held)
+
+
+def test_domain_feedback(spark):
+    from docstrata.operators import state
+
+    known = spark.createDataFrame([(1, "research", 0.9, False), (2, "generic", 0.0, False), (3, "research", 0.8, False), (4, "research", 0.7, False)], "project_id int, domain string, confidence double, confirmed boolean")
+    given = [(1, None, day("2024-01-02")), (2, "engineering", day("2024-01-01")), (2, "research", day("2024-01-03")), (2, None, day("2024-01-04")), (3, "cooking", day("2024-01-01")), (9, "research", day("2024-01-01"))]
+    out = state.apply_domain_feedback(known, spark.createDataFrame(given, "project_id int, domain string, at timestamp"), spark.createDataFrame([("research",), ("engineering",)], "domain string"))
+    assert sorted((r.project_id, r.domain, r.confirmed) for r in out.collect()) == [(1, "research", True), (2, "research", True), (3, "research", False), (4, "research", False)]
+
+
+def test_large_csv_files_in_pieces(spark, tmp_path, monkeypatch):
+    from docstrata.sources import files
+
+    body = "a,b,a\n" + "".join(f'{i},"x\n{i}",é\n' for i in range(20_000)) + "1,2,3,4\nlast\n"
+    given = [("utf8.csv", body.encode()), ("latin.csv", body.encode("latin-1")), ("empty.csv", b""), ("head.csv", b"a,b"), ("none.csv", None)]
+    got = files.csv_rows(spark.createDataFrame(given, "path string, content binary")).collect()
+    for name in ("utf8.csv", "latin.csv"):
+        own = sorted((r.row_no, tuple(r.cells)) for r in got if r.path == name)
+        assert own[5] == (6, ("5", "x\n5", "é")) and len(own) == 20_001 and own[-1] == (20_002, ("last", "", ""))
+    assert {r.path for r in got} == {"utf8.csv", "latin.csv"} and got[0].columns == ["a", "b", "a_1"]
+    (tmp_path / "one.csv").write_text("n,n,\n1,2,3\n")
+    assert files.read_csv(spark, str(tmp_path / "one.csv")).first().asDict() == {"n": "1", "n_1": "2", "col_2": "3"}
