@@ -315,7 +315,10 @@ def remove_passages(docs: DataFrame, length: int = 13) -> DataFrame:
     copies = base.where(F.octet_length("text") >= 2 * length - 1).groupBy("sha").agg(F.min("id").alias("one"), F.max("id").alias("most"))
     copies = cut(copies.where("one < most").select("sha", "one"))
     known = base.join(sized(copies), "sha", "left").withColumn("copy", F.coalesce(F.col("one") < F.col("id"), F.lit(False)))
-    single = known.where((F.octet_length("text") >= 2 * length - 1) & ~F.col("copy")).select(F.col("id").alias("doc_id"), "th", "text").dropDuplicates(["doc_id", "th"])
+    single = known.where((F.octet_length("text") >= 2 * length - 1) & ~F.col("copy")).select(F.col("id").alias("doc_id"), "th", "text")
+    # rows that repeat id and text are looked for by their hashes: only if there are some, texts are shuffled to drop them
+    if not base.groupBy("id", "th").count().where("count > 1").isEmpty():
+        single = single.dropDuplicates(["doc_id", "th"])
     spans = repeated_windows(single, length).groupBy("doc_id", "th").agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("firsts"))
     spans = cut(spans).withColumnsRenamed({"doc_id": "i", "th": "t"})
     joined = known.join(spans.hint("shuffle_hash"), (F.col("id") == F.col("i")) & (F.col("th") == F.col("t")), "left").select("doc_id", "text", "copy", "firsts")
