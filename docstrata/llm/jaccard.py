@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import cut, discard, sized
-from .components import connected_components
+from .components import connected_components, extend_components
 from .textbatch import mix, shingles, small_batches, words
 
 #: n-grams of one range of hashes, which one task counts, and n-grams held before they are dealt to ranges.
@@ -383,7 +383,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, threshold: float = 0.9) -> D
     comps = connected_components(links)
 
     # exactly the rest: pairs of different components that share a prefix n-gram
-    of = cut(member.join(comps.toDF("sid", "comp").hint("merge"), "sid", "left").select("sid", "gid", F.coalesce("comp", "sid").alias("comp")))
+    of = cut(member.join(sized(comps.toDF("sid", "comp"), "merge"), "sid", "left").select("sid", "gid", F.coalesce("comp", "sid").alias("comp")))
     spread = of.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     mixed = shared.join(spread.hint("merge"), "gid").groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("token")
     entries = shared.drop("pivot").join(mixed.hint("merge"), "token")
@@ -403,18 +403,17 @@ def jaccard_components(docs: DataFrame, n: int = 3, threshold: float = 0.9) -> D
         lead = cut(of.groupBy("gid", "comp").agg(F.min("sid").alias("sid")).select("sid", "gid", "comp"))
         x, y = lead.toDF("a", "ga", "ca"), lead.toDF("b", "gb", "cb")
         tried = met.join(x.hint("merge"), ["ga", "ca"]).join(y.hint("merge"), ["gb", "cb"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = cut(links.union(verify(tried, grams, least)))
-        comps = connected_components(links)
+        comps = extend_components(comps, cut(verify(tried, grams, least)))
         now = comps.toDF("ca", "na")
-        apart = met.join(now.hint("merge"), "ca", "left").join(now.toDF("cb", "nb").hint("merge"), "cb", "left")
+        apart = met.join(sized(now, "merge"), "ca", "left").join(sized(now.toDF("cb", "nb"), "merge"), "cb", "left")
         apart = cut(apart.where(F.coalesce("na", "ca") != F.coalesce("nb", "cb")).select("ga", "ca", "gb", "cb"))
-        x, y = of.toDF("a", "ga", "ca"), of.toDF("b", "gb", "cb")
-        rest = apart.join(x.hint("merge"), ["ga", "ca"]).join(y.hint("merge"), ["gb", "cb"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = links.union(cut(verify(rest, grams, least)))
-        comps = connected_components(links)
+        if not apart.isEmpty():
+            x, y = of.toDF("a", "ga", "ca"), of.toDF("b", "gb", "cb")
+            rest = apart.join(x.hint("merge"), ["ga", "ca"]).join(y.hint("merge"), ["gb", "cb"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            comps = extend_components(comps, cut(verify(rest, grams, least)))
 
     # a component is named by its smallest doc_id
-    named = classes.join(comps.toDF("sid", "comp").hint("merge"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    named = classes.join(sized(comps.toDF("sid", "comp"), "merge"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     least_id = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = cut(named.join(least_id.hint("merge"), "comp").select("n", "h1", "h2", "component_id"))
     out = rows.join(named.hint("merge"), ["n", "h1", "h2"], "left")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docstrata.llm import common, jaccard
-from docstrata.llm.components import connected_components
+from docstrata.llm.components import connected_components, extend_components
 from docstrata.llm.jaccard import jaccard_components
 
 
@@ -96,6 +96,21 @@ def test_components_of_chains_and_stars(spark):
     assert {got[i] for i in range(41)} == {0} and {got[i] for i in range(100, 160)} == {100} and got[500] == got[499] == 450
 
 
+@pytest.mark.parametrize("most", [0, 1 << 24])
+def test_components_extended_are_those_of_all_links(spark, monkeypatch, most):
+    monkeypatch.setattr("docstrata.llm.common.BROADCAST_BYTES", most)  # by shuffle, by broadcast
+    rng = random.Random(3)
+    first = [(a, a + 1) for a in range(100, 140)] + [(rng.randrange(300), rng.randrange(300)) for _ in range(80)]
+    more = [(rng.randrange(400), rng.randrange(400)) for _ in range(60)] + [(900, 901), (901, 100), (7, 7)]
+    frame = lambda edges: spark.createDataFrame(edges, "a long, b long")
+    pairs = lambda df: sorted(tuple(r) for r in df.select("node", "component").collect())
+    known = connected_components(frame(first))
+    assert pairs(extend_components(known, frame(more))) == pairs(connected_components(frame(first + more)))
+    assert pairs(extend_components(known, frame(first))) == pairs(known)
+    empty = connected_components(frame([]))
+    assert pairs(extend_components(empty, frame(more))) == pairs(connected_components(frame(more)))
+
+
 def test_whole_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
