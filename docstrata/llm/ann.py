@@ -30,6 +30,10 @@ LISTS_PER_ROOT = 4
 ROWS_PER_LIST = 8
 AT_ONCE = 2048
 CELL = 2000
+#: Bytes that the centroids may have, since every task holds them; past that, lists get longer instead. Distances that
+#: one step holds at a time.
+INDEX_BYTES = 32 << 20
+DISTANCES = 1 << 22
 
 
 @dataclass
@@ -50,21 +54,25 @@ class ListIndex:
     def place(self, x: np.ndarray) -> list[np.ndarray]:
         """The lists of each stored vector: the nearest, and others almost as near that no list taken
         before is nearer to than the vector is."""
+        own = [self._place(part) for part in _slices(x, len(self.centroids))]
+        return [near[kept] for nears, keeps in own for near, kept in zip(nears, keeps)]
+
+    def _place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Candidate lists of each vector, nearest first, and which of them are kept."""
         y = self.lift(x)
         d = np.maximum((y * y).sum(1)[:, None] - 2 * y @ self.centroids.T + (self.centroids**2).sum(1), 0)
         k = min(self.copies * 2, d.shape[1])
         near = np.argpartition(d, k - 1, 1)[:, :k]
-        out = []
-        for row, own in zip(d, near):
-            own = own[np.argsort(row[own], kind="stable")]
-            kept = [own[0]]
-            for c in own[1:]:
-                if len(kept) >= self.copies or row[c] > self.spread**2 * row[own[0]] + 1e-12:
-                    break
-                if all(((self.centroids[c] - self.centroids[o]) ** 2).sum() > 0.3 * row[c] for o in kept):
-                    kept.append(c)
-            out.append(np.array(kept))
-        return out
+        far = np.take_along_axis(d, near, 1)
+        order = np.argsort(far, 1, kind="stable")
+        near, far = np.take_along_axis(near, order, 1), np.take_along_axis(far, order, 1)
+        kept = far <= self.spread**2 * far[:, :1] + 1e-12
+        for j in range(1, k):
+            for i in range(j):
+                apart = ((self.centroids[near[:, j]] - self.centroids[near[:, i]]) ** 2).sum(1)
+                kept[:, j] &= ~kept[:, i] | (apart > 0.3 * far[:, j])
+            kept[:, j] &= kept[:, :j].sum(1) < self.copies
+        return near, kept
 
     def search(self, q: np.ndarray, beam: int = 96) -> np.ndarray:
         """Lists for one query by best-first search of the graph, nearest first, pruned by distance ratio."""
@@ -94,12 +102,18 @@ class ListIndex:
         return ids[(gap <= self.ratio * gap[0]) | (np.arange(len(ids)) < 4)]
 
 
+def _slices(x: np.ndarray, width: int) -> list[np.ndarray]:
+    """x in parts of so few rows that each with width numbers a row has at most DISTANCES."""
+    rows = max(1, min(1024, DISTANCES // max(1, width)))
+    return [x[at : at + rows] for at in range(0, len(x), rows)]
+
+
 def _means(y: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
     """Balanced k-means: a cluster's cost rises with its size, so that crowded regions get more lists."""
     k = max(1, min(k, len(y)))
     if k > AT_ONCE:  # many: first about the root of as many, then each one's share of the rest among its own rows
         coarse = _means(y, math.isqrt(k), rounds, rng)
-        own = np.concatenate([((coarse**2).sum(1) - 2 * part @ coarse.T).argmin(1) for part in np.array_split(y, max(1, len(y) // 1024))])
+        own = np.concatenate([((coarse**2).sum(1) - 2 * part @ coarse.T).argmin(1) for part in _slices(y, len(coarse))])
         cells = [y[own == i] for i in range(len(coarse)) if (own == i).any()]
         return np.concatenate([_means(cell, max(1, round(k * len(cell) / len(y))), rounds, rng) for cell in cells])
     c = y[rng.choice(len(y), k, replace=False)]
@@ -123,7 +137,7 @@ def fit_lists(x: np.ndarray, n_lists: int, top: float, rounds: int = 8, degree:
     c = _means(index.lift(x), n_lists, rounds, rng)
     k = len(c)
     near = []
-    for part in np.array_split(c, max(1, k // 1024)):
+    for part in _slices(c, k):
         d = (c**2).sum(1) - 2 * part @ c.T
         near.append(np.argsort(d, 1, kind="stable")[:, : min(degree + 1, k)])
     graph = np.concatenate(near)
@@ -136,7 +150,7 @@ def fit_lists(x: np.ndarray, n_lists: int, top: float, rounds: int = 8, degree:
 def calibrate(index: ListIndex, x: np.ndarray, rng: np.random.Generator, k: int = 20, queries: int = 100, target: float = 0.96) -> None:
     """Sets index.probes to the fewest lists that find the target share of the k nearest in the sample.
     Neighbours are farther apart in a sample than in the whole, so the whole does no worse."""
-    placed = [own for at in range(0, len(x), 2048) for own in index.place(x[at : at + 2048])]
+    placed = index.place(x)
     asked, found = rng.choice(len(x), min(queries, len(x)), replace=False), []
     index.probes = len(index.centroids)
     for q in asked:
@@ -163,11 +177,11 @@ def sound(vector: Column) -> Column:
 
 def fit_index(vectors: DataFrame, sample_rows: int = 20_000, list_rows: int = LIST_ROWS) -> ListIndex | None:
     """Fits on the vectors whose ids hash lowest: sample_rows of them, or ROWS_PER_LIST for each list if that is
-    more, which grows with the root of all rows. None without vectors."""
-    facts = vectors.agg(F.count("*").alias("n"), F.max(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))).alias("top")).first()
+    more, which grows with the root of all rows until centroids have INDEX_BYTES. None without vectors."""
+    facts = vectors.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("width"), F.max(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))).alias("top")).first()
     if not facts["n"]:
         return None
-    n_lists = max(1, min(facts["n"] // list_rows, LISTS_PER_ROOT * math.isqrt(facts["n"])))
+    n_lists = max(1, min(facts["n"] // list_rows, LISTS_PER_ROOT * math.isqrt(facts["n"]), INDEX_BYTES // (8 * (facts["width"] + 1))))
     sample_rows = max(sample_rows, ROWS_PER_LIST * n_lists)
     place = F.xxhash64("vec_id")
     bound = vectors.select(place.alias("place")).orderBy("place").limit(sample_rows).agg(F.max("place").alias("m")).first()["m"]

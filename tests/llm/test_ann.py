@@ -42,8 +42,8 @@ def test_few_candidates_and_empty(spark):
     assert nearest(df.limit(0), F.lit(True)).collect() == [] and nearest(df.where("vec_id = 0"), F.lit(True)).collect() == []
 
 
-def test_recall(spark):
-    sf = "/root/testdata/sf0.1"
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_recall(spark, sf):
     got = op7_nearest(spark, sf).toPandas()
     t = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()
     x, ids = np.stack(t.embedding).astype(float), t.vec_id.to_numpy()
@@ -91,3 +91,34 @@ def test_more_rows_than_lists_of_one_size(spark, monkeypatch):
     got = nearest(spark.createDataFrame([(i, v, 1, "x", 2) for i, v in rows], SCHEMA), F.col("vec_id") % 20 == 0, 5).collect()
     want = brute(rows, 20, 5)
     assert len({(r.query_id, r.vec_id) for r in got} & {(q, i) for q, _, i in want}) >= 0.9 * len(want)
+
+
+@pytest.mark.parametrize("lists", [7, 150])
+def test_small_steps_place_alike(monkeypatch, lists):
+    """Lists of a vector don't depend on how many vectors are placed at a time, and follow the rule row by row."""
+    x = np.random.default_rng(6).normal(size=(1500, 5))
+    index = ann.fit_lists(x, lists, float((x * x).sum(1).max()))
+    whole = [list(own) for own in index.place(x)]
+    monkeypatch.setattr(ann, "DISTANCES", 3 * len(index.centroids))
+    assert [list(own) for own in index.place(x)] == whole
+    c = index.centroids
+    for y, got in zip(index.lift(x), whole):
+        d = ((c - y) ** 2).sum(1)
+        near, kept = np.argsort(d)[: 2 * index.copies], []
+        for i in near:
+            if len(kept) < index.copies and d[i] <= index.spread**2 * d[near[0]] + 1e-12 and all(((c[i] - c[o]) ** 2).sum() > 0.3 * d[i] for o in kept):
+                kept.append(i)
+        assert got == kept
+
+
+def test_centroids_have_a_bound(spark, monkeypatch):
+    """Past the bound of the centroids' bytes lists get longer; all rows are still indexed and found."""
+    monkeypatch.setattr(ann, "LIST_ROWS", 2)
+    monkeypatch.setattr(ann, "INDEX_BYTES", 10 * 8 * 4)
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=3)]) for i in range(300)]
+    df = spark.createDataFrame([(i, v, 1, "x", 2) for i, v in rows], SCHEMA)
+    assert len(ann.fit_index(df.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")), list_rows=2).centroids) == 10
+    want = brute(rows, 20, 5)
+    got = {(r.query_id, r.vec_id) for r in nearest(df, F.col("vec_id") % 20 == 0, 5).collect()}
+    assert len(got & {(q, i) for q, _, i in want}) >= 0.9 * len(want)
