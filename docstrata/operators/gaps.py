@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..config import RULES
 from ..functions.text import find_spans, sentence_bounds, snippet, squeeze
 from ..functions.vocabulary import PROMISES, STOPWORDS
 from ..joins import sized
+from .order import numbered
 
 _FEW = RULES.gap_few_threshold
 
@@ -47,7 +50,7 @@ def promise_candidates(content: DataFrame) -> DataFrame:
 
 def later_artifacts(sources: DataFrame, artifacts: DataFrame, dates: DataFrame) -> DataFrame:
     """artifact_id, later_id, later_ts: for each source the artifacts of its project with a later date; all
-    others if the source has none."""
+    others if the source has none. All pairs are the result; later_range gives their number and start."""
     src = sources.select("artifact_id", "project_id").distinct().join(dates.select("artifact_id", F.col("ts").alias("own")), "artifact_id", "left")
     other = artifacts.select(F.col("artifact_id").alias("later_id"), F.col("project_id").alias("_p")).join(dates.select(F.col("artifact_id").alias("later_id"), F.col("ts").alias("later_ts")), "later_id", "left")
     later = (F.col("project_id") == F.col("_p")) & (F.col("artifact_id") != F.col("later_id")) & (F.col("own").isNull() | (F.col("later_ts") > F.col("own")))
@@ -89,19 +92,41 @@ def fulfillment(promises: DataFrame, content: DataFrame, dates: DataFrame) -> Da
     return out.withColumn("best", F.coalesce("best", F.lit(0.0))).withColumn("fulfilled", F.col("best") >= RULES.promise_overlap)
 
 
-def later_excerpts(promises: DataFrame, content: DataFrame, artifacts: DataFrame, dates: DataFrame, n: int = 5, chars: int = 300) -> DataFrame:
+def _by_date(artifacts: DataFrame, dates: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """project_id, artifact_id, ts, number of the dated artifacts, numbered by date within their project."""
+    dated = artifacts.select("project_id", "artifact_id").join(dates.select("artifact_id", "ts").hint("merge"), "artifact_id").where("ts is not null")
+    return keep(numbered(dated, ["project_id"], ["ts", "artifact_id"], keep))
+
+
+def _passed(sources: DataFrame, placed: DataFrame) -> DataFrame:
+    """artifact_id, project_id, own, passed of each source: its date and the last number of that date; null without a date."""
+    last = placed.groupBy("project_id", F.col("ts").alias("own")).agg(F.max("number").alias("passed"))
+    own = sources.select("artifact_id", "project_id").distinct().join(placed.select("artifact_id", F.col("ts").alias("own")).hint("merge"), "artifact_id", "left")
+    return own.join(last.hint("merge"), ["project_id", "own"], "left")
+
+
+def later_excerpts(promises: DataFrame, content: DataFrame, artifacts: DataFrame, dates: DataFrame, keep: Callable[[DataFrame], DataFrame], n: int = 5, chars: int = 300) -> DataFrame:
     """The n soonest later texts of each promising artifact, shortened: the dated artifacts of a project are
     numbered by date, and a source takes the n numbers after those not later than it."""
-    dated = artifacts.select("artifact_id", "project_id").join(dates.select("artifact_id", "ts").hint("merge"), "artifact_id").where("ts is not null")
-    by_date = W.partitionBy("project_id").orderBy("ts")
-    placed = dated.withColumn("number", F.row_number().over(W.partitionBy("project_id").orderBy("ts", "artifact_id"))).withColumn("passed", F.count("*").over(by_date.rangeBetween(W.unboundedPreceding, W.currentRow)))
-    sources = promises.select("artifact_id", "project_id").distinct().join(placed.select("artifact_id", "passed").hint("merge"), "artifact_id", "left")
-    next_ = sources.withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("number", F.coalesce("passed", F.lit(0)) + F.col("rank"))
+    placed = _by_date(artifacts, dates, keep)
+    next_ = _passed(promises, placed).withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("number", F.coalesce("passed", F.lit(0)) + F.col("rank"))
     near = next_.join(placed.select("project_id", "number", F.col("artifact_id").alias("later_id")).hint("merge"), ["project_id", "number"])
     texts = content.select(F.col("artifact_id").alias("later_id"), snippet(F.col("raw_text"), chars).alias("excerpt"))
     return near.join(texts.hint("merge"), "later_id").select("artifact_id", "later_id", F.col("rank").cast("long").alias("rank"), "excerpt")
 
 
+def later_range(sources: DataFrame, artifacts: DataFrame, dates: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """artifact_id, n_later, first_ts: how many artifacts later_artifacts pairs each source with, and the first of their
+    dates (null if none has one), without making the pairs; sources with none are left out."""
+    placed = _by_date(artifacts, dates, keep)
+    totals = artifacts.groupBy("project_id").agg(F.count("*").alias("n")).join(placed.groupBy("project_id").agg(F.max("number").alias("last")).hint("merge"), "project_id", "left")
+    own = _passed(sources, placed).join(sized(keep(totals)), "project_id")
+    n = F.when(F.col("own").isNull(), F.col("n") - 1).otherwise(F.col("last") - F.col("passed"))
+    own = own.select("artifact_id", "project_id", n.alias("n_later"), (F.coalesce("passed", F.lit(0)) + 1).alias("number")).where("n_later > 0")
+    first = placed.select("project_id", "number", F.col("ts").alias("first_ts"))
+    return own.join(first.hint("merge"), ["project_id", "number"], "left").select("artifact_id", "n_later", "first_ts")
+
+
 def has_later(sources: DataFrame, artifacts: DataFrame, dates: DataFrame) -> DataFrame:
     """artifact_id of the sources (artifact_id, project_id) after which the project has another artifact: one of
     a later date, any other one if the source has no date."""

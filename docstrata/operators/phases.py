@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..config import RULES
 from ..functions.text import signal_line
 from ..functions.vocabulary import PHASES
 from ..joins import sized
+from .order import numbered
 from .serve import page
 
 
@@ -65,10 +68,12 @@ def domain_inputs(artifacts: DataFrame, entities: DataFrame, most: int = 40, top
     return heads.join(named, "project_id", "left").select("project_id", F.array_join(F.concat("a", F.coalesce("e", none)), "\n").alias("prompt"))
 
 
-def batches(items: DataFrame, size: int, keys: tuple[str, ...] = ("project_id",), order: tuple[str, ...] = ("ingested_at", "artifact_id")) -> DataFrame:
-    """items with batch and batch_index: consecutive slices of size rows of each key."""
-    at = F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1
-    return items.withColumn("batch", F.floor(at / size).cast("int")).withColumn("batch_index", (at % size).cast("int"))
+def batches(items: DataFrame, size: int, keep: Callable[[DataFrame], DataFrame], keys: tuple[str, ...] = ("project_id",), order: tuple[str, ...] = ("ingested_at", "artifact_id")) -> DataFrame:
+    """items with batch and batch_index: consecutive slices of size rows of each key; order tells its rows apart. keep
+    writes a table to the shared folder and reads it again."""
+    at = F.col("number") - 1
+    placed = numbered(items, list(keys), list(order), keep)
+    return placed.withColumn("batch", F.floor(at / size).cast("int")).withColumn("batch_index", (at % size).cast("int")).drop("number")
 
 
 def assignments_page(assignments: DataFrame, phases: DataFrame, names: DataFrame, limit: int, offset: int) -> DataFrame:

@@ -596,7 +596,7 @@ def domain_prompt_inputs(c):
 
 @query("SELECT artifact_id, CAST(floor((rn - 1) / 5) AS INT) AS batch, CAST((rn - 1) % 5 AS INT) AS batch_index FROM (SELECT artifact_id, row_number() OVER (PARTITION BY project_id ORDER BY ingested_at, artifact_id) AS rn FROM artifacts)")
 def judge_batches(c):
-    return phases.batches(c.artifacts, 5).select("artifact_id", "batch", "batch_index")
+    return phases.batches(c.artifacts.select("project_id", "artifact_id", "ingested_at"), 5, written).select("artifact_id", "batch", "batch_index")
 
 
 def _replies(c):
@@ -628,7 +628,7 @@ def judge_surface(c):
             frame["response"] = [f'Sure: {{"domain": "{d}", "confidence": {0.1 * n:.1f}}}' for d, n in zip(named, frame["n"])]
             yield frame
 
-    asked = phases.batches(c.artifacts, 5).groupBy("project_id", "batch").agg(F.count("*").alias("n"))
+    asked = phases.batches(c.artifacts.select("project_id", "artifact_id", "ingested_at"), 5, written).groupBy("project_id", "batch").agg(F.count("*").alias("n"))
     replies = judge.judge(asked, model)
     parsed = judge.parse_domains(replies.select(F.struct("project_id", "batch", "n").alias("project_id"), "response"), phases.phase_templates(c.spark).select("domain"))
     return parsed.select("project_id.project_id", "project_id.batch", F.round(F.least(F.lit(1.0), F.col("project_id.n") * 0.1), 6).alias("confidence"), "domain")
@@ -839,9 +839,14 @@ def later_artifacts(c):
     return gaps.later_artifacts(c.promises(), c.artifacts, c.chosen()).drop("project_id")
 
 
+@query("SELECT artifact_id, count(*) AS n_later, min(later_ts) AS first_ts FROM later GROUP BY 1")
+def later_range(c):
+    return gaps.later_range(c.promises(), c.artifacts, c.chosen(), written)
+
+
 @query(f"SELECT l.artifact_id, l.later_id, rn AS rank, substring({squeeze('raw_text')}, 1, 300) AS excerpt FROM (SELECT *, row_number() OVER (PARTITION BY artifact_id ORDER BY later_ts, later_id) AS rn FROM later WHERE later_ts IS NOT NULL) l JOIN artifacts a ON a.artifact_id = l.later_id WHERE rn <= 5")
 def later_excerpts(c):
-    return gaps.later_excerpts(c.promises(), c.content, c.artifacts, c.chosen())
+    return gaps.later_excerpts(c.promises(), c.content, c.artifacts, c.chosen(), written)
 
 
 @query("SELECT artifact_id, start, round(best, 6) AS best, fulfilled FROM fulfilled")
