@@ -54,6 +54,13 @@ def test_text_functions(spark):
     assert [(s.value, s.start, s.end) for s in row.e] == [("run 1", 2, 7), ("Run 2", 9, 14)]
 
 
+def test_costs_are_printed_by_their_exact_value(spark):
+    given = ["$ 170.125", "$0.375", "$2.675", "$1.005k", "$ 12345678901234567890", "$ 170.116", "$5M", "$" + "9" * 400, "$", None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(given)], "i int, value string")
+    got = [r.n for r in df.select("i", T.normalize_cost(F.col("value")).alias("n")).orderBy("i").collect()]
+    assert got == ["170.12", "0.38", "2.67", f"{1.005 * 1e3:.2f}", "12345678901234567168.00", "170.12", "5000000.00", "inf", "$", None]
+
+
 def test_files(spark, tmp_path):
     root = tmp_path / "in"
     (root / ".git").mkdir(parents=True)
