@@ -24,9 +24,10 @@ def write_projects(rows: DataFrame, path: str, projects: DataFrame | None = None
     """Replaces the partitions of rows' projects (project_id) in the table at path; others stay.
 
     Rows are written aside, below path, and take their partitions' places once all tasks are done: a write that fails
-    leaves the old rows, and one that is repeated replaces what it wrote. projects (project_id) are replaced too if rows
-    has none of theirs: their partitions go."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id").parquet(path)
+    leaves the old rows, and one that is repeated replaces what it wrote. Rows of one project meet in few tasks, so that files
+    don't multiply by tasks; a large project is split. projects (project_id) are replaced too if rows has none of
+    theirs: their partitions go. rows is read again for that, so it should be a table, not a costly plan."""
+    rows.hint("rebalance", "project_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id").parquet(path)
     if projects is not None:
         spark = rows.sparkSession
         files, _ = _folder(spark, path)

@@ -18,6 +18,19 @@ def held(spark, path):
     return sorted((r.project_id, r.artifact_id, r.value) for r in spark.read.schema(ROWS).parquet(path).collect())
 
 
+def test_a_step_computes_its_rows_once(spark, tmp_path):
+    root, seen = str(tmp_path / "t"), spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def looked(value):
+        seen.add(1)
+        return value != "b"
+
+    rows = table(spark, [(1, 1, "a"), (1, 2, "b"), (2, 3, "c")])
+    run_steps(spark, [Step("only", lambda: rows.select("project_id", F.col("value").alias("line")), lambda p: rows.where(looked("value")))], root, written)
+    assert held(spark, f"{root}/only") == [(1, 1, "a"), (2, 3, "c")] and seen.value == 3
+
+
 def test_steps_skip_stop_and_go_on(spark, tmp_path):
     root, ran = str(tmp_path / "t"), []
     given = {"rows": [(1, 1, "a"), (1, 2, "b"), (2, 3, "c")], "fail": False}
