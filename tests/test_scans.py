@@ -35,6 +35,23 @@ def test_texts_are_searched_once(spark):
         assert plan.count("regexp_extract_all(") == looks
 
 
+def test_promises_are_cut_in_their_own_row(spark):
+    """No text is read again, or dealt out, to cut the sentences of its markers."""
+    rows = [(1, 1, MARKS), (2, 1, "Still pending here. Some other words that are long enough. " * 4 + "We need to go; still need it\n\nTBD"), (3, 1, "none"), (4, 2, ""), (5, 2, None), (6, 2, "pending")]
+    content = spark.createDataFrame(rows, "artifact_id long, project_id int, raw_text string")
+    made = gaps.promise_candidates(content)
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+    # against spans merged by windows
+    spans = content.select("artifact_id", F.explode(F.concat(*[T.find_spans(F.col("raw_text"), "(?i)" + p) for p in PROMISES])).alias("s")).select("artifact_id", "s.start", "s.end")
+    merged = gaps.merge_spans(spans, ["artifact_id"]).join(content, "artifact_id").withColumn("b", T.sentence_bounds(F.col("raw_text"), F.col("start"), F.col("end")))
+    want = {}
+    for r in merged.orderBy("artifact_id", "start").collect():
+        text = r.raw_text[r.b.start : r.b.end].strip(" ")
+        want.setdefault((r.artifact_id, " ".join(text.split()).lower()), (r.b.start, text))
+    got = sorted((r.artifact_id, r.start, r.evidence) for r in made.collect())
+    assert got == sorted((a, *v) for (a, _), v in want.items()) and len(got) >= 4
+
+
 def test_held_keys_against_plain_search(spark, monkeypatch):
     monkeypatch.setattr(graph, "TEXTS_OF_PART", 3)
     monkeypatch.setattr(graph, "KEYS_OF_PART", 2)
