@@ -95,6 +95,17 @@ def test_equal_vectors_and_larger_clusters(spark):
     assert got == [1000] * 5 + [1005] * 4 + [-1]
 
 
+def test_clusters_do_not_depend_on_the_order_of_rows(spark):
+    """Mutual reachability has ties: the same tree must be walked however the rows arrive."""
+    rng = np.random.default_rng(11)
+    rows = [(1000 + i, 1, [float(v) for v in rng.normal(size=8)]) for i in range(300)]
+    labels = []
+    for order in (rows, rows[::-1], rows[150:] + rows[:150]):
+        df = spark.createDataFrame(order, "artifact_id long, project_id int, vector array<double>").coalesce(1)
+        labels.append({r.artifact_id: r.cluster_id for r in hierarchical_clusters(df, written).collect()})
+    assert labels[0] == labels[1] == labels[2]
+
+
 @pytest.mark.parametrize("n", [600])
 def test_large_projects_by_tables(spark, monkeypatch, n):
     """Well separated clusters in a project of several blocks: found whole, with pairs in proportion to n."""

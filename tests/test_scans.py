@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from docstrata.functions import text as T
+from docstrata.functions import text as T, vectors as V
 from docstrata.functions.dates import DATE_PHRASE, DATE_SEARCH
 from docstrata.functions.vocabulary import ENTITY_RULES, ENTITY_STARTS, PROMISES, TOOLS
 from docstrata.operators import extract, gaps, graph
@@ -52,6 +52,12 @@ def test_promises_are_cut_in_their_own_row(spark):
     assert got == sorted((a, *v) for (a, _), v in want.items()) and len(got) >= 4
 
 
+def test_the_length_of_a_vector_is_made_once(spark):
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,), ([],)], "v array<double>").select(V.normalized(F.col("v")).alias("u"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+    assert [r.u for r in df.collect()] == [[0.6, 0.8], [0.0, 0.0], None, []]
+
+
 def test_held_keys_against_plain_search(spark, monkeypatch):
     monkeypatch.setattr(graph, "TEXTS_OF_PART", 3)
     monkeypatch.setattr(graph, "KEYS_OF_PART", 2)
