@@ -1,11 +1,13 @@
 """Patterns with a look at their start, texts read once, and the words of promises that texts hold."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from docstrata.functions import text as T, vectors as V
 from docstrata.functions.dates import DATE_PHRASE, DATE_SEARCH
 from docstrata.functions.vocabulary import ENTITY_RULES, ENTITY_STARTS, PROMISES, TOOLS
-from docstrata.operators import extract, gaps, graph
+from docstrata.operators import extract, gaps, graph, serve
+from docstrata.plans import queries as plans
 
 DATES = "2024-03-12, on March 12, 2024, Sept. 3 2021; 3 MAY 2020 recent LAST week recently, May 5 upcoming Year 12 days ago x2019 1999. yesterday TOMORROW this month coming week éjan next  week Past year TODAY toda"
 MARKS = "Still needed: we need to do: TBD, to be determined, yet to be confirmed; have yet to be determined. Waiting for, waiting ON it, pending. Next  step : NEXT STEPS: remain\nto  be to-do: todo : unpending future work remains to be confirmed xtbd"
@@ -58,6 +60,12 @@ def test_the_length_of_a_vector_is_made_once(spark):
     assert [r.u for r in df.collect()] == [[0.6, 0.8], [0.0, 0.0], None, []]
 
 
+def test_a_total_of_a_listing_needs_no_joined_columns(spark, monkeypatch):
+    """The browse total is counted on the filtered artifacts alone."""
+    monkeypatch.setattr(serve, "browse", lambda *a, **b: pytest.fail("a total joins the columns of a page"))
+    assert {r.listing for r in plans.QUERIES["page_totals"](spark, "/root/testdata/sf0.001").collect()} == {"browse", "timeline", "gaps"}
+
+
 def test_held_keys_against_plain_search(spark, monkeypatch):
     monkeypatch.setattr(graph, "TEXTS_OF_PART", 3)
     monkeypatch.setattr(graph, "KEYS_OF_PART", 2)
